@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,7 @@ def region_spans(corpus: DataFrame, family: str) -> DataFrame:
     pieces = cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("piece", "start"))
     region = F.lit(None).cast("string")
     for name, pattern in reversed(REGIONS[family]):
-        region = F.when(F.rlike("piece", F.lit(f"^(?:{pattern})$")), name).otherwise(region)
+        region = F.when(F.rlike("piece", F.lit(rf"^(?:{pattern})\z")), name).otherwise(region)
     return (
         pieces.filter(F.rlike("piece", F.lit(f"^[{starts}]")))
         .withColumn("region", region).filter("region IS NOT NULL")
@@ -67,7 +68,7 @@ def region_spans(corpus: DataFrame, family: str) -> DataFrame:
 
 def region_excluded(region: Column | str, notin: Iterable[str]) -> Column:
     """Whether a region's name is matched as a whole by one of the patterns."""
-    return F.rlike(region, F.lit("^(?:" + "|".join(notin) + ")$"))
+    return F.rlike(region, F.lit("^(?:" + "|".join(notin) + r")\z"))
 
 
 def mask_regions(occurrences: DataFrame, spans: DataFrame,
@@ -90,21 +91,44 @@ def mask_regions(occurrences: DataFrame, spans: DataFrame,
     return placed.join(covered, condition, "left_anti").drop("_block")
 
 
+def occurrences_outside(corpus: DataFrame, family: str,
+                        notin: Iterable[str] | None = None) -> DataFrame:
+    """Identifiers outside the excluded regions of their own document.
+
+    If every region of the family is excluded, one pass over the text takes a
+    region as a single piece, so no identifier inside it appears: no join and no
+    shuffle. Otherwise the regions are found and masked by ``mask_regions``.
+    """
+    notin = defaults.GLOBAL_NOTIN if notin is None else list(notin)
+    names = {name for name, _ in REGIONS[family]}
+    matcher = re.compile("(?:" + "|".join(notin) + ")")
+    if not all(matcher.fullmatch(name) for name in names):
+        return mask_regions(occurrences(corpus), region_spans(corpus, family), notin)
+    regions = [pattern for _, pattern in REGIONS[family]]
+    tile = "|".join([*regions, tx.IDENT, f"[^A-Za-z_{REGION_STARTS[family]}]++", r"[\s\S]"])
+    cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
+    return (
+        cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("name", "start"))
+        .filter(F.rlike("name", F.lit("^[A-Za-z_]")))
+        .withColumn("end", F.col("start") + F.length("name"))
+    )
+
+
 def _member_before(access: str) -> Column:
     """The gap ends with an access operator that follows a word, ``]`` or ``)``."""
     gap, word = F.col("gap_before"), F.col("word_before")
-    return (F.rlike(gap, F.lit(rf"[\])0-9](?:{access})$"))
-            | (F.rlike(gap, F.lit(rf"^(?:{access})$")) & word.isNotNull()))
+    return (F.rlike(gap, F.lit(rf"[\])0-9](?:{access})\z"))
+            | (F.rlike(gap, F.lit(rf"^(?:{access})\z")) & word.isNotNull()))
 
 
 def _after_keyword(keyword: str) -> Column:
     """The keyword and exactly one white-space character stand before the name."""
-    return (F.col("word_before") == keyword) & F.rlike("gap_before", F.lit(r"^\s$"))
+    return (F.col("word_before") == keyword) & F.rlike("gap_before", F.lit(r"^\s\z"))
 
 
 def _context(rule: str) -> Column:
     before, after = F.col("gap_before"), F.col("gap_after")
-    after_def = (F.col("word_before") == "def") & F.rlike(before, F.lit(r"^\s+$"))
+    after_def = (F.col("word_before") == "def") & F.rlike(before, F.lit(r"^\s+\z"))
     call = F.rlike(after, F.lit(r"^\s*\("))
     tests = {
         "after_enum": _after_keyword("enum"),
@@ -112,18 +136,18 @@ def _context(rule: str) -> Column:
         "after_union": _after_keyword("union"),
         "after_member_access": _member_before(r"\.|->"),
         "after_member_dot": _member_before(r"\."),
-        "after_ampersand": F.rlike(before, F.lit("&$")),
+        "after_ampersand": F.rlike(before, F.lit(r"&\z")),
         "no_member_access_follows": ~F.coalesce(F.rlike(after, F.lit(r"^(?:\.|->)")), F.lit(False)),
         "call_follows": call,
         "parenthesis_follows": F.rlike(after, F.lit(r"^\(")),
         "call_or_func_assignment_follows": call | (
-            F.rlike(after, F.lit(r"^\s*:?=\s*$")) & F.startswith("word_after", F.lit("func"))),
-        "after_dot_or_def": F.rlike(before, F.lit(r"\.$")) | after_def,
+            F.rlike(after, F.lit(r"^\s*:?=\s*\z")) & F.startswith("word_after", F.lit("func"))),
+        "after_dot_or_def": F.rlike(before, F.lit(r"\.\z")) | after_def,
         "not_after_def": ~F.coalesce(after_def, F.lit(False)),
-        "perl_call": F.rlike(F.coalesce(before, F.lit("\n")), F.lit(r"[>\s&]$")) & ~F.coalesce(
-            (F.col("word_before") == "sub") & F.rlike(before, F.lit(r"^\s\*$")), F.lit(False)),
-        "vim_command": F.rlike(F.coalesce(before, F.lit("\n")), F.lit(r"\s:?$")) & F.rlike(
-            F.coalesce(after, F.lit("\n")), F.lit(r"^!?\s|^!$")),
+        "perl_call": F.rlike(F.coalesce(before, F.lit("\n")), F.lit(r"[>\s&]\z")) & ~F.coalesce(
+            (F.col("word_before") == "sub") & F.rlike(before, F.lit(r"^\s\*\z")), F.lit(False)),
+        "vim_command": F.rlike(F.coalesce(before, F.lit("\n")), F.lit(r"\s:?\z")) & F.rlike(
+            F.coalesce(after, F.lit("\n")), F.lit(r"^!?\s|^!\z")),
     }
     return tests[rule]
 

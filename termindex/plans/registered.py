@@ -409,6 +409,11 @@ def mask_regions(spark: SparkSession, sf: str) -> DataFrame:
     return spans.mask_regions(spans.occurrences(pages), spans.region_spans(pages, "markup"))
 
 
+@query
+def mask_regions_inline(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.occurrences_outside(_folded_pages(spark, sf), "markup")
+
+
 @query
 def region_spans(spark: SparkSession, sf: str) -> DataFrame:
     marked = spans.region_spans(_folded_pages(spark, sf), "markup").withColumn("family", F.lit("markup"))
