@@ -92,30 +92,43 @@ def words(text: Column | str, mode: str = "ident") -> Column:
     raise ValueError(f"unknown token mode {mode!r}")
 
 
-def tiled(df: DataFrame, text: str, pattern: str,
-          pieces: str = "_piece", starts: str = "_start") -> DataFrame:
-    """Add two parallel arrays: the matches of ``pattern`` and their start offsets.
+def starts_word(piece: str) -> Column:
+    """Whether a piece begins like an identifier, by its first character code."""
+    return F.expr(f"ascii({piece}) BETWEEN 65 AND 90 OR ascii({piece}) BETWEEN 97 AND 122 "
+                  f"OR ascii({piece}) = 95")
 
-    ``pattern`` must match every character of the text. The offsets are running
-    sums of the piece lengths, taken inside blocks and then over the blocks.
-    Appending to an array copies it, so the block size grows with the cube root
-    of the number of pieces: the work stays near n^(4/3) up to the largest text
-    a row can hold, and nothing is shuffled. Each step is its own projection
-    because Catalyst keeps an expression apart when a later step reads it twice.
+
+def with_starts(df: DataFrame, lengths: str, starts: str) -> DataFrame:
+    """Running sums of an array of lengths: where each piece starts.
+
+    The sums are taken inside blocks and then over the blocks. Appending to an
+    array copies it, so the block size grows with the cube root of the number of
+    pieces: the work stays near n^(4/3) up to the largest text a row can hold,
+    and nothing is shuffled. Each step is its own projection because Catalyst
+    keeps an expression apart when a later step reads it twice.
     """
     start = "named_struct('off', 0L, 'seen', CAST(array() AS array<bigint>))"
     step = "named_struct('off', s.off + n, 'seen', array_append(s.seen, s.off))"
     return (
         df
-        .withColumn(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        .withColumn("_len", F.expr(f"transform({pieces}, p -> CAST(length(p) AS bigint))"))
-        .withColumn("_size", F.expr("CAST(greatest(64, cbrt(2 * size(_len))) AS int)"))
+        .withColumn("_size", F.expr(f"CAST(greatest(64, cbrt(2 * size({lengths}))) AS int)"))
         .withColumn("_blocks", F.expr(
-            "transform(sequence(0, greatest(size(_len) - 1, 0) div _size), "
-            f"b -> aggregate(slice(_len, CAST(b * _size + 1 AS int), _size), {start}, (s, n) -> {step}))"))
+            f"transform(sequence(0, greatest(size({lengths}) - 1, 0) div _size), "
+            f"b -> aggregate(slice({lengths}, CAST(b * _size + 1 AS int), _size), {start}, (s, n) -> {step}))"))
         .withColumn("_bases", F.expr(
             f"aggregate(transform(_blocks, b -> b.off), {start}, (s, n) -> {step}, s -> s.seen)"))
         .withColumn(starts, F.expr(
             "flatten(zip_with(_blocks, _bases, (b, o) -> transform(b.seen, x -> x + o)))"))
-        .drop("_len", "_size", "_blocks", "_bases")
+        .drop("_size", "_blocks", "_bases")
     )
+
+
+def tiled(df: DataFrame, text: str, pattern: str,
+          pieces: str = "_piece", starts: str = "_start") -> DataFrame:
+    """Add two parallel arrays: the matches of ``pattern`` and their start offsets.
+
+    ``pattern`` must match every character of the text.
+    """
+    cut = (df.withColumn(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+           .withColumn("_len", F.expr(f"transform({pieces}, p -> CAST(length(p) AS bigint))")))
+    return with_starts(cut, "_len", starts).drop("_len")

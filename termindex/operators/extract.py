@@ -12,16 +12,17 @@ from termindex import rules as defaults
 
 
 def extract_symbols(corpus: DataFrame, rules: Sequence[tuple[str, str, int, str]] | None = None,
-                    language: str = "lang") -> DataFrame:
+                    language: str = "lang", keep: Sequence[str] = ()) -> DataFrame:
     """Symbols found by line rules: (name, file, kind, lang, line_no), line 1 first.
 
     ``rules`` are (language, line regex, capture group, kind). They become
     literal patterns of one projection over the lines of a text, tried only on
-    lines of their language; nothing is shuffled.
+    lines of their language; nothing is shuffled. ``keep`` names further columns
+    of the corpus to carry along.
     """
     rules = defaults.LINE_RULES if rules is None else list(rules)
     lines = corpus.select(
-        F.col("path").alias("file"), F.col(language).alias("lang"),
+        *keep, F.col("path").alias("file"), F.col(language).alias("lang"),
         F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
     tried = [
         F.struct(F.when(F.lower("lang") == lang.lower(), F.regexp_extract("_line", regex, group))
@@ -29,9 +30,9 @@ def extract_symbols(corpus: DataFrame, rules: Sequence[tuple[str, str, int, str]
         for lang, regex, group, kind in rules
     ]
     return (
-        lines.select("file", "lang", (F.col("_pos") + 1).cast("bigint").alias("line_no"),
+        lines.select(*keep, "file", "lang", (F.col("_pos") + 1).cast("bigint").alias("line_no"),
                      F.explode(F.filter(F.array(*tried), lambda t: t["name"] != "")).alias("_hit"))
-        .select(F.col("_hit.name").alias("name"), "file", F.col("_hit.kind").alias("kind"),
+        .select(*keep, F.col("_hit.name").alias("name"), "file", F.col("_hit.kind").alias("kind"),
                 "lang", "line_no")
     )
 

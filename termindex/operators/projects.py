@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termindex.operators.extract import directory
 from termindex.operators.joins import lookup
 from termindex.operators.slices import cut, running_last
 from termindex.session import settled
@@ -34,6 +35,18 @@ def resolve_project(paths: DataFrame, registry: DataFrame) -> DataFrame:
     return distinct.join(first, "path", "left")
 
 
+def with_project(files: DataFrame, registry: DataFrame) -> DataFrame:
+    """Add the owner of each file's directory as ``project``, null if none.
+
+    ``files(path, ...)``. Owners are found once per directory; a directory with
+    a large part of all files is divided by file.
+    """
+    placed = files.withColumn("_dir", directory("path"))
+    owned = resolve_project(placed.select(F.col("_dir").alias("path")), registry)
+    owned = settled(owned.select(F.col("path").alias("_dir"), "project"))
+    return lookup(placed, owned, ["_dir"], "left", salt_by=F.col("path")).drop("_dir")
+
+
 def project_roots(registry: DataFrame) -> DataFrame:
     """Directories to scan for each project: its own and its extra ones.
 

@@ -15,7 +15,7 @@ from termindex.operators.slices import cut, ranked, running_sum, spread_copies
 def chunk(tags: DataFrame, group: Sequence[str], size: int = defaults.CHUNK_SIZE) -> DataFrame:
     """Number the names of each group and cut them into chunks of ``size``."""
     numbered = ranked(tags, group, ["name"], "_rank")
-    return numbered.withColumn("chunk", F.floor((F.col("_rank") - 1) / size).cast("bigint")).drop("_rank")
+    return numbered.withColumn("chunk", F.expr(f"(_rank - 1) div {size}")).drop("_rank")
 
 
 def _sorted_bag(df: DataFrame, columns: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -113,7 +113,7 @@ def group_fingerprint(tags: DataFrame, group: Sequence[str], fan: int = defaults
     chunks = (most if most is not None else (level.agg(F.max("chunk")).first()[0] or 0) + 1)
     while chunks > 1:
         level = (
-            level.withColumn("_up", F.floor(F.col("chunk") / fan).cast("bigint"))
+            level.withColumn("_up", F.expr(f"chunk div {fan}"))
             .groupBy(*group, "_up").agg(
                 F.array_sort(F.collect_list(F.struct("chunk", "_digest"))).alias("_sorted"),
                 F.sum("n").alias("n"))

@@ -22,6 +22,13 @@ REGIONS = {
 }
 # Characters at which a region can begin.
 REGION_STARTS = {"clike": "\"'/", "python": "\"'#", "markup": "<\""}
+# How a region begins and its least length. A piece that begins
+# with one of the characters above and is no region is that character alone.
+OPENINGS = {
+    "clike": [("String", '"', 1), ("String", "'", 2), ("Comment", "//", 2), ("Comment", "/*", 2)],
+    "python": [("String", '"', 2), ("String", "'", 2), ("Comment", "#", 1)],
+    "markup": [("Comment", "<!--", 2), ("String", '"', 2)],
+}
 
 BUCKET = 4096
 
@@ -29,9 +36,9 @@ BUCKET = 4096
 def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = False) -> DataFrame:
     """Every identifier with its offsets: (doc_id, name, start, end), end exclusive (K4).
 
-    With ``context`` also the neighbouring pieces, null at the borders of the
+    With ``context`` also what stands around it, null at the borders of the
     text: ``gap_before``, ``word_before``, ``gap_after``, ``word_after``. They are
-    the same array shifted, so neighbours meet inside the row.
+    the same arrays shifted, so neighbours meet inside the row.
     """
     cut = tx.tiled(corpus.select("doc_id", *extra, "text"), "text", tx.TILE)
     piece, none = F.col("_piece"), F.lit(None).cast("string")
@@ -41,10 +48,9 @@ def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = Fa
         columns["word_before"] = F.concat(F.array(none, none), piece)
         columns["gap_after"] = F.slice(piece, 2, F.size(piece))
         columns["word_after"] = F.slice(piece, 3, F.size(piece))
-    placed = cut.select("doc_id", *extra,
-                        F.inline(F.arrays_zip(*columns.values())).alias(*columns))
     return (
-        placed.filter(F.rlike("name", F.lit("^[A-Za-z_]")))
+        cut.select("doc_id", *extra, F.inline(F.arrays_zip(*columns.values())).alias(*columns))
+        .filter(tx.starts_word("name"))
         .withColumn("end", F.col("start") + F.length("name"))
     )
 
@@ -57,11 +63,11 @@ def region_spans(corpus: DataFrame, family: str) -> DataFrame:
     cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
     pieces = cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("piece", "start"))
     region = F.lit(None).cast("string")
-    for name, pattern in reversed(REGIONS[family]):
-        region = F.when(F.rlike("piece", F.lit(rf"^(?:{pattern})\z")), name).otherwise(region)
+    for name, opening, least in reversed(OPENINGS[family]):
+        opened = F.startswith("piece", F.lit(opening)) & (F.length("piece") >= least)
+        region = F.when(opened, name).otherwise(region)
     return (
-        pieces.filter(F.rlike("piece", F.lit(f"^[{starts}]")))
-        .withColumn("region", region).filter("region IS NOT NULL")
+        pieces.withColumn("region", region).filter("region IS NOT NULL")
         .select("doc_id", "region", "start", (F.col("start") + F.length("piece")).alias("end"))
     )
 
@@ -109,7 +115,7 @@ def occurrences_outside(corpus: DataFrame, family: str,
     cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
     return (
         cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("name", "start"))
-        .filter(F.rlike("name", F.lit("^[A-Za-z_]")))
+        .filter(tx.starts_word("name"))
         .withColumn("end", F.col("start") + F.length("name"))
     )
 

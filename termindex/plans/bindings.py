@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from termindex import config as cfg
 from termindex import rules as defaults
 from termindex.functions import text as tx
+from termindex.operators.corpus import spread
 from termindex.operators.projects import fold_registry
 from termindex.streaming.events import route
 
@@ -67,8 +68,12 @@ def extension() -> Column:
 
 
 def corpus(spark: SparkSession, sf: str, text: Column | None = None) -> DataFrame:
-    """(doc_id, path, filetype, lang, text) from ``documents``."""
+    """(doc_id, path, filetype, lang, text) from ``documents``.
+
+    A made-up text is built after the rows are spread, not moved with them.
+    """
     docs = read(spark, sf, "documents")
+    docs = docs if text is None else spread(docs.select("doc_id", "source", "lang", "text"))
     path = F.concat(F.lit("/"), F.col("source"), F.lit("/"), F.col("lang"), F.lit("/doc"),
                     F.col("doc_id").cast("string"), F.lit("."), extension())
     return docs.select("doc_id", path.alias("path"), filetype().alias("filetype"),

@@ -11,7 +11,7 @@ from termindex import config as cfg
 from termindex import rules as defaults
 from termindex.operators.assign import apply_rules, resolve_priority, restore_builtins
 from termindex.operators.catalogue import applicable_tags, drop_ignored_filetypes
-from termindex.operators.corpus import clean_corpus, spread, tokenize
+from termindex.operators.corpus import clean_corpus, tokenize
 from termindex.operators.match import present_in_corpus
 from termindex.operators.render import chunk, merge_exclusions, render
 
@@ -47,8 +47,7 @@ class Settings:
 def present_symbols(corpus: DataFrame, tags: DataFrame, settings: Settings) -> DataFrame:
     """(filetype, kind, name): each present symbol with the kind that wins."""
     documents = drop_ignored_filetypes(corpus)
-    tokens = tokenize(clean_corpus(spread(documents), settings.languages, settings.families,
-                                   settings.strip))
+    tokens = tokenize(clean_corpus(documents, settings.languages, settings.families, settings.strip))
     usable = applicable_tags(tags, settings.priorities, settings.equivalents,
                              settings.language_map, settings.ignored)
     # The winning kind does not depend on presence, so it is settled first and

@@ -418,6 +418,11 @@ latest_sql = sql(
 route_sql = sql("ev", "SELECT event_id, action, forced FROM ev")
 scan_sql = sql("lines", "SELECT value FROM lines WHERE value <> ''")
 
+masked_sql = sql(
+    "page", "SELECT o.doc_id, piece AS name, start, \"end\" FROM tiles o WHERE regexp_matches(piece, '^[A-Za-z_]') "
+    "AND NOT EXISTS (SELECT 1 FROM regs s WHERE s.doc_id = o.doc_id AND s.start <= o.start AND o.\"end\" <= s.\"end\")",
+    PAGE_TILES, regions("page", "markup")[0], f"regs AS ({regions('page', 'markup')[1]})")
+
 SQL: dict[str, str] = {
     "scan_tags_plain": scan_sql,
     "scan_tags_gzip": scan_sql,
@@ -527,10 +532,8 @@ SQL: dict[str, str] = {
     "restore_builtin_groups": sql(
         "grouped restored", "SELECT g.filetype, g.kind, g.name, coalesce(x.grp, g.grp) AS grp FROM grouped g "
         "LEFT JOIN restored x USING (filetype, name)"),
-    "mask_regions": sql(
-        "page", "SELECT o.doc_id, piece AS name, start, \"end\" FROM tiles o WHERE regexp_matches(piece, '^[A-Za-z_]') "
-        "AND NOT EXISTS (SELECT 1 FROM regs s WHERE s.doc_id = o.doc_id AND s.start <= o.start AND o.\"end\" <= s.\"end\")",
-        PAGE_TILES, regions("page", "markup")[0], f"regs AS ({regions('page', 'markup')[1]})"),
+    "mask_regions": masked_sql,
+    "mask_regions_inline": masked_sql,
     "region_spans": sql(
         "page ccode pycode", " UNION ALL ".join(regions(s, k)[1] for s, k in
                                                 [("page", "markup"), ("ccode", "clike"), ("pycode", "python")]),
@@ -591,7 +594,9 @@ SQL: dict[str, str] = {
     "first_seen_stream": seen_sql,
     "emit_on_change": emit_sql,
     "emit_on_change_stream": emit_sql,
+    "emit_on_change_by_batch": emit_sql,
     "enabled_gate": gate_sql,
+    "enabled_gate_by_batch": gate_sql,
     "enabled_gate_stream": gate_sql,
     "latest_wins": latest_sql,
     "latest_wins_stream": latest_sql,
@@ -608,4 +613,3 @@ SQL: dict[str, str] = {
     "custom_extractors": sql(
         "", extraction("convlines", [*r.LINE_RULES, *b.LINE_RULES, *b.EXTRA_LINE_RULES]), CONVLINES),
 }
-SQL["mask_regions_inline"] = SQL["mask_regions"]

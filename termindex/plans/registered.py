@@ -70,7 +70,7 @@ def _folded_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def _code(spark: SparkSession, sf: str, python: bool) -> DataFrame:
     made = b.python_code() if python else b.c_code()
-    return docs.spread(b.corpus(spark, sf, made)).withColumn("text", tx.ascii_fold("text"))
+    return b.corpus(spark, sf, made).withColumn("text", tx.ascii_fold("text"))
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -167,10 +167,8 @@ def exclude_sources_glob(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _owned_files(spark: SparkSession, sf: str) -> DataFrame:
-    registry = b.projects(b.registry(spark, sf))
-    files = b.corpus(spark, sf).select("doc_id", "path").withColumn("dir", extract.directory("path"))
-    owned = projects.resolve_project(files.select(F.col("dir").alias("path")), registry)
-    return files.join(owned.select(F.col("path").alias("dir"), "project"), "dir").drop("dir")
+    files = b.corpus(spark, sf).select("doc_id", "path")
+    return projects.with_project(files, b.projects(b.registry(spark, sf)))
 
 
 @query
@@ -224,7 +222,7 @@ def squeeze_blank(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def strip_dispatch(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = docs.spread(b.code_corpus(spark, sf))
+    corpus = b.code_corpus(spark, sf)
     # One filetype in four has no comment family here: its text must stay.
     families = cfg.comment_families(spark).filter("language <> 'go'")
     cleaned = docs.clean_corpus(corpus, cfg.languages(spark), families)
@@ -424,7 +422,7 @@ def region_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def context_match(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = docs.spread(b.code_corpus(spark, sf)).withColumn("text", tx.ascii_fold("text"))
+    corpus = b.code_corpus(spark, sf).withColumn("text", tx.ascii_fold("text"))
     best = assign.resolve_priority(_usable(spark, b.catalogue(spark, sf)), _priorities(spark))
     placed = spans.occurrences(corpus, ["filetype"], context=True)
     kinds = match.lookup(placed, match.settled(best.select("filetype", "name", "kind")),
@@ -598,6 +596,13 @@ def emit_on_change_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select(*EMITTED)
 
 
+@query
+def emit_on_change_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    out = new_folder(spark, "changed")
+    st.run_steps(_stream(spark, sf), st.emit_per_batch(out, new_folder(spark, "changed-state")), "changed")
+    return spark.read.parquet(out).select(*EMITTED)
+
+
 @query
 def enabled_gate(spark: SparkSession, sf: str) -> DataFrame:
     return ev.enabled_gate(_routed(spark, sf, toggles=True)).select(*EMITTED, "epoch")
@@ -609,6 +614,14 @@ def enabled_gate_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(out).select(*EMITTED, "epoch")
 
 
+@query
+def enabled_gate_by_batch(spark: SparkSession, sf: str) -> DataFrame:
+    out = new_folder(spark, "gated")
+    st.run_steps(_stream(spark, sf, toggles=True),
+                 st.gate_per_batch(out, new_folder(spark, "gated-state")), "gated")
+    return spark.read.parquet(out).select(*EMITTED, "epoch")
+
+
 def _hourly(events: DataFrame) -> DataFrame:
     return events.withColumn("slice", F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH"))
 
@@ -634,9 +647,7 @@ def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
         "forced")
 
     def extract_units(part: DataFrame) -> DataFrame:
-        found = extract.extract_symbols(docs.spread(part), b.LINE_RULES)
-        roots = part.select(F.col("path").alias("file"), "root_key")
-        return found.join(roots, "file")
+        return extract.extract_symbols(docs.spread(part), b.LINE_RULES, keep=["root_key"])
 
     out = new_folder(spark, "index")
     st.run_steps(touched, st.reindex_per_batch(units, extract_units, out), "index")

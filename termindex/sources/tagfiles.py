@@ -34,6 +34,8 @@ def _unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _lines(packed: bytes) -> Iterator[pd.DataFrame]:
     """Decoded lines in bounded batches; the unpacked file is never held whole."""
+    if not packed:
+        return
     decoder, rest, pending = lzma.LZMADecompressor(), b"", []
     feed = packed
     while True:
@@ -43,7 +45,7 @@ def _lines(packed: bytes) -> Iterator[pd.DataFrame]:
                 break
             decoder = lzma.LZMADecompressor()
         elif not feed and decoder.needs_input:
-            break
+            raise EOFError("xz tag file is cut off")
         *whole, rest = (rest + decoder.decompress(feed, BYTES_PER_STEP)).split(b"\n")
         feed = b""
         pending.extend(line for line in whole if line)

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from termindex.session import new_folder
-from termindex.streaming.events import latest_wins
+from termindex.operators.joins import lookup
+from termindex.session import new_folder, settled
+from termindex.streaming.events import emit_on_change, enabled_gate, last_prints, latest_wins
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -94,6 +95,65 @@ def enabled_gate_stream(events: DataFrame) -> DataFrame:
         outputMode="Append", timeMode="None")
 
 
+def _state_before(spark: SparkSession, state: str, batch_id: int, schema: str) -> DataFrame:
+    """State after the previous batch; empty before the first."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{state}/version={batch_id - 1}")
+
+
+def _keep_state(after: DataFrame, state: str, batch_id: int) -> None:
+    """Store the state after a batch; a repeated batch replaces its own version."""
+    after.write.mode("overwrite").parquet(f"{state}/version={batch_id}")
+    spark = after.sparkSession
+    old = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/version={batch_id - 2}")
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
+PRINTS = "instance_id bigint, buffer_id int, fp bigint"
+GATES = "instance_id bigint, buffer_id int, epoch bigint, fp bigint"
+
+
+def emit_per_batch(target: str, state: str) -> Callable[[DataFrame, int], None]:
+    """T3 as a ``foreachBatch`` step over built-in operators.
+
+    The last fingerprints are a small table beside the stream. Within a batch the
+    sliced look-back is used, so one buffer may hold a large part of a batch.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = _state_before(batch.sparkSession, state, batch_id, PRINTS)
+        emit_on_change(batch, before).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        _keep_state(last_prints(batch, before), state, batch_id)
+
+    return step
+
+
+def gate_per_batch(target: str, state: str) -> Callable[[DataFrame, int], None]:
+    """T4 as a ``foreachBatch`` step; the state also holds the toggles of each instance.
+
+    A state row without a buffer carries an instance's epoch.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = settled(_state_before(batch.sparkSession, state, batch_id, GATES))
+        epochs = before.filter("buffer_id IS NULL").select("instance_id", "epoch")
+        prints = before.filter("buffer_id IS NOT NULL")
+        enabled_gate(batch, epochs, prints).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+
+        flips = batch.groupBy("instance_id").agg(
+            F.count_if(F.col("action") == "toggle").alias("_flips"))
+        now = settled(
+            flips.join(epochs, "instance_id", "full_outer")
+            .select("instance_id", (F.coalesce("epoch", F.lit(0)) + F.coalesce("_flips", F.lit(0))).alias("epoch")))
+        after_toggle = last_prints(enabled_gate(batch, epochs, prints, emitted_only=False), prints, ["epoch"])
+        kept = lookup(after_toggle, now, ["instance_id", "epoch"], "left_semi", salt_by=F.col("buffer_id"))
+        marks = now.withColumn("buffer_id", F.lit(None).cast("int")).withColumn("fp", F.lit(None).cast("bigint"))
+        _keep_state(kept.unionByName(marks).select("instance_id", "buffer_id", "epoch", "fp"), state, batch_id)
+
+    return step
+
+
 def latest_per_batch(target: str, by: list[str]) -> Callable[[DataFrame, int], None]:
     """T5 as a ``foreachBatch`` step: a batch replaces its own folder when it is run again."""
 
@@ -114,8 +174,8 @@ def reindex_per_batch(units: DataFrame, extract: Callable[[DataFrame], DataFrame
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        touched = batch.filter("forced").select("root_key").distinct()
-        symbols = extract(units.join(touched, "root_key", "left_semi"))
+        touched = settled(batch.filter("forced").select("root_key").distinct())
+        symbols = extract(lookup(units, touched, ["root_key"], "left_semi", salt_by=F.col("path")))
         (symbols.hint("rebalance", "root_key").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("root_key").parquet(target))
 
