@@ -19,7 +19,7 @@ HEADLINE = [
     "token_offsets", "mask_regions", "mask_regions_inline", "region_spans", "context_match",
     "extract_symbols", "present_or_same_file", "group_counts", "group_fingerprint", "chunk_members",
     "sort_tags_by_name", "resolve_project", "registry_fold", "emit_on_change", "enabled_gate",
-    "latest_wins", "emit_on_change_stream", "incremental_index", "scan_tags_gzip",
+    "latest_wins", "emit_on_change_by_batch", "incremental_index", "scan_tags_gzip",
 ]
 
 

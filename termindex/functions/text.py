@@ -9,29 +9,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+
+def latin_except(chars: str) -> str:
+    """Class of all Latin-1 characters but the given ones, spelled as ranges.
+
+    Java tests such a class with a bit set; a negated class is several times
+    slower. Texts are folded to ASCII first, so nothing lies outside it.
+    """
+    ranges, low = "", 0
+    for code in sorted({ord(c) for c in chars}) + [256]:
+        if code > low:
+            ranges += f"\\x{low:02X}-\\x{code - 1:02X}"
+        low = code + 1
+    return f"[{ranges}]"
+
+
+def _literal(opening: str, body: str, escaped: bool = True) -> str:
+    """Opening, then anything of ``body``, or a backslash with the character after it."""
+    return f"{opening}{body}*+" + (rf"(?:\\[\s\S]{body}*+)*+" if escaped else "")
+
+
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
+
 # Patterns. The loops are possessive, so a long literal or
 # comment neither backtracks nor deepens the matcher's stack.
 NON_ASCII = r"[^\x00-\x7F]"
-IDENT = r"[A-Za-z_][A-Za-z0-9_]*"
-SCOPED = r"[A-Za-z_][A-Za-z0-9_:]*"
+IDENT = r"[A-Za-z_][A-Za-z0-9_]*+"
+SCOPED = r"[A-Za-z_][A-Za-z0-9_:]*+"
 NON_WORD = r"[^A-Za-z0-9_]"
-TILE = r"[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+"
-
-DOUBLE_QUOTED = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"?'
-SINGLE_QUOTED = r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
-LINE_COMMENT = r"//[^\\\n]*+(?:\\[\s\S][^\\\n]*+)*+"
-BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
-TRIPLE_DOUBLE = r'"{3}[\s\S]*?"{3}'
-TRIPLE_SINGLE = r"'{3}[\s\S]*?'{3}"
-PY_DOUBLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"'
-PY_SINGLE = r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
-HASH_COMMENT = r"#[^\n]*+"
-MARKUP_COMMENT = r"<!--[\s\S]*?-->"
-MARKUP_STRING = r'"[^"]*+"'
+TILE = f"{IDENT}|{latin_except(LETTERS)}++"
+
+DOUBLE_QUOTED = _literal('"', latin_except('"\\\n')) + '"?'
+SINGLE_QUOTED = _literal("'", latin_except("'\\")) + "'"
+LINE_COMMENT = _literal("//", latin_except("\\\n"))
+BLOCK_COMMENT = rf"/\*{latin_except('*')}*+(?:\*(?!/){latin_except('*')}*+)*+\*/"
+TRIPLE_DOUBLE = f'"{{3}}{latin_except(chr(34))}*+(?:"(?!""){latin_except(chr(34))}*+)*+"{{3}}'
+TRIPLE_SINGLE = f"'{{3}}{latin_except(chr(39))}*+(?:'(?!''){latin_except(chr(39))}*+)*+'{{3}}"
+PY_DOUBLE = _literal('"', latin_except('"\\\n')) + '"'
+PY_SINGLE = _literal("'", latin_except("'\\\n")) + "'"
+HASH_COMMENT = _literal("#", latin_except("\n"), escaped=False)
+MARKUP_COMMENT = f"<!--{latin_except('-')}*+(?:-(?!->){latin_except('-')}*+)*+-->"
+MARKUP_STRING = _literal('"', latin_except('"'), escaped=False) + '"'
 
 CLIKE = "|".join([DOUBLE_QUOTED, SINGLE_QUOTED, LINE_COMMENT, BLOCK_COMMENT])
 PYTHON = "|".join([TRIPLE_DOUBLE, TRIPLE_SINGLE, PY_DOUBLE, PY_SINGLE, HASH_COMMENT])
-INCLUDE_LINE = r"\n[ \t]*+#[ \t]*+include[^\n]*+"
+INCLUDE_LINE = rf"\n[ \t]*+#[ \t]*+include{latin_except(chr(10))}*+"
 
 # Characters that are escaped in names.
 ESCAPED = r"([.*^$/\\~\[\]])"
@@ -43,18 +65,18 @@ def ascii_fold(text: Column | str) -> Column:
 
 
 def strip_clike(text: Column | str) -> Column:
-    """Remove C-style comments, strings and character literals."""
-    return F.regexp_replace(text, CLIKE, "")
+    """Remove C-style comments, strings and character literals from the folded text."""
+    return F.regexp_replace(ascii_fold(text), CLIKE, "")
 
 
 def strip_python(text: Column | str) -> Column:
-    """Remove Python comments and string literals."""
-    return F.regexp_replace(text, PYTHON, "")
+    """Remove Python comments and string literals from the folded text."""
+    return F.regexp_replace(ascii_fold(text), PYTHON, "")
 
 
 def strip_includes(text: Column | str) -> Column:
-    """Remove ``#include`` lines except on the first line (P5)."""
-    return F.regexp_replace(text, INCLUDE_LINE, "")
+    """Remove ``#include`` lines except on the first line from the folded text (P5)."""
+    return F.regexp_replace(ascii_fold(text), INCLUDE_LINE, "")
 
 
 def squeeze_blank(text: Column | str) -> Column:
@@ -127,8 +149,9 @@ def tiled(df: DataFrame, text: str, pattern: str,
           pieces: str = "_piece", starts: str = "_start") -> DataFrame:
     """Add two parallel arrays: the matches of ``pattern`` and their start offsets.
 
-    ``pattern`` must match every character of the text.
+    ``pattern`` must match every character of the folded text. Folding keeps
+    the number of characters, so the offsets are those of the text itself.
     """
-    cut = (df.withColumn(pieces, F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
+    cut = (df.withColumn(pieces, F.regexp_extract_all(ascii_fold(text), F.lit(pattern), F.lit(0)))
            .withColumn("_len", F.expr(f"transform({pieces}, p -> CAST(length(p) AS bigint))")))
     return with_starts(cut, "_len", starts).drop("_len")

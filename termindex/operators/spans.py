@@ -59,7 +59,7 @@ def region_spans(corpus: DataFrame, family: str) -> DataFrame:
     """Strings and comments of each document: (doc_id, region, start, end)."""
     starts = REGION_STARTS[family]
     choices = [pattern for _, pattern in REGIONS[family]]
-    tile = "|".join([*choices, f"[^{starts}]++", r"[\s\S]"])
+    tile = "|".join([*choices, f"{tx.latin_except(starts)}++", r"[\s\S]"])
     cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
     pieces = cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("piece", "start"))
     region = F.lit(None).cast("string")
@@ -111,7 +111,7 @@ def occurrences_outside(corpus: DataFrame, family: str,
     if not all(matcher.fullmatch(name) for name in names):
         return mask_regions(occurrences(corpus), region_spans(corpus, family), notin)
     regions = [pattern for _, pattern in REGIONS[family]]
-    tile = "|".join([*regions, tx.IDENT, f"[^A-Za-z_{REGION_STARTS[family]}]++", r"[\s\S]"])
+    tile = "|".join([*regions, tx.IDENT, f"{tx.latin_except(tx.LETTERS + REGION_STARTS[family])}++", r"[\s\S]"])
     cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
     return (
         cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("name", "start"))

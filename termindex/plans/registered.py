@@ -45,8 +45,7 @@ def _usable(spark: SparkSession, tags: DataFrame) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf: str) -> DataFrame:
-    plain = docs.spread(b.corpus(spark, sf)).withColumn("text", tx.ascii_fold("text"))
-    return docs.tokenize(plain)
+    return docs.tokenize(docs.spread(b.corpus(spark, sf)))
 
 
 def _hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -64,13 +63,13 @@ def _grouped(spark: SparkSession, sf: str) -> DataFrame:
         "filetype", "kind", "group", "name")
 
 
-def _folded_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return docs.spread(b.pages(spark, sf)).withColumn("text", tx.ascii_fold("text"))
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    return docs.spread(b.pages(spark, sf))
 
 
 def _code(spark: SparkSession, sf: str, python: bool) -> DataFrame:
     made = b.python_code() if python else b.c_code()
-    return b.corpus(spark, sf, made).withColumn("text", tx.ascii_fold("text"))
+    return b.corpus(spark, sf, made)
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -217,7 +216,7 @@ def strip_includes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def squeeze_blank(spark: SparkSession, sf: str) -> DataFrame:
-    return _code(spark, sf, True).select("doc_id", tx.squeeze_blank("text").alias("text"))
+    return _code(spark, sf, True).select("doc_id", tx.squeeze_blank(tx.ascii_fold("text")).alias("text"))
 
 
 @query
@@ -296,23 +295,22 @@ def _counted_tokens(corpus: DataFrame, mode: str) -> DataFrame:
 
 @query
 def tokenize_ident(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(docs.spread(b.corpus(spark, sf)).withColumn("text", tx.ascii_fold("text")), "ident")
+    return _counted_tokens(docs.spread(b.corpus(spark, sf)), "ident")
 
 
 @query
 def tokenize_word(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(_folded_pages(spark, sf), "word")
+    return _counted_tokens(_pages(spark, sf).withColumn("text", tx.ascii_fold("text")), "word")
 
 
 @query
 def tokenize_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(_folded_pages(spark, sf), "scoped")
+    return _counted_tokens(_pages(spark, sf), "scoped")
 
 
 @query
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
-    plain = docs.spread(b.corpus(spark, sf)).withColumn("text", tx.ascii_fold("text"))
-    return spans.occurrences(plain)
+    return spans.occurrences(docs.spread(b.corpus(spark, sf)))
 
 
 # --- filters -----------------------------------------------------------------
@@ -403,18 +401,18 @@ def restore_builtin_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def mask_regions(spark: SparkSession, sf: str) -> DataFrame:
-    pages = _folded_pages(spark, sf)
+    pages = _pages(spark, sf)
     return spans.mask_regions(spans.occurrences(pages), spans.region_spans(pages, "markup"))
 
 
 @query
 def mask_regions_inline(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.occurrences_outside(_folded_pages(spark, sf), "markup")
+    return spans.occurrences_outside(_pages(spark, sf), "markup")
 
 
 @query
 def region_spans(spark: SparkSession, sf: str) -> DataFrame:
-    marked = spans.region_spans(_folded_pages(spark, sf), "markup").withColumn("family", F.lit("markup"))
+    marked = spans.region_spans(_pages(spark, sf), "markup").withColumn("family", F.lit("markup"))
     coded = spans.region_spans(_code(spark, sf, False), "clike").withColumn("family", F.lit("clike"))
     scripted = spans.region_spans(_code(spark, sf, True), "python").withColumn("family", F.lit("python"))
     return marked.unionByName(coded).unionByName(scripted)
@@ -422,7 +420,7 @@ def region_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def context_match(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = b.code_corpus(spark, sf).withColumn("text", tx.ascii_fold("text"))
+    corpus = b.code_corpus(spark, sf)
     best = assign.resolve_priority(_usable(spark, b.catalogue(spark, sf)), _priorities(spark))
     placed = spans.occurrences(corpus, ["filetype"], context=True)
     kinds = match.lookup(placed, match.settled(best.select("filetype", "name", "kind")),
