@@ -36,7 +36,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_"
 NON_ASCII = r"[^\x00-\x7F]"
 IDENT = r"[A-Za-z_][A-Za-z0-9_]*+"
 SCOPED = r"[A-Za-z_][A-Za-z0-9_:]*+"
-NON_WORD = r"[^A-Za-z0-9_]"
+WORD = r"[A-Za-z0-9_]++"
 TILE = f"{IDENT}|{latin_except(LETTERS)}++"
 
 DOUBLE_QUOTED = _literal('"', latin_except('"\\\n')) + '"?'
@@ -85,13 +85,18 @@ def squeeze_blank(text: Column | str) -> Column:
     return F.regexp_replace(lines, r"([ \t])[ \t]++", "$1")
 
 
-def strip_code(text: Column | str, family: str) -> Column:
-    """The whole cleaning of one comment family: ``clike`` or ``python``."""
+def strip_code(text: Column | str, family: str, layout: bool = True) -> Column:
+    """The whole cleaning of one comment family: ``clike`` or ``python``.
+
+    Without ``layout`` blanks stay as they are, which changes no word.
+    """
     if family == "clike":
-        return squeeze_blank(strip_includes(strip_clike(text)))
-    if family == "python":
-        return squeeze_blank(strip_python(text))
-    raise ValueError(f"unknown comment family {family!r}")
+        stripped = strip_includes(strip_clike(text))
+    elif family == "python":
+        stripped = strip_python(text)
+    else:
+        raise ValueError(f"unknown comment family {family!r}")
+    return squeeze_blank(stripped) if layout else stripped
 
 
 def escape_name(name: Column | str) -> Column:
@@ -104,7 +109,7 @@ def words(text: Column | str, mode: str = "ident") -> Column:
     if mode == "ident":
         return F.regexp_extract_all(text, F.lit(IDENT), F.lit(0))
     if mode == "word":
-        return F.filter(F.split(text, NON_WORD), lambda w: w != "")
+        return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     if mode == "scoped":
         whole = F.regexp_extract_all(text, F.lit(SCOPED), F.lit(0))
         pairs = F.transform(whole, lambda w: F.when(

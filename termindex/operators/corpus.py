@@ -28,15 +28,15 @@ def spread(corpus: DataFrame) -> DataFrame:
 
 
 def clean_corpus(corpus: DataFrame, languages: DataFrame, families: DataFrame,
-                 enabled: bool = True) -> DataFrame:
+                 enabled: bool = True, layout: bool = True) -> DataFrame:
     """Fold to ASCII and remove comments and strings where the language allows it."""
     folded = corpus.withColumn("text", tx.ascii_fold("text"))
     if not enabled:
         return folded
     known = identify_language(folded, languages, out="_language")
     known = (known.join(families.select(F.col("language").alias("_language"), "family"), "_language", "left"))
-    cleaned = (F.when(F.col("family") == "clike", tx.strip_code("text", "clike"))
-               .when(F.col("family") == "python", tx.strip_code("text", "python"))
+    cleaned = (F.when(F.col("family") == "clike", tx.strip_code("text", "clike", layout))
+               .when(F.col("family") == "python", tx.strip_code("text", "python", layout))
                .otherwise(F.col("text")))
     return known.withColumn("text", cleaned).select(*corpus.columns)
 

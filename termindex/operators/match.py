@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termindex.operators.catalogue import has_special
-from termindex.operators.joins import lookup
+from termindex.operators.joins import BROADCAST_BYTES, lookup, measured_bytes
 from termindex.session import settled
 
 DOC_HIT = ["doc_id", "filetype", "kind", "name"]
@@ -27,11 +27,18 @@ def present_tags(tokens: DataFrame, tags: DataFrame) -> DataFrame:
 def present_in_corpus(tokens: DataFrame, tags: DataFrame) -> DataFrame:
     """Catalogue symbols that occur in any document of their filetype.
 
-    The tokens are reduced to distinct names first (partly before the shuffle),
-    so no word is more frequent than another when the join runs.
+    While the catalogue's names are few enough to broadcast, tokens that are no
+    symbol are dropped where they arise, and only symbols are shuffled. Either
+    way the tokens become distinct names before the join, partly before the
+    shuffle, so no word is more frequent than another when it runs.
     """
-    words = tokens.select("filetype", "name").distinct()
-    return tags.join(words, ["filetype", "name"], "left_semi")
+    keys = ["filetype", "name"]
+    tags = settled(tags)
+    names = tags.select(*keys).distinct()
+    words = tokens.select(*keys)
+    if measured_bytes(names) <= BROADCAST_BYTES:
+        words = words.join(F.broadcast(names), keys, "left_semi")
+    return tags.join(words.distinct(), keys, "left_semi")
 
 
 def present_or_same_file(tokens: DataFrame, corpus: DataFrame, tags: DataFrame) -> DataFrame:

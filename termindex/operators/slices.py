@@ -22,9 +22,13 @@ SLICE = "_slice"
 
 def cut(df: DataFrame, group: Sequence[str], order: Sequence[str],
         slices: int | None = None) -> DataFrame:
-    """Cut rows into even slices of the (group, order) sequence; equal keys stay together."""
-    count = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(count, *group, *order)
+    """Cut rows into even slices of the (group, order) sequence; equal keys stay together.
+
+    Without a number there are as many slices as shuffle partitions, less what
+    adaptive execution merges: it joins neighbours only, which keeps the order.
+    """
+    ranged = (df.repartitionByRange(slices, *group, *order) if slices
+              else df.repartitionByRange(*group, *order))
     return settled(ranged.withColumn(SLICE, F.spark_partition_id()))
 
 

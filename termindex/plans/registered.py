@@ -182,7 +182,7 @@ def stale_units(spark: SparkSession, sf: str) -> DataFrame:
     flagged = units.join(registry.select(F.col("path").alias("unit"), "run"), "unit", "left")
     manifest = b.read(spark, sf, "documents").groupBy(
         F.concat(F.lit("/"), "source", F.lit("/"), "lang").alias("unit")).agg(
-        F.when(F.count(F.lit(1)) % 2 == 1, F.sum("n_chars")).otherwise(F.lit(0)).alias("size"))
+        F.when(F.count(F.lit(1)) >= 8, F.sum("n_chars")).otherwise(F.lit(0)).alias("size"))
     return extract.units_to_index(flagged, manifest)
 
 
@@ -317,9 +317,9 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def filter_ignored_filetypes(spark: SparkSession, sf: str) -> DataFrame:
-    corpus = b.corpus(spark, sf).select("doc_id", "filetype").withColumn(
-        "filetype", F.when(F.col("doc_id") % 5 == 0, F.lit("markdown"))
-        .when(F.col("doc_id") % 5 == 1, F.lit("")).otherwise(F.col("filetype")))
+    corpus = b.corpus(spark, sf).select("doc_id", "path", "filetype").withColumn(
+        "filetype", F.when(F.length("path") <= 17, F.lit("markdown"))
+        .when(F.length("path") == 18, F.lit("")).otherwise(F.col("filetype"))).drop("path")
     return cat.drop_ignored_filetypes(corpus)
 
 

@@ -176,3 +176,6 @@ def _write_xz(lines: DataFrame, folder: str, by: list[str]) -> None:
         fs = target.getFileSystem(conf)
         fs.mkdirs(target.getParent())
         fs.rename(source, target)
+    # What is left was written by attempts that did not finish.
+    rest = jvm.org.apache.hadoop.fs.Path(staging)
+    rest.getFileSystem(conf).delete(rest, True)

@@ -29,10 +29,19 @@ def route(events: DataFrame, actions: DataFrame) -> DataFrame:
     return events.join(actions, "event")
 
 
-def first_seen(events: DataFrame) -> DataFrame:
-    """Buffers with unforced work, each once (T2). Works on streams and tables."""
-    return (events.filter(~F.col("forced")).select("instance_id", "buffer_id")
-            .dropDuplicates(["instance_id", "buffer_id"]))
+def first_seen(events: DataFrame, horizon: str | None = None) -> DataFrame:
+    """Buffers with unforced work, each once (T2). Works on streams and tables.
+
+    A stream remembers every buffer; with a ``horizon`` such as ``"30 days"`` it
+    forgets a buffer that long after its first event, and then reports it anew.
+    """
+    buffer = ["instance_id", "buffer_id"]
+    unforced = events.filter(~F.col("forced"))
+    if horizon is None:
+        return unforced.select(*buffer).dropDuplicates(buffer)
+    timed = unforced.select(*buffer, F.col("ts").cast("timestamp").alias("ts"))
+    return (timed.withWatermark("ts", horizon).dropDuplicatesWithinWatermark(buffer)
+            .select(*buffer))
 
 
 def _with_earlier(events: DataFrame, earlier: DataFrame | None) -> DataFrame:

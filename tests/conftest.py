@@ -12,6 +12,8 @@ from termindex.session import local_session  # noqa: E402
 def spark():
     session = local_session("8")
     session.sparkContext.setLogLevel("ERROR")
+    # Small data would end in one slice; the tests are about many.
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield session
     session.stop()
 

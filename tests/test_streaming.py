@@ -51,6 +51,12 @@ def test_first_seen(spark, rows, raw, slices):
     same(rows, spark.read.parquet(out), ev.first_seen(b.routed(raw)))
 
 
+def test_first_seen_with_a_horizon(spark, rows, raw, slices):
+    out = new_folder(spark, "out")
+    feed(spark, slices, lambda s, p: st.run_to_table(ev.first_seen(b.routed(s), "400 days"), "s", p, out))
+    same(rows, spark.read.parquet(out), ev.first_seen(b.routed(raw)))
+
+
 def test_emit_on_change_stateful(spark, rows, raw, slices):
     out = new_folder(spark, "out")
     feed(spark, slices, lambda s, p: st.run_to_table(st.emit_on_change_stream(b.routed(s)), "e", p, out))
