@@ -83,7 +83,8 @@ def mask_regions(occurrences: DataFrame, spans: DataFrame,
 
     An interval anti-join as an equi-join: both sides carry (document, offset
     block), a region once per block it covers, so a long document is divided
-    over many tasks and each pair meets once.
+    over many tasks and each pair meets once. Regions grow with the corpus, so
+    they are never broadcast on an estimate of their size.
     """
     notin = defaults.GLOBAL_NOTIN if notin is None else list(notin)
     covered = (
@@ -94,7 +95,7 @@ def mask_regions(occurrences: DataFrame, spans: DataFrame,
     placed = occurrences.withColumn("_block", F.expr(f"start div {bucket}"))
     condition = ((placed["doc_id"] == covered["doc_id"]) & (placed["_block"] == covered["_block"])
                  & (covered["_from"] <= placed["start"]) & (placed["end"] <= covered["_to"]))
-    return placed.join(covered, condition, "left_anti").drop("_block")
+    return placed.join(covered.hint("merge"), condition, "left_anti").drop("_block")
 
 
 def occurrences_outside(corpus: DataFrame, family: str,
