@@ -88,10 +88,11 @@ def squeeze_blank(text: Column | str) -> Column:
 def strip_code(text: Column | str, family: str, layout: bool = True) -> Column:
     """The whole cleaning of one comment family: ``clike`` or ``python``.
 
-    Without ``layout`` blanks stay as they are, which changes no word.
+    The text is folded once. Without ``layout`` blanks stay as they are, which
+    changes no word.
     """
     if family == "clike":
-        stripped = strip_includes(strip_clike(text))
+        stripped = F.regexp_replace(strip_clike(text), INCLUDE_LINE, "")
     elif family == "python":
         stripped = strip_python(text)
     else:

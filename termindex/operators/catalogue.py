@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from termindex import rules
 from termindex.functions.keys import language_family
+from termindex.operators.joins import lookup
+from termindex.session import settled
 
 
 def parse_tags(lines: DataFrame, value: str = "value") -> DataFrame:
@@ -61,6 +63,11 @@ def identify_language(df: DataFrame, languages: DataFrame, filetype: str = "file
             .withColumn(out, F.coalesce("_lang", F.lit("unknown"))).drop("_known", "_lang"))
 
 
+def first_part(filetype: Column | str) -> Column:
+    """The part of a compound filetype that picks the language (P10)."""
+    return F.get(F.split(F.lower(filetype), r"\."), F.lit(0))
+
+
 def split_filetype(df: DataFrame, filetype: str = "filetype") -> DataFrame:
     """Parts of a compound filetype: adds (part_no, part); part 0 picks the language (P10)."""
     return df.select("*", F.posexplode(F.split(F.lower(filetype), r"\.")).alias("part_no", "part"))
@@ -124,6 +131,27 @@ def union_tags(*catalogues: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, catalogues)
 
 
+def tags_by_document_type(tags: DataFrame, types: DataFrame, priorities: DataFrame,
+                          equivalents: DataFrame, language_map: DataFrame,
+                          ignored: DataFrame | None = None) -> DataFrame:
+    """As ``applicable_tags`` for the filetypes of documents, also compound ones (P10).
+
+    ``types(filetype)``. The first part picks the tags by language; every part
+    with an order contributes kinds and is the ``filetype`` of its rows, beside
+    the ``document_type`` they serve.
+    """
+    parts = split_filetype(types.select(F.lower("filetype").alias("filetype")).distinct()).select(
+        F.col("filetype").alias("document_type"), first_part("filetype").alias("_first"),
+        F.col("part").alias("filetype")).distinct()
+    wanted = normalize_language(parts, language_map, "_first").select(
+        "document_type", "filetype", language_family("language").alias("_family"))
+    # Few families, so a shuffled join would have few, very large keys.
+    usable = lookup(tags.filter(ascii_only("name")).withColumn("_family", language_family("lang")),
+                    settled(wanted), ["_family"], salt_by=F.col("name")).drop("_family")
+    usable = in_order(remap_kind(usable, equivalents), priorities)
+    return usable if ignored is None else drop_ignored_tags(usable, ignored)
+
+
 def applicable_tags(tags: DataFrame, priorities: DataFrame, equivalents: DataFrame,
                     language_map: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
     """Tags usable for each filetype with an order: language, kind remap, order, ignore list.

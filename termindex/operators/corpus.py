@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termindex.functions import text as tx
-from termindex.operators.catalogue import identify_language
+from termindex.operators.catalogue import first_part, identify_language
 
 SPREAD_BYTES = 8 * 1024 * 1024
 
@@ -29,15 +29,18 @@ def spread(corpus: DataFrame) -> DataFrame:
 
 def clean_corpus(corpus: DataFrame, languages: DataFrame, families: DataFrame,
                  enabled: bool = True, layout: bool = True) -> DataFrame:
-    """Fold to ASCII and remove comments and strings where the language allows it."""
-    folded = corpus.withColumn("text", tx.ascii_fold("text"))
+    """Fold to ASCII and remove comments and strings where the language allows it.
+
+    The first part of a compound filetype picks the language.
+    """
     if not enabled:
-        return folded
-    known = identify_language(folded, languages, out="_language")
+        return corpus.withColumn("text", tx.ascii_fold("text"))
+    typed = corpus.withColumn("_first", first_part("filetype"))
+    known = identify_language(typed, languages, "_first", "_language")
     known = (known.join(families.select(F.col("language").alias("_language"), "family"), "_language", "left"))
     cleaned = (F.when(F.col("family") == "clike", tx.strip_code("text", "clike", layout))
                .when(F.col("family") == "python", tx.strip_code("text", "python", layout))
-               .otherwise(F.col("text")))
+               .otherwise(tx.ascii_fold("text")))
     return known.withColumn("text", cleaned).select(*corpus.columns)
 
 

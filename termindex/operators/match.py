@@ -24,7 +24,7 @@ def present_tags(tokens: DataFrame, tags: DataFrame) -> DataFrame:
     return hits.select(*DOC_HIT)
 
 
-def present_in_corpus(tokens: DataFrame, tags: DataFrame) -> DataFrame:
+def present_in_corpus(tokens: DataFrame, tags: DataFrame, filetype: str = "filetype") -> DataFrame:
     """Catalogue symbols that occur in any document of their filetype.
 
     While the catalogue's names are few enough to broadcast, tokens that are no
@@ -32,7 +32,7 @@ def present_in_corpus(tokens: DataFrame, tags: DataFrame) -> DataFrame:
     way the tokens become distinct names before the join, partly before the
     shuffle, so no word is more frequent than another when it runs.
     """
-    keys = ["filetype", "name"]
+    keys = [filetype, "name"]
     tags = settled(tags)
     names = tags.select(*keys).distinct()
     words = tokens.select(*keys)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from termindex import config as cfg
 from termindex import rules as defaults
 from termindex.operators.assign import apply_rules, resolve_priority, restore_builtins
-from termindex.operators.catalogue import applicable_tags, drop_ignored_filetypes
+from termindex.operators.catalogue import drop_ignored_filetypes, tags_by_document_type
 from termindex.operators.corpus import clean_corpus, tokenize
 from termindex.operators.match import present_in_corpus
 from termindex.operators.render import chunk, merge_exclusions, render
@@ -45,16 +45,19 @@ class Settings:
 
 
 def present_symbols(corpus: DataFrame, tags: DataFrame, settings: Settings) -> DataFrame:
-    """(filetype, kind, name): each present symbol with the kind that wins."""
+    """(filetype, kind, name, prio): each present symbol with the kind that wins.
+
+    ``filetype`` is a part of the documents' filetype that has a kind order.
+    """
     documents = drop_ignored_filetypes(corpus)
+    usable = tags_by_document_type(tags, documents, settings.priorities, settings.equivalents,
+                                   settings.language_map, settings.ignored)
     tokens = tokenize(clean_corpus(documents, settings.languages, settings.families,
                                    settings.strip, layout=False))
-    usable = applicable_tags(tags, settings.priorities, settings.equivalents,
-                             settings.language_map, settings.ignored)
-    # The winning kind does not depend on presence, so it is settled first and
-    # the join then sees each (filetype, name) once.
-    best = resolve_priority(usable, settings.priorities)
-    return present_in_corpus(tokens, best)
+    tokens = tokens.select(F.lower("filetype").alias("document_type"), "name")
+    symbols = usable.select("document_type", "filetype", "kind", "name", "prio").distinct()
+    present = present_in_corpus(tokens, symbols, "document_type")
+    return resolve_priority(present, settings.priorities)
 
 
 def build_matchers(corpus: DataFrame, tags: DataFrame, settings: Settings) -> DataFrame:

@@ -136,6 +136,21 @@ def test_whole_chain(spark):
     assert none.count() == 0
 
 
+def test_compound_filetypes(spark, rows):
+    from termindex.plans.inventory import present_symbols
+    found = present_symbols(docs_of(spark, "x = foo; // Node\n Node", "C.doxygen"), tags_of(spark), Settings.default(spark))
+    assert rows(found.select("filetype", "kind", "name")) == [("c", "f", "foo"), ("c", "s", "Node")]
+    # The first part picks the tags, each part its own kinds: in a "python.go"
+    # document the Python function is a kind of both orders.
+    two = docs_of(spark, "helper", "python.go")
+    found = present_symbols(two, tags_of(spark), Settings.default(spark))
+    assert rows(found.select("filetype", "kind", "name")) == [("go", "f", "helper"), ("python", "f", "helper")]
+    both = docs_of(spark, "foo helper", "c").union(docs_of(spark, "foo helper", "go.c")).union(two)
+    found = present_symbols(both, tags_of(spark), Settings.default(spark))
+    assert rows(found.select("filetype", "kind", "name")) == [
+        ("c", "f", "foo"), ("go", "f", "helper"), ("python", "f", "helper")]
+
+
 def test_languages(spark, rows):
     df = spark.createDataFrame([("CPP",), ("objc",), ("nope",)], "filetype string")
     assert rows(cat.identify_language(df, cfg.languages(spark))) == [
