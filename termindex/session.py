@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []  # folders below the shared one that this process has named
+
 
 def local_session(cores: str = "*", partitions: int = 8, app: str = "termindex") -> SparkSession:
     """A single-machine session for tests and timings."""
@@ -27,30 +29,45 @@ def local_session(cores: str = "*", partitions: int = 8, app: str = "termindex")
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a single-machine session may do without the setting.
+    Without the setting the context's checkpoint folder counts. Only a
+    single-machine session may have neither; it gets a folder of its own.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="termindex-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="termindex-"))
+    return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
 def new_folder(spark: SparkSession, label: str) -> str:
     """Path of a not yet existing folder below the shared one."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _MADE.append(folder)
+    return folder
+
+
+def clear_folders(spark: SparkSession) -> int:
+    """Delete what ``settled`` and ``new_folder`` made in this session; returns how many folders went.
+
+    For long-lived sessions, after the results that read them are written.
+    """
+    gone = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        gone += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return gone
 
 
-def settled(df: DataFrame) -> DataFrame:
+def settled(df: DataFrame, label: str = "settled") -> DataFrame:
     """Compute once and store reliably; later reads never recompute the input.
 
     Used where a value must not change between two reads of the same rows
-    (slice numbers), and for tables that several steps share.
+    (slice numbers), and for tables that several steps share. Stored as Parquet
+    in the shared folder: later reads take only the columns they need, and a
+    lost executor loses nothing.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+    folder = new_folder(df.sparkSession, label)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
