@@ -1,8 +1,10 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from termindex.llm import chat, line_dedup, sharding
+from termindex.llm import chat, licenses, line_dedup, secrets, sharding
 
 QUERIES = {
+    "op4_secret_scans": secrets.op4_secret_scans,
+    "op6_license_scans": licenses.op6_license_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
