@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from termindex.llm import chat, licenses, line_dedup, secrets, sharding
+from termindex.llm import chat, fingerprints, licenses, line_dedup, secrets, sharding
 
 QUERIES = {
+    "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_license_scans": licenses.op6_license_scans,
     "op8_chat_formatting": chat.op8_chat_formatting,
