@@ -1,11 +1,12 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from termindex.llm import chat, fingerprints, licenses, line_dedup, secrets, sharding
+from termindex.llm import chat, fingerprints, licenses, line_dedup, packing, secrets, sharding
 
 QUERIES = {
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_license_scans": licenses.op6_license_scans,
+    "op7_packing": packing.op7_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
