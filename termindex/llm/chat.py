@@ -55,27 +55,30 @@ def closing(role: Column) -> Column:
     return out
 
 
-def parsed(output: Column) -> Column:
-    """The turns of a formatted text as array<struct<role, text>>; null if it is not in the grammar."""
-    marks = F.regexp_extract_all(output, F.lit(f"({CONTROL})"), 1)
-    pieces = F.split(output, CONTROL, -1)
-    count = (F.size(marks) / 2).cast("int")
+def parsed(df: DataFrame, output: Column, name: str) -> DataFrame:
+    """Add the turns of a formatted text as array<struct<role, text>>; null if it is not in the grammar.
 
+    Steps are columns of their own: inside a lambda an expression would be evaluated for each element.
+    """
     def role(mark: Column) -> Column:
         out = F.try_url_decode(F.regexp_extract(mark, r"^\[TURN (.*)\]$", 1))
-        for name, begin, _ in MARKS:
-            out = F.when(mark == begin, name).otherwise(out)
+        for known, begin, _ in MARKS:
+            out = F.when(mark == begin, known).otherwise(out)
         return out
 
-    turns = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(
-        role(F.get(marks, 2 * i)).alias("role"), unescaped(F.get(pieces, 2 * i + 1)).alias("text")))
-    paired = F.forall(F.sequence(F.lit(0), count - 1), lambda i: (
-        (F.get(pieces, 2 * i) == "") & ~F.get(marks, 2 * i).rlike(r"^.?/|^<</")
-        & (closing(role(F.get(marks, 2 * i))) == F.get(marks, 2 * i + 1))))
+    # Each mark with the text that follows it: openings at even, closings at odd places.
+    df = df.withColumn("_tokens", F.zip_with(
+        F.regexp_extract_all(output, F.lit(f"({CONTROL})"), 1), F.slice(F.split(output, CONTROL, -1), 2, 2**30),
+        lambda mark, text: F.struct(mark.alias("mark"), text.alias("text"))))
+    df = df.withColumn("_pairs", F.zip_with(
+        F.filter("_tokens", lambda t, i: i % 2 == 0), F.filter("_tokens", lambda t, i: i % 2 == 1),
+        lambda o, c: F.struct(
+            role(o["mark"]).alias("role"), unescaped(o["text"]).alias("text"),
+            (~o["mark"].rlike(r"^.?/|^<</") & (c["text"] == "") & (closing(role(o["mark"])) == c["mark"])).alias("ok"))))
     nothing = F.array().cast("array<struct<role:string,text:string>>")
-    return (F.when(output == "", nothing)
-            .when((F.size(marks) % 2 == 0) & (count > 0) & (F.get(pieces, F.size(marks)) == ""),
-                  F.when(paired, turns)))
+    regular = (F.size("_tokens") % 2 == 0) & output.rlike(f"^(?:{CONTROL})") & F.forall("_pairs", lambda p: F.coalesce(p["ok"], F.lit(False)))
+    return df.withColumn(name, F.when(output == "", nothing).when(regular, F.transform(
+        "_pairs", lambda p: F.struct(p["role"].alias("role"), p["text"].alias("text"))))).drop("_tokens", "_pairs")
 
 
 def rendered(turns: Column) -> Column:
@@ -99,12 +102,12 @@ def format_chats(rows: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     alone = F.concat(opening(F.col("role")), F.col("text"), closing(F.col("role")))
     source = F.array(F.struct("role", "text"))
-    told = plain.withColumn("safe", F.when(parsed(alone).eqNullSafe(source), F.col("text")).otherwise(escaped(F.col("text"))))
+    told = parsed(plain.withColumn("_alone", alone), F.col("_alone"), "_back").withColumn(
+        "safe", F.when(F.col("_back").eqNullSafe(source), F.col("text")).otherwise(escaped(F.col("text"))))
     whole = told.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "safe"))).alias("all"))
     strip = lambda name: F.transform("all", lambda t: F.struct(t["role"].alias("role"), t[name].alias("text")))
     out = whole.select("conv_id", strip("text").alias("source"), rendered(strip("safe")).alias("output"))
-    out = out.withColumn("turns", parsed(F.col("output")))
-    return out.withColumn("exact", F.col("turns").eqNullSafe(F.col("source")))
+    return parsed(out, F.col("output"), "turns").withColumn("exact", F.col("turns").eqNullSafe(F.col("source")))
 
 
 def with_digests(chats: DataFrame) -> DataFrame:
