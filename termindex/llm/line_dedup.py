@@ -97,7 +97,8 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     """
     plain = texts(docs, id_column, text_column)
     extra = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in extra]).alias("row"),
+    others = [F.col(f"`{c}`") for c in extra if c != text_column]
+    whole = docs.select(F.struct(*others, F.col(text_column).isNull().alias("_null")).alias("row"),
                         F.col(id_column).cast("bigint").alias("doc_id"),
                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
     joined = (
@@ -108,7 +109,7 @@ def dedup_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     stays = F.filter("lines", lambda line, i: F.getbit(
         F.coalesce(F.try_element_at("keep", F.floor(i / 64).cast("int")), F.lit(-1)), F.pmod(i, F.lit(64))) == 1)
     done = joined.withColumn("kept", F.when(F.col("keep").isNull(), F.col("lines")).otherwise(stays))
-    new_text = F.when(F.col("keep").isNull(), F.col(f"row.`{text_column}`")).otherwise(F.array_join("kept", "\n"))
+    new_text = F.when(F.col("keep").isNotNull(), F.array_join("kept", "\n")).when(~F.col("row._null"), F.col("text"))
     return done.select(
         *[new_text.alias(c) if c == text_column else F.col(f"row.`{c}`").alias(c) for c in extra],
         F.size("lines").cast("bigint").alias("n_lines"),
