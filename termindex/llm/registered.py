@@ -1,12 +1,13 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from termindex.llm import chat, fingerprints, licenses, line_dedup, packing, secrets, sharding, toxicity
+from termindex.llm import chat, decontamination, fingerprints, licenses, line_dedup, packing, secrets, sharding, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
     "op6_license_scans": licenses.op6_license_scans,
+    "op5_decontamination": decontamination.op5_decontamination,
     "op7_packing": packing.op7_packing,
     "op8_chat_formatting": chat.op8_chat_formatting,
     "op9_line_dedup": line_dedup.op9_line_dedup,
