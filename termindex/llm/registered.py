@@ -1,8 +1,9 @@
 """The registered queries of this package and, where SQL can express them, their SQL."""
 
-from termindex.llm import chat, decontamination, fingerprints, licenses, line_dedup, packing, secrets, sharding, toxicity
+from termindex.llm import chat, decontamination, fingerprints, jaccard, licenses, line_dedup, packing, secrets, sharding, toxicity
 
 QUERIES = {
+    "op1_ngram_jaccard": jaccard.op1_ngram_jaccard,
     "op2_toxicity": toxicity.op2_toxicity,
     "op3_fingerprints": fingerprints.op3_fingerprints,
     "op4_secret_scans": secrets.op4_secret_scans,
