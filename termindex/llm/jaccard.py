@@ -109,9 +109,10 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, held: Bands) -> np.nd
 
 
 def hashed_words(docs: DataFrame) -> DataFrame:
-    """(id, words): each word of the lower-cased text as a 64-bit hash, in order."""
+    """(id, words, text_hash): each word of the lower-cased text as a 64-bit hash, in order."""
     words = F.filter(F.split(ascii_lower(F.col("text")), BLANK_CLASS + "+"), lambda w: w != "")
-    return docs.select(order_id().alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"))
+    return docs.select(order_id().alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
+                       F.xxhash64("text").alias("text_hash"))
 
 
 def shingle_sets(words: pa.ListArray, n: int = WORDS) -> Iterator[np.ndarray]:
@@ -144,16 +145,16 @@ def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, Iterator[np.ndarray]]:
 
 
 def class_members(docs: DataFrame) -> DataFrame:
-    """(id, n, class) of each row."""
+    """(id, n, class, text_hash) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = _columns(batch)
             told = [(len(s), class_of(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([n for n, _ in told], pa.int64()), pa.array([c for _, c in told], pa.int64())],
-                names=["id", "n", "class"])
+                [ids, pa.array([n for n, _ in told], pa.int64()), pa.array([c for _, c in told], pa.int64()), batch.column(2)],
+                names=["id", "n", "class", "text_hash"])
 
-    return hashed_words(docs).mapInArrow(run, "id bigint, n bigint, class bigint")
+    return hashed_words(docs).mapInArrow(run, "id bigint, n bigint, class bigint, text_hash bigint")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -377,11 +378,11 @@ def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, class): one row per row of ``docs``.
+    """(doc_id, n_shingles, component_id, group, text_hash): one row per row of ``docs``.
 
     Two documents are linked when their sets of 5-word shingles have a Jaccard
     similarity of 0.75 or more; ``component_id`` is the smallest id that links
-    reach, ``class`` stands for the set.
+    reach, ``group`` numbers the component (null for a document without shingles).
 
     A text of fewer than five words is one shingle; a null text or one without
     words has none and is linked with nothing. Rows that repeat an id each have
@@ -395,11 +396,28 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     linked = linked_classes(plain, classes)
     known = linked.select(F.col("node").alias("class"), "comp")
     reach = known.join(classes.select("class", "rep"), "class").groupBy("comp").agg(F.min("rep").alias("least"))
-    target = classes.join(known.join(reach, "comp"), "class", "left").select("class", F.coalesce("least", "rep").alias("least"))
+    target = classes.join(known.join(reach, "comp"), "class", "left").select(
+        "class", F.coalesce("least", "rep").alias("least"), F.coalesce("comp", "class").alias("group"))
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("least"))
     named = lambda c: F.when(c != LAST_ID, c)
     return members.join(target, "class", "left").select(
-        named(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"), "class")
+        named(F.col("id")).alias("doc_id"), F.col("n").alias("n_shingles"), named(component).alias("component_id"),
+        "group", "text_hash")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with the document of the smallest id of each component.
+
+    Documents without shingles stay. Rows that repeat an id and its text are one document.
+    """
+    found = settled(near_duplicates(docs, id_column, text_column).filter("n_shingles > 0"), "found")
+    ranked = found.withColumn("at", F.struct(order_id().alias("id"), "text_hash"))
+    least = ranked.groupBy("group").agg(F.min("at").alias("least"))
+    gone = settled(ranked.join(least, "group").filter(F.col("at") != F.col("least")).select("at.*").distinct(), "gone")
+    gone = broadcast_if_small(gone.select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")), row_bytes=32)
+    key = F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(LAST_ID))
+    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
+    return docs.join(gone, (key == F.col("_gone_id")) & (text_hash == F.col("_gone_hash")), "left_anti")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:

@@ -252,5 +252,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
     return score_texts(plain, fit(plain, labels, **options))
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic; they pass through one filter."""
+    lexicon = fit(texts(docs, id_column, text_column), labels, **options)
+    at = docs.columns.index(text_column)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            keep = [matcher.score(matcher.density(t or "")[0]) < THRESHOLD for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity(read(spark, sf, "documents"), read(spark, sf, "labels"))
