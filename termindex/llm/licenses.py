@@ -162,8 +162,8 @@ def rule_pattern(ids: list[int]) -> str:
     return "[;,]" + r"(?:,\d+)*?,".join(map(str, ids)) + r"(?!\d)"
 
 
-def matched_rules(sequence: Column) -> Column:
-    """Numbers of the rules that match, the most specific of each licence only."""
+def matched_rules(lines: Column, sentences: Column) -> Column:
+    """Numbers of the rules that match one of the sequences, the most specific of each licence only."""
     by_licence: dict[str, list[int]] = {}
     for i, (name, _, _) in enumerate(RULES):
         by_licence.setdefault(name, []).append(i)
@@ -172,9 +172,10 @@ def matched_rules(sequence: Column) -> Column:
         rules = sorted(rules, key=lambda i: -len(RULES[i][2]))
         pick = F.lit(None).cast("int")
         for i in reversed(rules):
-            pick = F.when(sequence.rlike(rule_pattern(RULES[i][2])), i).otherwise(pick)
+            pattern = rule_pattern(RULES[i][2])
+            pick = F.when(lines.rlike(pattern) | sentences.rlike(pattern), i).otherwise(pick)
         found.append(pick)
-    return F.when(sequence == "", F.array().cast("array<int>")).otherwise(F.array_compact(F.array(*found)))
+    return F.when((lines == "") & (sentences == ""), F.array().cast("array<int>")).otherwise(F.array_compact(F.array(*found)))
 
 
 def scan_licenses(docs: DataFrame, text_column: str = "text", max_gap: int = MAX_GAP) -> DataFrame:
@@ -196,10 +197,11 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", max_gap: int = MAX
     scanned = (
         kept.withColumn("line_ids", known_units(lines_of(text)))
         .withColumn("sentence_ids", known_units(sentences_of(text)))
-        .withColumn("rules", F.array_sort(F.array_union(
-            matched_rules(sequence_text(F.col("line_ids"), max_gap)),
-            matched_rules(sequence_text(F.col("sentence_ids"), max_gap)))))
-        .withColumn("rules", F.transform("rules", lambda i: F.get(table, i)))
+        .withColumn("_lines", sequence_text(F.col("line_ids"), max_gap))
+        .withColumn("_sentences", sequence_text(F.col("sentence_ids"), max_gap))
+        .withColumn("rules", F.transform(
+            F.array_sort(matched_rules(F.col("_lines"), F.col("_sentences"))), lambda i: F.get(table, i)))
+        .drop("_lines", "_sentences")
         .withColumn("licenses", F.array_sort(F.array_distinct(F.transform("rules", lambda r: r["license"]))))
     )
     for part, whole in PART_OF.items():
