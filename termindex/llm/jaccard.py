@@ -16,10 +16,15 @@ makes a difference larger, and passages that many documents share then make no
 signatures.
 
 Signatures that classes share give stars: one member of each signature group is
-linked to the others, first inside a batch, then between batches, so a group is
-never larger than the number of batches in any task. Star links are verified on
-the exact sets and joined to components. Only where a group still has more than
-one component are its remaining pairs between components verified.
+tied to the others, first inside a batch, then between batches, so a group is
+never larger than the number of batches in any task. The member that shares most
+signatures, the likely origin of a family of copies, becomes the hub of its
+groups. Pairs of hub and member pass an exact filter first (bitmaps that hold the
+parity of the elements per place differ in no more places than the sets in
+elements), are then verified on the exact sets, and joined to components. Where
+a group still has several components, the filter runs over all pairs between
+them, in blocks of bounded size and without writing pairs out; what passes is
+verified too. So no link is lost, and pairs are written only if nearly similar.
 """
 
 from __future__ import annotations
@@ -39,7 +44,9 @@ from termindex.session import settled
 WORDS = 5
 SAMPLE_TEXTS = 4000
 FREQUENT, MAX_FREQUENT = 3, 100_000  # occurrences in the sample that make a shingle frequent; how many are kept
-FLUSH = 4_000_000  # signatures held in a task
+FLUSH = 1_000_000  # signatures held in a task
+ROWS = 256  # texts shingled at once
+BLOCK = 2048  # members of a group compared with as many others at once
 SPARE = 1.25  # parts per needed part
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
@@ -117,9 +124,15 @@ def hashed_words(docs: DataFrame) -> DataFrame:
 
 def shingle_sets(words: pa.ListArray, n: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingles of each row; a shorter text is one shingle."""
+    for begin in range(0, len(words), ROWS):
+        yield from _shingled(words.slice(begin, ROWS), n)
+
+
+def _shingled(words: pa.ListArray, n: int) -> Iterator[np.ndarray]:
     ends = words.offsets.to_numpy()
-    flat = words.values.to_numpy(zero_copy_only=False).astype(np.int64, copy=False).view(np.uint64)
-    flat = mix(flat)
+    flat = words.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
+    ends = ends - ends[0]
+    flat = mix(flat.view(np.uint64))
     count = max(0, len(flat) - n + 1)
     joined = np.zeros(count, dtype=np.uint64)
     for t in range(n):
@@ -135,6 +148,30 @@ def shingle_sets(words: pa.ListArray, n: int = WORDS) -> Iterator[np.ndarray]:
             yield np.zeros(0, dtype=np.uint64)
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """The parity of the elements per place, for as many places as the next power of two from the size on."""
+    places = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    at = (mix(shingles ^ _M3) & np.uint64(places - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap for fewer places (64 to a word)."""
+    while len(bitmap) > words:
+        half = len(bitmap) // 2
+        bitmap = bitmap[:half] ^ bitmap[half:]
+    return bitmap
+
+
+def may_be_similar(x: bytes, y: bytes, a: int, b: int) -> bool:
+    """False only if the sets of sizes a and b are not similar."""
+    if 100 * min(a, b) < 75 * max(a, b):
+        return False
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    words = min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum()) * 7 <= a + b
+
+
 def class_of(shingles: np.ndarray) -> int:
     """A 64-bit hash of the set, as a signed number."""
     return int((mix(shingles ^ _M1).sum(keepdims=True) + np.uint64(len(shingles))).view(np.int64)[0])
@@ -145,16 +182,17 @@ def _columns(batch: pa.RecordBatch) -> tuple[pa.Array, Iterator[np.ndarray]]:
 
 
 def class_members(docs: DataFrame) -> DataFrame:
-    """(id, n, class, text_hash) of each row."""
+    """(id, n, class, bitmap, text_hash) of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, sets = _columns(batch)
-            told = [(len(s), class_of(s)) for s in sets]
+            told = [(len(s), class_of(s), parities(s)) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([n for n, _ in told], pa.int64()), pa.array([c for _, c in told], pa.int64()), batch.column(2)],
-                names=["id", "n", "class", "text_hash"])
+                [ids, pa.array([n for n, _, _ in told], pa.int64()), pa.array([c for _, c, _ in told], pa.int64()),
+                 pa.array([b for _, _, b in told], pa.binary()), batch.column(2)],
+                names=["id", "n", "class", "bitmap", "text_hash"])
 
-    return hashed_words(docs).mapInArrow(run, "id bigint, n bigint, class bigint, text_hash bigint")
+    return hashed_words(docs).mapInArrow(run, "id bigint, n bigint, class bigint, bitmap binary, text_hash bigint")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -322,59 +360,105 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         run, "a bigint, b bigint")
 
 
+def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sizes and bitmaps of their classes do not exclude."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [may_be_similar(*row) for row in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one, other = (classes.select(F.col("class").alias(x), F.col("n").alias(f"n_{x}"), F.col("bitmap").alias(f"bitmap_{x}"))
+                  for x in "ab")
+    return pairs.join(one, "a").join(other, "b").select("a", "b", "bitmap_a", "bitmap_b", "n_a", "n_b").mapInArrow(
+        run, "a bigint, b bigint")
+
+
+def across(groups: DataFrame) -> DataFrame:
+    """Of groups (sig, node, comp, n, bitmap): the pairs between components that the filter does not exclude.
+
+    A group is dealt out to blocks of about ``BLOCK`` members, and each pair of
+    blocks is compared for itself.
+    """
+    sizes = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.hash("node"), F.col("blocks"))
+    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    dealt = (
+        groups.join(sizes, "sig").withColumn("at", F.explode(others))
+        .select("sig", "at.i", "at.j", "comp", "node", "n", "bitmap")
+        .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, where, found = [], None, set()
+        for batch in batches:
+            for sig, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (sig, i, j) != where:
+                    found.update(_pairs_across(held))
+                    held, where = [], (sig, i, j)
+                held.append(row)
+            if len(found) > 100_000:
+                yield told(found)
+                found = set()
+        found.update(_pairs_across(held))
+        if found:
+            yield told(found)
+
+    def told(found: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs_across(members: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
+    """Pairs (smaller, larger class) of different components of (comp, class, size, bitmap)."""
+    if len({m[0] for m in members}) < 2:
+        return
+    comp, node, size = (np.array(x, dtype=np.int64) for x in list(zip(*members, strict=True))[:3])
+    maps = [np.frombuffer(m[3], np.uint64) for m in members]
+    words = min(map(len, maps))
+    maps = np.stack([folded(m, words) for m in maps])
+    for i in range(len(node) - 1):
+        rest = slice(i + 1, None)
+        low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
+        fits = np.flatnonzero((comp[rest] != comp[i]) & (100 * low >= 75 * high)) + i + 1
+        if len(fits):
+            apart = np.bitwise_count(maps[fits] ^ maps[i]).sum(axis=1, dtype=np.int64)
+            for k in fits[7 * apart <= size[fits] + size[i]]:
+                yield (min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k])))
+
+
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(node, comp): the components of classes that are linked with another one."""
     stars = settled(star_links(docs, frequent_shingles(docs)), "stars")
-    sizes = classes.select("class", "n")
-    sized = (
-        stars.groupBy("a", "b").agg(F.count("*").alias("shared"))
-        .join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a")
-        .join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    )
-    fits = 100 * F.least("na", "nb") >= 75 * F.greatest("na", "nb")
-    pairs = settled(sized.filter(fits).select("a", "b", "shared"), "pairs")
-    # The sets of the classes that some pair asks for, each from one document.
-    asked = settled(stars.select(F.col("a").alias("class")).union(stars.select("b")).distinct()
-                    .join(classes, "class").select(F.col("rep").alias("id")).distinct(), "asked")
-    keyed = docs.withColumn("id", order_id())
-    sets = settled(class_sets(keyed.join(broadcast_if_small(asked, row_bytes=16), "id", "left_semi").select("doc_id", "text"))
-                   .dropDuplicates(["class"]), "sets")
-
-    # First the pair with the most signatures of each member, then what is still between components.
-    best = settled(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a")).select("a", "b"), "best")
-    links = settled(verified(best, sets), "links")
-    comps = components(links)
-    more = settled(between(pairs.select("a", "b").join(best, ["a", "b"], "left_anti"), comps), "more")
-    links = settled(links.union(verified(more, sets)), "links")
+    members = settled(stars.select("sig", F.col("a").alias("node")).union(stars.select("sig", "b")).distinct(), "members")
+    shared = broadcast_if_small(settled(members.groupBy("node").agg(F.count("*").alias("shared")), "shared"), row_bytes=32)
+    hubs = members.join(shared, "node").groupBy("sig").agg(F.max(F.struct("shared", "node")).alias("hub")).select("sig", "hub.node")
+    hubs = hubs.withColumnRenamed("node", "hub")
+    pairs = members.join(hubs, "sig").filter("node <> hub").select(
+        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    pairs = settled(filtered(pairs, classes), "pairs")
+    links = settled(verified(pairs, sets_of(docs, classes, pairs)), "links")
     comps = components(links)
 
-    # Groups that still have several components: all pairs between these, less what is known.
-    mixed = between(stars, comps).select("sig").distinct()
-    groups = stars.join(mixed, "sig", "left_semi")
-    members = groups.select("sig", F.col("a").alias("node")).union(groups.select("sig", "b")).distinct()
-    members = settled(
-        members.join(sizes.withColumnRenamed("class", "node"), "node").join(comps, "node", "left")
-        .select("sig", "node", "n", F.coalesce("comp", "node").alias("comp")), "mixed")
-    x, y = members.alias("x"), members.alias("y")
-    across = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.comp") != F.col("y.comp"))
-                    & (F.col("x.node") < F.col("y.node"))
-                    & (100 * F.least("x.n", "y.n") >= 75 * F.greatest("x.n", "y.n")))
-    known = best.union(more)
-    known = known.union(known.select("b", "a"))
-    rest = settled(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-                   .join(known, ["a", "b"], "left_anti"), "rest")
+    # Groups that still have several components.
+    known = members.join(broadcast_if_small(comps, row_bytes=32), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = known.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig")
+    groups = known.join(mixed, "sig", "left_semi").join(
+        classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("sig", "node", "comp", "n", "bitmap")
+    rest = settled(across(groups).join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return comps
-    last = settled(verified(rest, sets), "last")
-    return comps if last.isEmpty() else components(links.union(last))
+    more = settled(verified(rest, sets_of(docs, classes, rest)), "more")
+    return comps if more.isEmpty() else components(links.union(more))
 
 
-def between(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """The pairs whose ends are in different components."""
-    one = comps.select(F.col("node").alias("a"), F.col("comp").alias("ca"))
-    other = comps.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    return pairs.join(one, "a", "left").join(other, "b", "left").filter(
-        F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
+def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(class, set) of the classes in the pairs, each from one document."""
+    nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    asked = settled(nodes.join(classes, "class").select(F.col("rep").alias("id")).distinct(), "asked")
+    keyed = docs.withColumn("id", order_id()).join(broadcast_if_small(asked, row_bytes=16), "id", "left_semi")
+    return settled(class_sets(keyed.select("doc_id", "text")).dropDuplicates(["class"]), "sets")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -391,8 +475,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     table gives none.
     """
     plain = texts(docs, id_column, text_column)
-    members = settled(class_members(plain), "members")
-    classes = settled(members.filter("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
+    members = settled(class_members(plain), "documents")
+    classes = settled(members.filter("n > 0").groupBy("class").agg(F.min("id").alias("rep"), F.max("n").alias("n"), F.any_value("bitmap").alias("bitmap")), "classes")
     linked = linked_classes(plain, classes)
     known = linked.select(F.col("node").alias("class"), "comp")
     reach = known.join(classes.select("class", "rep"), "class").groupBy("comp").agg(F.min("rep").alias("least"))
