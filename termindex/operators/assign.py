@@ -37,17 +37,22 @@ def apply_rules(tags: DataFrame, rules: DataFrame) -> DataFrame:
     return tags.join(complete, ["filetype", "kind"])
 
 
-def resolve_links(links: DataFrame, hops: int = 8) -> DataFrame:
-    """Follow group links to their end: (src, dst), at most ``hops`` links.
+def resolve_links(links: DataFrame) -> DataFrame:
+    """Follow group links to their end: (src, dst), however long the chain.
 
-    Every round doubles the distance covered, so three joins reach eight links.
+    Every round doubles the distance covered. Rounds end when no link moves on, or
+    with the number that the longest possible chain needs. A group whose links run into a cycle has no end
+    and no row.
     """
-    reach = links.select("src", "dst")
-    for _ in range(math.ceil(math.log2(hops))):
+    links = settled(links.select("src", "dst"))
+    reach = links
+    for _ in range(math.ceil(math.log2(links.count() + 1))):
         onward = reach.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
-        reach = (reach.join(onward, F.col("dst") == F.col("_at"), "left")
-                 .select("src", F.coalesce("_to", "dst").alias("dst")))
-    return reach
+        moved = settled(reach.join(onward, F.col("dst") == F.col("_at"), "left"))
+        reach = moved.select("src", F.coalesce("_to", "dst").alias("dst"))
+        if moved.filter("_to IS NOT NULL").isEmpty():
+            break
+    return reach.join(links.select(F.col("src").alias("dst")), "dst", "left_anti").select("src", "dst")
 
 
 def restore_builtins(assigned: DataFrame, restored: DataFrame) -> DataFrame:

@@ -68,7 +68,9 @@ def render(chunks: DataFrame, rules: DataFrame, separator: str = "|",
 
     ``chunks(filetype, kind, group, chunk, name)``: the names of one chunk, at
     most the chunk size, meet in one row, and only then get their rule. A group
-    without a rule (a restored built-in) has the default borders. Fingerprints
+    without a rule (a restored built-in) has the default borders. A plain match
+    is excluded from the common regions, one with exclusions of its own from what
+    its rule lists, keywords from nothing. Fingerprints
     are taken from the names as they are, so escaping does not change them.
     """
     keys = ["filetype", "kind", "group", "chunk"]
@@ -92,34 +94,20 @@ def render(chunks: DataFrame, rules: DataFrame, separator: str = "|",
         *keys, "form",
         F.size("_names").cast("bigint").alias("n"),
         body.alias("text"),
-        F.array_join("notin", ",").alias("excluded"),
+        F.when(F.col("form") == "match", ",".join(defaults.GLOBAL_NOTIN)).otherwise(
+            F.array_join("notin", ",")).alias("excluded"),
         F.md5(F.array_join("_names", "\n")).alias("fingerprint"))
 
 
-def group_fingerprint(tags: DataFrame, group: Sequence[str], fan: int = defaults.CHUNK_SIZE,
-                      most: int | None = None) -> DataFrame:
-    """One digest per group of names, however large the group.
+def group_fingerprint(tags: DataFrame, group: Sequence[str]) -> DataFrame:
+    """One digest per group of names, whatever the size or order of the group.
 
-    A tree of digests: names are hashed in sorted chunks of ``fan``, then the
-    digests of ``fan`` consecutive chunks, and so on until one is left. A group
-    that fits one chunk has the md5 of its sorted names joined by newlines. No
-    task ever holds more than ``fan`` values of a group.
+    The md5 of ``count:high:low``, where high and low are the sums, over the
+    distinct names, of the first and the next 15 hexadecimal digits of a name's
+    md5. Sums are added up before the shuffle, so a large group needs no task of
+    its own.
     """
-    parts = chunk(tags.select(*group, "name").distinct(), group, fan)
-    level = parts.groupBy(*group, "chunk").agg(
-        F.md5(F.array_join(F.array_sort(F.collect_list("name")), "\n")).alias("_digest"),
-        F.count(F.lit(1)).alias("n"))
-    # Levels needed for the largest group: one row with the largest chunk number.
-    chunks = (most if most is not None else (level.agg(F.max("chunk")).first()[0] or 0) + 1)
-    while chunks > 1:
-        level = (
-            level.withColumn("_up", F.expr(f"chunk div {fan}"))
-            .groupBy(*group, "_up").agg(
-                F.array_sort(F.collect_list(F.struct("chunk", "_digest"))).alias("_sorted"),
-                F.sum("n").alias("n"))
-            .select(*group, F.col("_up").alias("chunk"), "n", F.when(
-                F.size("_sorted") == 1, F.get("_sorted", F.lit(0))["_digest"]).otherwise(
-                F.md5(F.array_join(F.transform("_sorted", lambda s: s["_digest"]), "\n"))).alias("_digest"))
-        )
-        chunks = -(-chunks // fan)
-    return level.select(*group, "n", F.col("_digest").alias("fingerprint"))
+    half = lambda at: F.sum(F.conv(F.substring(F.md5("name"), at, 15), 16, 10).cast("decimal(19,0)")).cast("string")
+    return tags.select(*group, "name").distinct().groupBy(*group).agg(
+        F.count(F.lit(1)).alias("n"), half(1).alias("_high"), half(16).alias("_low")).select(
+        *group, "n", F.md5(F.concat_ws(":", F.col("n").cast("string"), "_high", "_low")).alias("fingerprint"))

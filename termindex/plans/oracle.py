@@ -322,13 +322,10 @@ def chunked(source: str, by: str) -> str:
 
 
 def fingerprints() -> str:
-    levels = [f"""l0 AS (SELECT filetype, kind, chunk, md5(string_agg(name, chr(10) ORDER BY name)) AS d, count(*) AS n
-                  FROM ({chunked('best', 'filetype, kind')}) GROUP BY ALL)"""]
-    for i in range(1, 7):
-        levels.append(f"""l{i} AS (SELECT filetype, kind, chunk // {b.CHUNK} AS chunk,
-            CASE WHEN count(*) = 1 THEN min(d) ELSE md5(string_agg(d, chr(10) ORDER BY l.chunk)) END AS d, sum(n) AS n
-            FROM l{i - 1} l GROUP BY filetype, kind, l.chunk // {b.CHUNK})""")
-    return sql("best", "SELECT filetype, kind, n::BIGINT AS n, d AS fingerprint FROM l6", *levels)
+    half = lambda at: f"sum(CAST('0x' || substr(md5(name), {at}, 15) AS HUGEINT))"
+    return sql("best", "SELECT filetype, kind, count(*) AS n, "
+               f"md5(count(*) || ':' || {half(1)} || ':' || {half(16)}) AS fingerprint "
+               "FROM (SELECT DISTINCT filetype, kind, name FROM best) GROUP BY ALL")
 
 
 DEF_P, DEF_S = lit(r.DEFAULT_PREFIX), lit(r.DEFAULT_SUFFIX)
@@ -347,7 +344,9 @@ def rendered(escape: bool) -> list[str]:
         f"""srow AS (SELECT filetype, kind, grp, chunk, count(*) AS n, bool_or(contains(name, '.')) AS dotted,
                string_agg({shown}, '|' ORDER BY name) AS bars, string_agg({shown}, ' ' ORDER BY name) AS blanks,
                md5(string_agg(name, chr(10) ORDER BY name)) AS fingerprint FROM sch GROUP BY ALL)""",
-        f"""sout AS (SELECT s.*, x.prefix, x.suffix, x.notin AS excluded,
+        f"""sout AS (SELECT s.*, x.prefix, x.suffix,
+               CASE WHEN x.notin <> '' THEN x.notin WHEN x.prefix = {DEF_P} AND x.suffix = {DEF_S} AND x.allow_keyword = 1
+                    AND NOT dotted THEN '' ELSE {lit(','.join(r.GLOBAL_NOTIN))} END AS excluded,
                CASE WHEN x.notin <> '' THEN 'excluding'
                     WHEN x.prefix = {DEF_P} AND x.suffix = {DEF_S} AND x.allow_keyword = 1 AND NOT dotted
                     THEN 'keyword' ELSE 'match' END AS form
@@ -526,11 +525,11 @@ SQL: dict[str, str] = {
     "apply_rules": sql("hits rules", "SELECT h.filetype, h.kind, h.name, r.grp, r.prefix, r.suffix, r.allow_keyword "
                        "FROM hits h JOIN rules r USING (filetype, kind)"),
     "resolve_group_links": sql(
-        "grouped", "SELECT grp AS src, e.dst, count(*) AS n FROM grouped JOIN (SELECT src, arg_max(dst, depth) AS dst "
-        "FROM walk GROUP BY src) e ON e.src = grp GROUP BY ALL",
+        "grouped", "SELECT grp AS src, e.dst, count(*) AS n FROM grouped JOIN (SELECT src, dst FROM walk "
+        "WHERE dst NOT IN (SELECT src FROM links)) e ON e.src = grp GROUP BY ALL",
         f"links AS {values(r.GROUP_LINKS, 'src, dst')}",
-        "walk AS (SELECT src, dst, 1 AS depth FROM links UNION ALL SELECT w.src, l.dst, depth + 1 FROM walk w "
-        "JOIN links l ON l.src = w.dst WHERE depth < 8)").replace("WITH ", "WITH RECURSIVE ", 1),
+        "walk AS (SELECT src, dst FROM links UNION SELECT w.src, l.dst FROM walk w "
+        "JOIN links l ON l.src = w.dst)").replace("WITH ", "WITH RECURSIVE ", 1),
     "restore_builtin_groups": sql(
         "grouped restored", "SELECT g.filetype, g.kind, g.name, coalesce(x.grp, g.grp) AS grp FROM grouped g "
         "LEFT JOIN restored x USING (filetype, name)"),
@@ -579,7 +578,8 @@ SQL: dict[str, str] = {
         f"SELECT m.filetype, m.kind, m.grp, m.chunk, CASE WHEN coalesce(r.prefix, {DEF_P}) = {DEF_P} "
         f"AND coalesce(r.suffix, {DEF_S}) = {DEF_S} AND coalesce(r.allow_keyword, 1) = 1 AND NOT dotted THEN 'keyword' "
         f"ELSE 'match' END AS form, n, CASE WHEN form = 'keyword' THEN blanks ELSE coalesce(r.prefix, {DEF_P}) || bars "
-        f"|| coalesce(r.suffix, {DEF_S}) END AS text, '' AS excluded, fingerprint "
+        f"|| coalesce(r.suffix, {DEF_S}) END AS text, "
+        f"CASE WHEN form = 'keyword' THEN '' ELSE {lit(','.join(r.GLOBAL_NOTIN))} END AS excluded, fingerprint "
         "FROM mrow m LEFT JOIN rules r USING (filetype, kind, grp)",
         f"clean AS (SELECT doc_id, filetype, CASE filetype WHEN 'python' THEN {CLEAN_PY} ELSE {CLEAN_C} END AS text FROM code)",
         f"cwords AS (SELECT DISTINCT filetype, unnest({found('text', IDENT)}) AS name FROM clean)",

@@ -459,7 +459,7 @@ def empty_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def group_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return render.group_fingerprint(_best(spark, sf), ["filetype", "kind"], b.CHUNK)
+    return render.group_fingerprint(_best(spark, sf), ["filetype", "kind"])
 
 
 # --- ranks and chunks --------------------------------------------------------

@@ -15,7 +15,9 @@ def read_corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """
     files = spark.read.text(paths if isinstance(paths, str) else list(paths),
                             wholetext=True, recursiveFileLookup=True)
-    path = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/*", "/")
+    # The scan gives a URI: drop scheme and authority, decode the rest ("+" is no blank in a path).
+    bare = F.regexp_replace(F.col("_metadata.file_path"), r"^[A-Za-z0-9+.-]+:(?://[^/]*)?/*", "/")
+    path = F.url_decode(F.regexp_replace(bare, r"\+", "%2B"))
     return files.select(
         F.xxhash64(path).alias("doc_id"), path.alias("path"),
         F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1)).alias("ext"),

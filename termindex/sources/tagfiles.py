@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gzip
+import io
 import lzma
 import uuid
 from collections.abc import Iterator, Sequence
@@ -19,10 +21,15 @@ BYTES_PER_STEP = 1 << 20
 def read_tags(spark: SparkSession, paths: str | Sequence[str], partitions: int | None = None) -> DataFrame:
     """Non-empty lines of plain and gzip tag files, decoded by suffix.
 
-    A gzip file cannot be split, so its lines can be dealt to ``partitions``
-    tasks after the read; plain files are split by the scan.
+    Lines end at newlines only: a carriage return is part of its line. A gzip
+    file cannot be split, so its lines can be dealt to ``partitions`` tasks after
+    the read; plain files are split by the scan. Other suffixes are not decoded,
+    so an xz file is refused here.
     """
-    lines = spark.read.text(paths if isinstance(paths, str) else list(paths)).filter("value <> ''")
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    if any(p.endswith(".xz") for p in listed):
+        raise ValueError("xz tag files are read by read_tags_xz")
+    lines = spark.read.option("lineSep", "\n").text(listed).filter("value <> ''")
     return lines.repartition(partitions) if partitions else lines
 
 
@@ -36,6 +43,12 @@ def _lines(packed: bytes) -> Iterator[pd.DataFrame]:
     """Decoded lines in bounded batches; the unpacked file is never held whole."""
     if not packed:
         return
+    if packed[:2] == b"\x1f\x8b":
+        yield from _gzip_lines(packed)
+        return
+    if packed[:6] != b"\xfd7zXZ\x00":
+        yield from _plain_lines(packed)
+        return
     decoder, rest, pending = lzma.LZMADecompressor(), b"", []
     feed = packed
     while True:
@@ -58,6 +71,27 @@ def _lines(packed: bytes) -> Iterator[pd.DataFrame]:
         yield _frame(pending)
 
 
+def _gzip_lines(packed: bytes) -> Iterator[pd.DataFrame]:
+    with gzip.GzipFile(fileobj=io.BytesIO(packed)) as stream:
+        yield from _batched(line.rstrip(b"\n") for line in stream)
+
+
+def _plain_lines(packed: bytes) -> Iterator[pd.DataFrame]:
+    yield from _batched(line.rstrip(b"\n") for line in io.BytesIO(packed))
+
+
+def _batched(lines: Iterator[bytes]) -> Iterator[pd.DataFrame]:
+    pending = []
+    for line in lines:
+        if line:
+            pending.append(line)
+        if len(pending) >= LINES_PER_BATCH:
+            yield _frame(pending)
+            pending = []
+    if pending:
+        yield _frame(pending)
+
+
 def _frame(lines: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"value": [line.decode("utf-8", "replace") for line in lines]})
 
@@ -87,14 +121,18 @@ def read_tag_manifest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
 
     A file that does not exist and a codec that is not known are skipped, the
     latter with a warning. The manifest is a list of file names, as a scan
-    needs it on the driver; the lines stay distributed. A plain or gzip file is
-    read as its codec says, so a gzip file must carry the ``.gz`` suffix.
+    needs it on the driver; the lines stay distributed. A file is decoded as its
+    codec says: the text scan takes plain and gzip files whose suffix agrees, all
+    others are read whole and unpacked in bounded batches.
     """
     listed = [(row["path"], row["codec"]) for row in manifest.toLocalIterator()]
-    for codec in sorted({c for _, c in listed if c not in CODECS}):
+    for codec in sorted({str(c) for _, c in listed if c not in CODECS}):
         print(f"tag manifest: skipping files with unknown codec {codec!r}")
-    text = _existing(spark, [p for p, c in listed if c in ("none", "gzip")])
-    packed = _existing(spark, [p for p, c in listed if c == "lzma"])
+    agrees = {"none": lambda p: not p.endswith((".gz", ".xz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")),
+              "gzip": lambda p: p.endswith(".gz"), "lzma": lambda p: False}
+    known = [(p, c) for p, c in listed if c in CODECS]
+    text = _existing(spark, [p for p, c in known if agrees[c](p)])
+    packed = _existing(spark, [p for p, c in known if not agrees[c](p)])
     parts = []
     if text:
         parts.append(read_tags(spark, text))
@@ -109,7 +147,8 @@ def tag_lines(tags: DataFrame) -> DataFrame:
     """Catalogue rows as tag lines, keeping other columns such as partition keys."""
     parts = [F.col("name"), F.col("file"), F.col("pattern"), F.col("kind"),
              F.concat(F.lit("language:"), F.col("lang"))]
-    line = F.concat_ws("\t", *parts).alias("value")
+    # A field without a value keeps its place.
+    line = F.concat_ws("\t", *[F.coalesce(p, F.lit("")) for p in parts]).alias("value")
     kept = [c for c in tags.columns if c not in ("name", "file", "pattern", "kind", "lang")]
     return tags.select(line, *kept)
 
@@ -119,11 +158,14 @@ def write_tags(lines: DataFrame, folder: str, codec: str = "gzip",
     """Write tag lines compressed, one target folder per root and filetype.
 
     The rows are rebalanced by target: small targets get one file each, and a
-    target with a large part of all rows is divided over several files.
+    target with a large part of all rows is divided over several files. Targets
+    that the rows name are replaced, others stay; without ``by`` the folder is
+    replaced.
     """
     spread = lines.hint("rebalance", *by) if by else lines
     if codec in ("none", "gzip"):
-        writer = spread.write.mode("append").option("compression", codec)
+        writer = (spread.write.mode("overwrite").option("compression", codec)
+                  .option("partitionOverwriteMode", "dynamic"))
         (writer.partitionBy(*by) if by else writer).text(folder)
     elif codec == "lzma":
         _write_xz(spread, folder, list(by))
@@ -137,12 +179,18 @@ def _write_xz(lines: DataFrame, folder: str, by: list[str]) -> None:
     Spark has no xz writer. A task that is run again writes new names, and only
     the files of the tasks that finished are moved to their place at the end.
     """
-    staging = f"{folder.rstrip('/')}/_staging-{uuid.uuid4().hex}"
+    spark = lines.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    given = jvm.org.apache.hadoop.fs.Path(folder)
+    folder = given.getFileSystem(conf).makeQualified(given).toString().rstrip("/")
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[len("file:"):]
+    staging = f"{folder}/_staging-{uuid.uuid4().hex}"
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import pyarrow.fs as pafs
 
-        store, root = pafs.FileSystem.from_uri(staging if "://" in staging else f"file://{staging}")
+        store, root = pafs.FileSystem.from_uri(staging)
         store.create_dir(root, recursive=True)
         attempt = uuid.uuid4().hex
         current, stream, packer, done = None, None, None, []
@@ -168,14 +216,18 @@ def _write_xz(lines: DataFrame, folder: str, by: list[str]) -> None:
 
     ordered = lines.sortWithinPartitions(*by) if by else lines
     finished = settled(ordered.mapInPandas(pack, "target string, name string"))
-    spark = lines.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    replaced = set()
     for row in finished.toLocalIterator():
         source = jvm.org.apache.hadoop.fs.Path(f"{staging}/{row['name']}")
-        target = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{row['target']}")
-        fs = target.getFileSystem(conf)
-        fs.mkdirs(target.getParent())
-        fs.rename(source, target)
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{row['target']}")
+        fs, parent = target.getFileSystem(conf), target.getParent()
+        if parent.toString() not in replaced:
+            replaced.add(parent.toString())
+            for old in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{parent.toString()}/part-*.xz")) or []:
+                fs.delete(old.getPath(), False)
+        fs.mkdirs(parent)
+        if not fs.rename(source, target):
+            raise OSError(f"{source.toString()} could not be moved to {target.toString()}; it is still there")
     # What is left was written by attempts that did not finish.
     rest = jvm.org.apache.hadoop.fs.Path(staging)
     rest.getFileSystem(conf).delete(rest, True)

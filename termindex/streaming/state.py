@@ -17,6 +17,9 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
+PRUNED_KEYS = 1000
+
+
 def keep_state_on_disk(spark: SparkSession) -> None:
     """State of many buffers does not fit in executor memory; keyed state needs RocksDB."""
     spark.conf.set(PROVIDER, ROCKSDB)
@@ -169,15 +172,27 @@ def reindex_per_batch(units: DataFrame, extract: Callable[[DataFrame], DataFrame
 
     ``units`` is the corpus with a ``root_key``; the events of a batch carry
     ``root_key`` and ``forced``. Only partitions of touched units are rewritten,
-    so a repeated batch ends in the same catalogue. A unit with a large part of
-    all symbols is divided over several files.
+    so a repeated batch ends in the same catalogue; the partition of a touched
+    unit that has no symbols any more goes. With ``units`` stored by ``root_key``
+    only the touched partitions are read: their keys come to the driver if there
+    are at most ``PRUNED_KEYS`` and become a filter of the scan. A unit with a
+    large part of all symbols is divided over several files.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
         touched = settled(batch.filter("forced").select("root_key").distinct())
-        symbols = extract(lookup(units, touched, ["root_key"], "left_semi", salt_by=F.col("path")))
+        keys = [row[0] for row in touched.limit(PRUNED_KEYS + 1).collect()]
+        asked = units.filter(F.col("root_key").isin(keys)) if len(keys) <= PRUNED_KEYS else units
+        symbols = settled(extract(lookup(asked, touched, ["root_key"], "left_semi", salt_by=F.col("path"))))
         (symbols.hint("rebalance", "root_key").write.mode("overwrite")
          .option("partitionOverwriteMode", "dynamic").partitionBy("root_key").parquet(target))
+        emptied = touched.join(symbols.select("root_key").distinct(), "root_key", "left_anti")
+        spark = batch.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        for row in emptied.toLocalIterator():
+            path = jvm.org.apache.hadoop.fs.Path(target, f"root_key={escaped.escapePathName(row[0])}")
+            path.getFileSystem(conf).delete(path, True)
 
     return step
 

@@ -92,6 +92,10 @@ def test_links(spark):
     assert len(links) == len(defaults.GROUP_LINKS)
     chain = cfg.group_links(spark, [(f"g{i}", f"g{i + 1}") for i in range(8)])
     assert {r["src"]: r["dst"] for r in assign.resolve_links(chain).collect()}["g0"] == "g8"
+    for n in (12, 1000):
+        long = spark.createDataFrame([(f"g{i}", f"g{i + 1}") for i in range(n)] + [("x", "y"), ("y", "z"), ("z", "y"), ("q", "q")],
+                                     "src string, dst string")
+        assert {r["src"]: r["dst"] for r in assign.resolve_links(long).collect()} == {f"g{i}": f"g{n}" for i in range(n)}
 
 
 def test_builtins_win(spark, rows):

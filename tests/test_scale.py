@@ -100,22 +100,20 @@ def test_present_tags_beyond_the_broadcast_bound(spark, rows, monkeypatch):
     assert rows(present_tags(tokens, tags)) == small
 
 
-def test_fingerprint_tree(spark):
-    names = [f"n{i:04d}" for i in range(300)]
-    df = spark.createDataFrame([("c", "f", n) for n in names] + [("c", "v", "x"), ("c", "v", "w")],
+def test_fingerprint_has_one_definition(spark):
+    groups = {"f": [f"n{i:04d}" for i in range(3000)], "v": ["x", "w"], "one": ["a"]}
+    df = spark.createDataFrame([("c", k, n) for k, names in groups.items() for n in [*names, names[0]]],
                                "filetype string, kind string, name string")
 
-    def md5(parts):
-        return hashlib.md5("\n".join(parts).encode()).hexdigest()
-
-    level = [md5(names[i:i + 8]) for i in range(0, 300, 8)]
-    while len(level) > 1:
-        level = [md5(level[i:i + 8]) if len(level[i:i + 8]) > 1 else level[i] for i in range(0, len(level), 8)]
-    got = {r["kind"]: r for r in render.group_fingerprint(df, ["filetype", "kind"], 8).collect()}
-    assert got["f"]["fingerprint"] == level[0] and got["f"]["n"] == 300
-    assert got["v"]["fingerprint"] == md5(["w", "x"])
-    again = render.group_fingerprint(df.repartition(5).orderBy(F.rand(3)), ["filetype", "kind"], 8)
-    assert {r["kind"]: r["fingerprint"] for r in again.collect()} == {k: r["fingerprint"] for k, r in got.items()}
+    def told(names):
+        digests = [hashlib.md5(n.encode()).hexdigest() for n in names]
+        high, low = (sum(int(d[at:at + 15], 16) for d in digests) for at in (0, 15))
+        return hashlib.md5(f"{len(names)}:{high}:{low}".encode()).hexdigest()
+
+    got = {r["kind"]: (r["n"], r["fingerprint"]) for r in render.group_fingerprint(df, ["filetype", "kind"]).collect()}
+    assert got == {k: (len(names), told(names)) for k, names in groups.items()}
+    again = render.group_fingerprint(df.repartition(5).orderBy(F.rand(3)), ["filetype", "kind"])
+    assert {r["kind"]: (r["n"], r["fingerprint"]) for r in again.collect()} == got
 
 
 def test_chunks_partition_a_group(spark, hot):

@@ -72,3 +72,48 @@ def test_documents(spark, tmp_path):
     got = {r["path"].rsplit("/", 1)[1]: r for r in read_corpus(spark, str(tmp_path / "d")).collect()}
     assert got["a.C"]["text"] == "int x;\n\nint y;" and got["a.C"]["ext"] == "c"
     assert got["b.py"]["text"] == "z" and len({r["doc_id"] for r in got.values()}) == 2
+
+
+def test_carriage_returns_stay(spark, tmp_path):
+    lines = ["a\tf.c\t/^int a()\r$/;\"\tf", "b\tf.c\t/^b$/;\"\tv"]
+    data = ("\n".join(lines) + "\n").encode()
+    for name, packed in (("a.tags", data), ("b.tags.gz", gzip.compress(data))):
+        (tmp_path / name).write_bytes(packed)
+        assert values(tagfiles.read_tags(spark, str(tmp_path / name))) == sorted(lines)
+    (tmp_path / "c.xz").write_bytes(lzma.compress(data))
+    assert values(tagfiles.read_tags_xz(spark, str(tmp_path / "c.xz"))) == sorted(lines)
+    with pytest.raises(ValueError):
+        tagfiles.read_tags(spark, str(tmp_path / "c.xz"))
+
+
+def test_manifest_decodes_by_codec(spark, tmp_path):
+    data = b"x\ty\tz\n"
+    (tmp_path / "plain_name").write_bytes(gzip.compress(data))
+    (tmp_path / "odd.gz").write_bytes(data)
+    (tmp_path / "packed").write_bytes(lzma.compress(data))
+    listed = [("plain_name", "gzip"), ("odd.gz", "none"), ("packed", "lzma"), ("absent", "none"), ("odd.gz", "brotli")]
+    manifest = spark.createDataFrame([(str(tmp_path / p), c) for p, c in listed], "path string, codec string")
+    assert values(tagfiles.read_tag_manifest(spark, manifest)) == ["x\ty\tz"] * 3
+
+
+@pytest.mark.parametrize("codec", ["none", "lzma"])
+def test_writing_again_replaces(spark, tmp_path, codec):
+    df = spark.createDataFrame([("r1", "c", "one"), ("r2", "c", "two")], "root_key string, filetype string, value string")
+    folder = f"file:{tmp_path}/again"
+    tagfiles.write_tags(df, folder, codec)
+    tagfiles.write_tags(df.filter("root_key = 'r1'"), folder, codec)
+    read = tagfiles.read_tags_xz if codec == "lzma" else tagfiles.read_tags
+    got = read(spark, [f"{tmp_path}/again/root_key=r1/filetype=c", f"{tmp_path}/again/root_key=r2/filetype=c"])
+    assert values(got) == ["one", "two"]
+
+
+def test_corpus_paths_are_decoded(spark, tmp_path):
+    (tmp_path / "d e+f").mkdir()
+    (tmp_path / "d e+f" / "a b%c.C").write_text("x")
+    row = read_corpus(spark, str(tmp_path / "d e+f")).first()
+    assert row["path"] == f"{tmp_path}/d e+f/a b%c.C" and row["ext"] == "c"
+
+
+def test_round_trip_keeps_empty_fields(spark):
+    df = spark.createDataFrame([("n", "f.c", None, "f", "C")], "name string, file string, pattern string, kind string, lang string")
+    assert tagfiles.tag_lines(df).first()["value"] == "n\tf.c\t\tf\tlanguage:C"
