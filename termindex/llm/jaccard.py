@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termindex.llm.common import BLANK_CLASS, LAST_ID, ascii_lower, broadcast_if_small, order_id, read, texts
+from termindex.llm.common import LAST_ID, broadcast_if_small, order_id, read, texts
 from termindex.llm.components import components
 from termindex.session import settled
 
@@ -115,35 +115,79 @@ def signatures(shingles: np.ndarray, frequent: np.ndarray, held: Bands) -> np.nd
     return np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    """(id, words, text_hash): each word of the lower-cased text as a 64-bit hash, in order."""
-    words = F.filter(F.split(ascii_lower(F.col("text")), BLANK_CLASS + "+"), lambda w: w != "")
-    return docs.select(order_id().alias("id"), F.transform(words, lambda w: F.xxhash64(w)).alias("words"),
-                       F.xxhash64("text").alias("text_hash"))
+def rows_of(docs: DataFrame) -> DataFrame:
+    """(id, text, text_hash) of each row."""
+    return docs.select(order_id().alias("id"), "text", F.xxhash64("text").alias("text_hash"))
 
 
-def shingle_sets(words: pa.ListArray, n: int = WORDS) -> Iterator[np.ndarray]:
-    """The sorted distinct shingles of each row; a shorter text is one shingle."""
-    for begin in range(0, len(words), ROWS):
-        yield from _shingled(words.slice(begin, ROWS), n)
+_SPACE = np.isin(np.arange(256), [*range(9, 14), 32])
+_LOWER = np.arange(256)
+_LOWER[65:91] += 32
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * _M3)[_LOWER]  # a number for each byte, A-Z as a-z
+_STEP = 1 << 16
 
 
-def _shingled(words: pa.ListArray, n: int) -> Iterator[np.ndarray]:
-    ends = words.offsets.to_numpy()
-    flat = words.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False).astype(np.int64, copy=False)
-    ends = ends - ends[0]
-    flat = mix(flat.view(np.uint64))
-    count = max(0, len(flat) - n + 1)
+class WordHashes:
+    """Hashes of the words of many texts at once: a polynomial in 64 bits of the numbers of their bytes."""
+
+    def __init__(self):
+        self.near, self.far = (self._powers(pow(int(_M1), e, 1 << 64)) for e in (1, _STEP))
+
+    @staticmethod
+    def _powers(base: int) -> np.ndarray:
+        out = np.ones(1, dtype=np.uint64)
+        while len(out) < _STEP:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+        return out
+
+    def of(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, where each text's words begin) of the bytes of texts that begin at ``starts`` (with the end last)."""
+        inside = ~_SPACE[data]
+        first = inside.copy()
+        first[1:] &= ~inside[:-1]
+        heads = starts[:-1][starts[:-1] < len(data)]
+        first[heads] = inside[heads]
+        begins = np.flatnonzero(first)
+        bounds = np.searchsorted(begins, starts)
+        if not len(begins):
+            return np.zeros(0, dtype=np.uint64), bounds
+        at = np.flatnonzero(inside)
+        word = np.cumsum(first)[at] - 1
+        place = at - begins[word]
+        value = _BYTE[data[at]] * self.near[place % _STEP]
+        if place.max() >= _STEP:
+            value *= self.far[place // _STEP]
+        cuts = np.searchsorted(at, begins)
+        length = np.diff(np.append(cuts, len(at))).astype(np.uint64)
+        return mix(np.add.reduceat(value, cuts) + length * _M2), bounds
+
+
+_HASHES = WordHashes()
+
+
+def shingle_sets(texts: pa.Array, n: int = WORDS) -> Iterator[np.ndarray]:
+    """The sorted distinct shingles of each text; a text of fewer words is one shingle."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, held = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    whole = np.frombuffer(held, np.uint8) if held is not None else np.zeros(0, np.uint8)
+    for begin in range(0, len(texts), ROWS):
+        part = offsets[begin:begin + ROWS + 1]
+        yield from _shingled(*_HASHES.of(whole[part[0]:part[-1]], part - part[0]), n)
+
+
+def _shingled(words: np.ndarray, ends: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    count = max(0, len(words) - n + 1)
     joined = np.zeros(count, dtype=np.uint64)
     for t in range(n):
-        joined += flat[t:t + count] * _PLACE[t]
+        joined += words[t:t + count] * _PLACE[t]
     joined = mix(joined)
     for begin, end in zip(ends[:-1], ends[1:], strict=True):
         size = int(end - begin)
         if size >= n:
             yield np.unique(joined[begin:end - n + 1])
         elif size:
-            yield mix((flat[begin:end] * _PLACE[:size]).sum(keepdims=True) + np.uint64(size) * _PLACE[5])
+            yield mix((words[begin:end] * _PLACE[:size]).sum(keepdims=True) + np.uint64(size) * _PLACE[5])
         else:
             yield np.zeros(0, dtype=np.uint64)
 
@@ -192,7 +236,7 @@ def class_members(docs: DataFrame) -> DataFrame:
                  pa.array([b for _, _, b in told], pa.binary()), batch.column(2)],
                 names=["id", "n", "class", "bitmap", "text_hash"])
 
-    return hashed_words(docs).mapInArrow(run, "id bigint, n bigint, class bigint, bitmap binary, text_hash bigint")
+    return rows_of(docs).mapInArrow(run, "id bigint, n bigint, class bigint, bitmap binary, text_hash bigint")
 
 
 def class_sets(docs: DataFrame) -> DataFrame:
@@ -204,7 +248,7 @@ def class_sets(docs: DataFrame) -> DataFrame:
                 [pa.array([class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
                 names=["class", "set"])
 
-    return hashed_words(docs).mapInArrow(run, "class bigint, set binary")
+    return rows_of(docs).mapInArrow(run, "class bigint, set binary")
 
 
 def frequent_shingles(docs: DataFrame, sample_texts: int = SAMPLE_TEXTS) -> np.ndarray:
@@ -334,7 +378,7 @@ def star_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sig), pa.array(a), pa.array(b)], names=["sig", "a", "b"])
 
     return (
-        hashed_words(docs).mapInArrow(signed, "key bigint, bucket int, blob binary")
+        rows_of(docs).mapInArrow(signed, "key bigint, bucket int, blob binary")
         .repartition(parts, "key").mapInArrow(met, "sig bigint, a bigint, b bigint")
     )
 
