@@ -487,7 +487,11 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     # Groups that still have several components.
     known = members.join(broadcast_if_small(comps, row_bytes=32), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = known.groupBy("sig").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("sig")
+    # Many signatures have the same members: one of them is enough.
+    mixed = known.groupBy("sig").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"),
+        F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), F.col("node"))).alias("h2")).filter("x <> y")
+    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
     groups = known.join(mixed, "sig", "left_semi").join(
         classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("sig", "node", "comp", "n", "bitmap")
     rest = settled(across(groups).join(pairs, ["a", "b"], "left_anti"), "rest")
