@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,11 +46,15 @@ def clean_corpus(corpus: DataFrame, languages: DataFrame, families: DataFrame,
     return known.withColumn("text", cleaned).select(*corpus.columns)
 
 
-def tokenize(corpus: DataFrame, mode: str = "ident", distinct: bool = True) -> DataFrame:
+def tokenize(corpus: DataFrame, mode: str = "ident", distinct: bool = True,
+             scoped: Sequence[str] = ()) -> DataFrame:
     """(doc_id, filetype, name); each name once per document unless told otherwise (K1-K3, A1).
 
+    Documents whose first filetype part is in ``scoped`` have scoped names.
     Repeats are removed inside the row, before the array is unfolded.
     """
     found = tx.words("text", mode)
+    if scoped:
+        found = F.when(F.lower(first_part("filetype")).isin(list(scoped)), tx.words("text", "scoped")).otherwise(found)
     return corpus.select("doc_id", "filetype",
                          F.explode(F.array_distinct(found) if distinct else found).alias("name"))

@@ -248,6 +248,9 @@ GLOBAL_NOTIN = [
     "cCppOutIf2", "pythonDocTest", "pythonDocTest2",
 ]
 
+# --- fixed values: filetypes whose names may carry a scope ("s:name") ---------
+SCOPED_FILETYPES = ("vim",)
+
 # --- fixed values: filetypes that are never processed ------------------------
 IGNORED_FILETYPES = [
     "cfg", "conf", "help", "mail", "markdown", "nerdtree", "nofile",

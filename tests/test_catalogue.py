@@ -166,3 +166,20 @@ def test_languages(spark, rows):
     assert rows(cat.split_filetype(parts).select("part_no", "part")) == [(0, "a"), (1, "b")]
     assert cat.drop_ignored_filetypes(spark.createDataFrame([("",), ("text",), ("c",)], "filetype string")).count() == 1
     assert tags_of(spark).filter(F.col("lang") == "C++").count() == 2
+
+
+def test_chain_options(spark):
+    tags = spark.createDataFrame(
+        [("s:foo", "a.vim", "f", "Vim"), ("bar", "own.vim", "f", "Vim"), ("g:x.y", "a.vim", "v", "Vim"), ("s:gone", "a.vim", "f", "Vim")],
+        "name string, file string, kind string, lang string")
+    corpus = spark.createDataFrame([(1, "own.vim", "vim", "call s:foo() now")], "doc_id long, path string, filetype string, text string")
+    settings = Settings.default(spark)
+
+    def names():
+        return {w for r in build_matchers(corpus, tags, settings).collect() for w in r["text"].split("=")[-1].removesuffix(r"\>").split("|")}
+
+    assert names() == {"foo"}
+    settings.same_file = True
+    assert names() == {"foo", "bar"}
+    settings.same_file, settings.special = False, True
+    assert {r["kind"] for r in build_matchers(corpus, tags, settings).collect()} == {"f", "v"}
