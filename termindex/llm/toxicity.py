@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, ma
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter(
         "doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    train = settled(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"), "labelled")
+    train = settled(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic").repartition(32), "labelled")
     sums = train.agg(F.sum("toxic"), F.count("*")).first()
     lexicon = Lexicon(toxic=int(sums[0] or 0), other=int(sums[1] - (sums[0] or 0)), exceptions=exceptions)
     if not lexicon.toxic or not lexicon.other:
