@@ -443,7 +443,7 @@ SQL: dict[str, str] = {
           WHEN 0 THEN 'doc' || doc_id || '/Makefile' WHEN 1 THEN 'a' || doc_id || 'config.log'
           WHEN 2 THEN '.mypy_cache/' || doc_id || '.json' WHEN 3 THEN 'configure' || doc_id
           ELSE 'doc' || doc_id || '.c' END AS path FROM documents)
-        WHERE len(list_filter(string_split(path, '/'), part -> {" OR ".join(f"part GLOB {lit(g)}" for g in r.EXCLUDED_GLOBS)})) = 0""",
+        WHERE len(list_filter(string_split(path, '/'), lambda part: {" OR ".join(f"part GLOB {lit(g)}" for g in r.EXCLUDED_GLOBS)})) = 0""",
     "scan_unit": sql("units", "SELECT doc_id, path, unit FROM units"),
     "stale_units": sql(
         "units reg", """SELECT u.unit, g.run FROM (SELECT DISTINCT unit FROM units) u
