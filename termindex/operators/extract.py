@@ -68,12 +68,15 @@ def directory(path: Column | str) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def scan_unit(files: DataFrame, norecurse: Iterable[str] | None = None) -> DataFrame:
+def scan_unit(files: DataFrame, norecurse: Iterable[str] | None = None, recursive: bool = True) -> DataFrame:
     """Indexing unit of each file, added as ``unit``.
 
     ``files(path, project)``: the file itself if its directory is not to be
-    descended into, else its project, else its directory.
+    descended into or nothing is (``recursive`` off), else its project, else its
+    directory.
     """
+    if not recursive:
+        return files.withColumn("unit", F.col("path"))
     norecurse = defaults.NORECURSE_DIRS if norecurse is None else list(norecurse)
     folder = F.when(directory("path") == "", F.lit("/")).otherwise(directory("path"))
     return files.withColumn(

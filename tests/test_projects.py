@@ -87,6 +87,7 @@ def test_units(spark, rows):
                   "path string, project string")
     assert rows(extract.scan_unit(files).select("path", "unit")) == [
         ("/a.c", "/a.c"), ("/p/x/a.c", "/p"), ("/q/a.c", "/q"), ("/usr/include/a.h", "/usr/include/a.h")]
+    assert rows(extract.scan_unit(files, recursive=False).filter("unit <> path")) == []
     units = table(spark, [("/p", 1), ("/q", 0), ("/r", None), ("/s", 1)], "unit string, run int")
     manifest = table(spark, [("/p", 10), ("/s", 0)], "unit string, size bigint")
     assert rows(extract.units_to_index(units, manifest).select("unit")) == [("/r",), ("/s",)]
