@@ -7,8 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termindex.session import settled
+
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 16
+HEAVY_ROWS = 1_000_000  # rows of a key that one task may well join
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -24,18 +26,28 @@ def measured_bytes(df: DataFrame) -> int:
 
 def lookup(facts: DataFrame, dim: DataFrame, keys: Sequence[str], how: str = "inner",
            salt_by: Column | None = None, limit: int = BROADCAST_BYTES,
-           salts: int = SALTS) -> DataFrame:
+           heavy: int = HEAVY_ROWS) -> DataFrame:
     """Join ``facts`` with ``dim`` on ``keys``.
 
     ``dim`` should be settled: it is measured first. Up to ``limit`` bytes it is
-    broadcast. Beyond that both sides are shuffled, and a key that holds a large
-    part of ``facts`` is divided over ``salts`` tasks: each row takes a salt from
-    ``salt_by`` and ``dim`` is repeated once per salt. The result is the same.
+    broadcast. Beyond that both sides are shuffled, and a key of more than
+    ``heavy`` rows of ``facts`` is divided over as many tasks as it has parts of
+    that size: its rows take a salt from ``salt_by``, and only its rows of
+    ``dim`` are repeated. Counting the keys costs one aggregation of ``facts``.
+    The result is the same.
     """
     keys = list(keys)
     if measured_bytes(dim) <= limit:
         return facts.join(F.broadcast(dim), keys, how)
     salt_by = salt_by if salt_by is not None else F.xxhash64(*facts.columns)
-    salted = facts.withColumn("_salt", F.pmod(F.hash(salt_by), F.lit(salts)))
-    repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # At most one row per ``heavy`` rows of facts.
+    parts = settled(facts.groupBy(*keys).count().filter(F.col("count") > heavy).select(
+        *keys, F.ceil(F.col("count") / heavy).cast("int").alias("_parts")), "heavy")
+    if parts.isEmpty():
+        return facts.join(dim.hint("shuffle_merge"), keys, how)
+    known = F.broadcast(parts) if measured_bytes(parts) <= limit else parts
+    salted = facts.join(known, keys, "left").withColumn(
+        "_salt", F.pmod(F.hash(salt_by), F.coalesce("_parts", F.lit(1)))).drop("_parts")
+    repeated = dim.join(known, keys, "left").withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return salted.join(repeated.hint("shuffle_merge"), [*keys, "_salt"], how).drop("_salt")

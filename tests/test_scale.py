@@ -82,7 +82,7 @@ def test_bag_sort_with_hot_duplicates(spark, rows):
 def test_salted_join(spark, rows, hot, how):
     dim = spark.createDataFrame([("hot", 1), ("g1", 2), ("g2", 3), ("other", 4)], "g string, x int")
     small = joins.lookup(hot, dim, ["g"], how)
-    salted = joins.lookup(hot, dim, ["g"], how, salt_by=F.col("id"), limit=0)
+    salted = joins.lookup(hot, dim, ["g"], how, salt_by=F.col("id"), limit=0, heavy=100)
     assert rows(small.select(sorted(small.columns))) == rows(salted.select(sorted(salted.columns)))
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in salted._jdf.queryExecution().executedPlan().toString()
@@ -96,7 +96,7 @@ def test_present_tags_beyond_the_broadcast_bound(spark, rows, monkeypatch):
                                   F.concat(F.lit("n"), "id").alias("name")).union(
         spark.createDataFrame([("c", "f", "hot"), ("c", "v", "hot")], "filetype string, kind string, name string"))
     small = rows(present_tags(tokens, tags))
-    monkeypatch.setattr(joins.lookup, "__defaults__", ("inner", None, 0, 4))
+    monkeypatch.setattr(joins.lookup, "__defaults__", ("inner", None, 0, 50))
     assert rows(present_tags(tokens, tags)) == small
 
 
