@@ -462,14 +462,19 @@ def _pairs_across(members: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[
     maps = [np.frombuffer(m[3], np.uint64) for m in members]
     words = min(map(len, maps))
     maps = np.stack([folded(m, words) for m in maps])
-    for i in range(len(node) - 1):
-        rest = slice(i + 1, None)
-        low, high = np.minimum(size[rest], size[i]), np.maximum(size[rest], size[i])
-        fits = np.flatnonzero((comp[rest] != comp[i]) & (100 * low >= 75 * high)) + i + 1
-        if len(fits):
-            apart = np.bitwise_count(maps[fits] ^ maps[i]).sum(axis=1, dtype=np.int64)
-            for k in fits[7 * apart <= size[fits] + size[i]]:
-                yield (min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k])))
+    # Members outside the largest component first: every pair across components has one of them.
+    names, counts = np.unique(comp, return_counts=True)
+    order = np.argsort(comp == names[counts.argmax()], kind="stable")
+    comp, node, size, maps = comp[order], node[order], size[order], maps[order]
+    step = max(1, (1 << 18) // maps.size)  # about 2 MB at once
+    for begin in range(0, len(node) - int(counts.max()), step):
+        i = slice(begin, min(begin + step, len(node) - int(counts.max())))
+        low, high = np.minimum(size[i, None], size), np.maximum(size[i, None], size)
+        fits = (comp[i, None] != comp) & (100 * low >= 75 * high) & (np.arange(len(node)) > np.arange(len(node))[i, None])
+        apart = np.bitwise_count(maps[i, None, :] ^ maps[None, :, :]).sum(axis=2, dtype=np.int64)
+        for x, y in zip(*np.nonzero(fits & (7 * apart <= low + high)), strict=True):
+            one, other = int(node[begin + x]), int(node[y])
+            yield (min(one, other), max(one, other))
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
