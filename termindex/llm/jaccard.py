@@ -19,10 +19,10 @@ Signatures that classes share give stars: one member of each signature group is
 tied to the others, first inside a batch, then between batches, so a group is
 never larger than the number of batches in any task. The member that shares most
 signatures, the likely origin of a family of copies, becomes the hub of its
-groups. Pairs of hub and member pass an exact filter first (bitmaps that hold the
+groups, which are its family. Pairs of hub and member pass an exact filter first (bitmaps that hold the
 parity of the elements per place differ in no more places than the sets in
 elements), are then verified on the exact sets, and joined to components. Where
-a group still has several components, the filter runs over all pairs between
+a family still has several components, the filter runs over all pairs between
 them, in blocks of bounded size and without writing pairs out; what passes is
 verified too. So no link is lost, and pairs are written only if nearly similar.
 """
@@ -418,28 +418,28 @@ def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def across(groups: DataFrame) -> DataFrame:
-    """Of groups (sig, node, comp, n, bitmap): the pairs between components that the filter does not exclude.
+    """Of families (hub, node, comp, n, bitmap): the pairs between components that the filter does not exclude.
 
-    A group is dealt out to blocks of about ``BLOCK`` members, and each pair of
+    A family is dealt out to blocks of about ``BLOCK`` members, and each pair of
     blocks is compared for itself.
     """
-    sizes = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = groups.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.hash("node"), F.col("blocks"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
     dealt = (
-        groups.join(sizes, "sig").withColumn("at", F.explode(others))
-        .select("sig", "at.i", "at.j", "comp", "node", "n", "bitmap")
-        .repartition("sig", "i", "j").sortWithinPartitions("sig", "i", "j")
+        groups.join(sizes, "hub").withColumn("at", F.explode(others))
+        .select("hub", "at.i", "at.j", "comp", "node", "n", "bitmap")
+        .repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, where, found = [], None, set()
         for batch in batches:
-            for sig, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (sig, i, j) != where:
+            for hub, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (hub, i, j) != where:
                     found.update(_pairs_across(held))
-                    held, where = [], (sig, i, j)
+                    held, where = [], (hub, i, j)
                 held.append(row)
             if len(found) > 100_000:
                 yield told(found)
@@ -483,22 +483,20 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     members = settled(stars.select("sig", F.col("a").alias("node")).union(stars.select("sig", "b")).distinct(), "members")
     shared = broadcast_if_small(settled(members.groupBy("node").agg(F.count("*").alias("shared")), "shared"), row_bytes=32)
     hubs = members.join(shared, "node").groupBy("sig").agg(F.max(F.struct("shared", "node")).alias("hub")).select("sig", "hub.node")
-    hubs = hubs.withColumnRenamed("node", "hub")
+    hubs = settled(hubs.withColumnRenamed("node", "hub"), "hubs")
     pairs = members.join(hubs, "sig").filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = settled(filtered(pairs, classes), "pairs")
     links = settled(verified(pairs, sets_of(docs, classes, pairs)), "links")
     comps = components(links)
 
-    # Groups that still have several components.
-    known = members.join(broadcast_if_small(comps, row_bytes=32), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # Many signatures have the same members: one of them is enough.
-    mixed = known.groupBy("sig").agg(
-        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("size"),
-        F.bit_xor(F.xxhash64("node")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(1), F.col("node"))).alias("h2")).filter("x <> y")
-    mixed = mixed.groupBy("size", "h1", "h2").agg(F.min("sig").alias("sig")).select("sig")
-    groups = known.join(mixed, "sig", "left_semi").join(
-        classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("sig", "node", "comp", "n", "bitmap")
+    # All members that have met a hub are its family. In families that still have several components, pairs between
+    # these are compared: two sets that share a signature are in the family of its hub.
+    known = members.join(hubs, "sig").select("hub", "node").distinct().join(
+        broadcast_if_small(comps, row_bytes=32), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = known.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("hub")
+    groups = known.join(mixed, "hub", "left_semi").join(
+        classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("hub", "node", "comp", "n", "bitmap")
     rest = settled(across(groups).join(pairs, ["a", "b"], "left_anti"), "rest")
     if rest.isEmpty():
         return comps
