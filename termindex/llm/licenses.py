@@ -134,19 +134,33 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
+JOINT = "\x01"  # stands for a line end inside a sentence
+MOST_LINES = 100  # no known sentence has so many words
+
+
 def sentences_of(text: Column) -> Column:
     """Sentences across line ends; comment marks at the start of lines are no part of them."""
-    joined = F.regexp_replace(text, r"\n[ \t]*(?:[/*#;%]+[ \t]*)?", " ")
-    return F.split(joined, r"(?<=[.;:!?])[ \t]+", -1)
+    joined = F.regexp_replace(text, r"\n[ \t]*(?:[/*#;%]+[ \t]*)?", JOINT)
+    return F.split(joined, rf"(?<=[.;:!?])[ \t{JOINT}]+", -1)
+
+
+def unit_number(unit: Column) -> Column:
+    """The identifier of a unit, or of what is left of it from one of its lines on.
+
+    A line without an end mark, such as code above a licence, would otherwise hide the sentence that follows it.
+    """
+    lines = F.least(F.size(F.split(unit, JOINT, -1)), F.lit(MOST_LINES))
+    found = F.transform(F.sequence(F.lit(1), lines), lambda m: sentence_number(
+        normalised(F.call_function("substring_index", unit, F.lit(JOINT), -m))))
+    return F.coalesce(F.try_element_at(F.filter(found, lambda n: n > 0), F.lit(-1)), F.lit(0))  # the longest
 
 
 def known_units(units: Column) -> Column:
     """array<struct<at, id>> of the units that are licence sentences."""
     long_enough = F.filter(F.transform(units, lambda u, i: F.struct(i.alias("at"), u.alias("unit"))),
                            lambda x: (F.char_length(x["unit"]) >= 10)
-                           & x["unit"].rlike(r"(?i)licen[sc]e|copyright|permi|distribut|software|rights|work|obtain|warrant|law|cc"))
-    numbered = F.transform(long_enough, lambda x: F.struct(
-        x["at"].alias("at"), sentence_number(normalised(x["unit"])).alias("id")))
+                           & x["unit"].rlike(r"(?i)licen[sc]e|copyright|permi|distribut|software|rights|work|obtain|warrant|law|\bcc"))
+    numbered = F.transform(long_enough, lambda x: F.struct(x["at"].alias("at"), unit_number(x["unit"]).alias("id")))
     return F.filter(numbered, lambda x: x["id"] > 0)
 
 
