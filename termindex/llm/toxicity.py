@@ -143,12 +143,13 @@ def fitted_curve(bins: list[tuple[float, int, int]]) -> tuple[float, float]:
     """Intercept and slope of a logistic curve through (feature, toxic, other) counts, by Newton's method.
 
     A weak prior of one text on either side keeps the curve finite where a cut
-    separates the classes; both classes weigh the same.
+    separates the classes. The rarer class gets the geometric mean of its own
+    weight and an equal one, so that neither misses nor false alarms dominate.
     """
     x = np.array([b[0] for b in bins] + [0.0, max(b[0] for b in bins)])
     toxic = np.array([b[1] for b in bins] + [0, 1], dtype=float)
     other = np.array([b[2] for b in bins] + [1, 0], dtype=float)
-    toxic *= other.sum() / toxic.sum()
+    toxic *= (other.sum() / toxic.sum()) ** 0.5
     ridge = 1e-3 * (toxic.sum() + other.sum())
     design = np.column_stack([np.ones_like(x), x])
     beta = np.zeros(2)
