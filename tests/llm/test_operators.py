@@ -303,6 +303,55 @@ def test_decontamination(spark, docs):
     assert decontamination.clean(docs, bench).count() == docs.count()
 
 
+def test_copy_among_the_rare_words_of_its_item(spark):
+    rng = random.Random(10)
+    common, rare = [f"c{k}" for k in range(60)], [f"r{k}" for k in range(900)]
+    items, rows = [], []
+    for k in range(60):
+        told = [rng.choice(common) for _ in range(rng.randrange(15, 60) if k % 3 else 8)]
+        own = rare[3 * k:3 * k + 3]
+        for at, w in zip(rng.sample(range(len(told)), 3), own, strict=True):
+            told[at] = w
+        text = [rng.choice(own) if rng.random() < 0.3 else rng.choice(common) for _ in range(300)]
+        at = rng.randrange(len(text) + 1)
+        text[at:at] = told
+        items.append((k, " ".join(told)))
+        rows.append((k, " ".join(text)))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    df = spark.createDataFrame(rows + [(1000 + k, " ".join(rng.choice(common) for _ in range(300))) for k in range(60)],
+                               "doc_id bigint, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(df, bench).collect() if r.doc_id == r.item_id}
+    assert set(got) == set(range(60)) and {r.share for r in got.values()} == {1.0}
+    assert not [r for r in decontamination.clean(df, bench).collect() if r.doc_id < 60]
+
+
+def test_check_is_the_best_of_all_spans():
+    rng = random.Random(11)
+    found = 0
+    for _ in range(300):
+        item = [rng.randrange(1, 15) for _ in range(rng.randrange(5, 20))]
+        numbers = np.array([rng.randrange(40) if rng.random() < 0.8 else rng.choice(item) for _ in range(120)])
+        told = [w if rng.random() < 0.8 else 0 for w in item]
+        at = rng.randrange(100)
+        numbers[at:at + len(told)] = told[:120 - at]
+        holds = np.zeros(40)
+        holds[item] = 1
+        span, begin, end = len(item) + len(item) // 4 + 2, 40, 80
+        answer, want = item[-max(3, len(item) // 4):], []
+        for k in range(max(0, begin - span), min(len(numbers), end + span)):
+            near = numbers[k:min(k + span, end + span)].tolist()
+            share = decontamination.common_subsequence(item, near) / len(item)
+            answered = share >= 0.5 and decontamination.common_subsequence(answer, near) >= 0.75 * len(answer)
+            want.append((share >= 0.7 or answered, share))
+        share, answered, _ = decontamination.check(item, numbers, begin, end, holds)
+        if max(want)[0]:
+            found += 1
+            assert (share >= 0.7 or answered, share) == max(want)
+        else:
+            assert share < 0.7 and not answered
+    assert 50 < found < 300
+
+
 # Operator 6
 
 APACHE = """some code
