@@ -1,7 +1,8 @@
 """Licence recognition by sentence rules.
 
 A text is cut twice: into lines, and into sentences across wrapped lines. Each
-unit is normalised and looked up among known licence sentences; what remains is
+unit is normalised, and known licence sentences are found in it between the
+starts and ends of its lines; some have open slots for names. What remains is
 a short sequence of sentence identifiers in text order, with a break where more
 than ``MAX_GAP`` other units lie between. Ordered rules are matched against
 these sequences. All steps are expressions inside the row: nothing is shuffled.
@@ -84,9 +85,69 @@ SENTENCES = {
     80: "this is free and unencumbered software released into the public domain",
     90: "all rights reserved",
 }
+# Sentences with open slots as anchored patterns, (pattern, sentence identifier).
+SLOT = r"(?:[a-z0-9.]++ ){1,20}?"  # a name
+ENDORSE = r"be used to endorse or promote products derived from this software without (?:specific )?(?:prior )?(?:written )?permission"
+SLOTS = [
+    (rf"{SLOT}licenses this file to you under the apache license version 2.0 the license", 11),
+    (rf"in no event shall {SLOT}be liable for any claim damages or other liability whether in an action of contract tort or"
+     r" otherwise arising from out of or in connection with the software or the use or other dealings in the software", 25),
+    (rf"{SLOT}is free software", 32),
+    (r"(?:this|the) (?:program|library|software|file) is distributed in the hope that it will be useful but without any warranty", 34),
+    (r"see the gnu (?:lesser |library |affero )?general public license for more details", 36),
+    (rf"neither the names? of {SLOT}nor the names? of {SLOT}may {ENDORSE}(?: of {SLOT}[a-z0-9.]++)?", 43),
+    (rf"the names? of {SLOT}may not {ENDORSE}", 46),
+    (r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", 47),
+]
+# The GNU licences from 200: one sentence for each family, version and "or later" or not, with and without "is free software".
+FAMILIES = {"GPL": ("", ["2.0", "3.0"]), "LGPL": ("(?:lesser|library) ", ["2.0", "2.1", "3.0"]), "AGPL": ("affero ", ["3.0"])}
+FSF = "as published by the free software foundation"
+LATER = "or (?:at your option )?any later version"
+ONLY: set[int] = set()  # identifiers that the rest of a wrapped sentence may still turn into "or later"
+
+
+def gnu_rules() -> list[tuple[str, str, list[int]]]:
+    """Adds the sentences of the GNU licences to SLOTS and gives their rules."""
+    given = {("JL", "GPL", "3.0"): 31, ("PL", "GPL", "3.0"): 33, ("P", "GPL", ""): 38, ("EV", "", "2.0"): 37, ("NO", "GPL", "2.0"): 39}
+    numbers: dict[tuple[str, str, str], int] = {}
+    terms = "you (?:can|may) redistribute it and or modify it under the terms of "
+
+    def sentence(pattern: str, *key: str) -> int:
+        if key not in numbers:
+            numbers[key] = given.get(key, 200 + len(numbers))
+            SLOTS.append((pattern, numbers[key]))
+            if key[0] in ("JO", "PO", "NO", "OV"):
+                ONLY.add(numbers[key])
+        return numbers[key]
+
+    rules = []
+    for family, (word, versions) in FAMILIES.items():
+        name = f"gnu {word}general public license"
+        joined = rf"{SLOT}is free software "
+        for version in versions:
+            v = version.removesuffix(".0") + (r"(?:\.0)?" if version.endswith(".0") else "")
+            later = rf"the {name} (?:{FSF} )?(?:either )?(?:version |v){v} (?:of the license )?{LATER}"
+            only = (rf"(?:the {name} (?:{FSF} )?(?:version |v){v}(?: only)?(?: of the license)?(?: only)?(?: {FSF})?"
+                    rf"|version {v} of the {name}(?: {FSF})?)")
+            ends = {"L": sentence(rf"(?:either )?version {v} of the license {LATER}", "EV", "", version),
+                    "O": sentence(rf"version {v} of the license(?: only)?", "OV", "", version)}
+            bare = [[sentence(joined + terms + f"the {name} {FSF}", "J", family, "")],
+                    [32, sentence(terms + f"the {name} {FSF}", "P", family, "")]]
+            for end, pattern, label in (("L", later, "or-later"), ("O", only, "only")):
+                licence = f"{family}-{version}-{label}"
+                notice = r"(?:this (?:work|program|library|software|file|project) is )?licensed under (?:the terms of )?"
+                rules += [(licence, "header", [*b, ends[end]]) for b in bare]
+                rules += [(licence, "notice", [sentence(joined + terms + pattern, "J" + end, family, version)]),
+                          (licence, "notice", [32, sentence(terms + pattern, "P" + end, family, version)]),
+                          (licence, "notice", [sentence(notice + pattern, "N" + end, family, version)])]
+    return rules
+
+
 # SPDX tags as sentences, numbered from 100 in this order.
 SPDX = ["Apache-2.0", "MIT", "GPL-3.0-only", "GPL-3.0-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "BSD-3-Clause",
-        "BSD-2-Clause", "ISC", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense"]
+        "BSD-2-Clause", "ISC", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0", "Unlicense",
+        "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later",
+        "AGPL-3.0-only", "AGPL-3.0-or-later", "BSD-4-Clause"]
 COPYRIGHT = 1
 # (licence, kind, ordered sentence identifiers); a later rule of the same licence is less specific.
 RULES = [
@@ -105,24 +166,48 @@ RULES = [
     ("CC0-1.0", "notice", [76]), ("Unlicense", "text", [80]),
     ("Proprietary", "notice", [1, 90]), ("Proprietary", "notice", [90]),
     *[(name, "tag", [100 + i]) for i, name in enumerate(SPDX)],
+    ("BSD-3-Clause", "text", [40, 41, 42, 46]),
+    ("BSD-4-Clause", "text", [40, 41, 42, 47, 43]), ("BSD-4-Clause", "text", [40, 41, 42, 47, 46]),
 ]
+RULES += [rule for rule in gnu_rules() if rule not in RULES and (rule[0], "notice", rule[2]) not in RULES]
 # A licence whose rule is part of another licence's rule goes if the other is found.
-PART_OF = {"BSD-2-Clause": "BSD-3-Clause"}
+PART_OF = [("BSD-2-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-4-Clause"), ("BSD-3-Clause", "BSD-4-Clause")]
+
+
+JOINT = "\x01"  # stands for a line end inside a sentence
 
 
 def normalised(unit: Column) -> Column:
-    """Lower case, one spelling, single blanks between runs of letters, digits and inner dots."""
-    words = F.regexp_replace(F.lower(unit), r"[^a-z0-9.]+|\.(?![a-z0-9])|(?<![a-z0-9])\.", " ")
-    return F.regexp_replace(F.btrim(F.regexp_replace(words, " +", " ")), r"\blicence", "license")
+    """Lower case, one spelling, single blanks between runs of letters, digits and inner dots; no list marks at line starts.
+
+    Line ends inside a sentence stay.
+    """
+    marked = F.regexp_replace(
+        F.lower(unit), rf"(^|{JOINT})[^a-z0-9{JOINT}]*+(?:[0-9]{{1,2}}|[a-z]|[ivx]{{1,4}})[.)\]]++[ \t]++", "$1")
+    words = F.regexp_replace(marked, rf"[^a-z0-9.{JOINT}]+|\.(?![a-z0-9])|(?<![a-z0-9])\.", " ")
+    lines = F.regexp_replace(F.regexp_replace(words, " +", " "), rf" ?{JOINT}[ {JOINT}]*+", JOINT)
+    return F.regexp_replace(F.btrim(lines, F.lit(" " + JOINT)), r"\blicence", "license")
 
 
 def sentence_number(unit: Column) -> Column:
-    """The identifier of a normalised unit; 0 if it is no licence sentence."""
+    """The identifier of a normalised licence sentence on one line; 0 if it is none."""
     known = [(text, n) for n, text in SENTENCES.items()]
     known += [("spdx license identifier " + spoken(name), 100 + i) for i, name in enumerate(SPDX)]
     table = F.create_map(*[F.lit(x) for text, n in known for x in (text, n)])
+    slots = F.lit(0)
+    for pattern, n in reversed(SLOTS):
+        slots = F.when(unit.rlike(f"^(?:{pattern})$"), n).otherwise(slots)
     return F.when(unit.startswith("copyright ") & unit.rlike(r"^copyright (c )?(19|20)\d\d"), COPYRIGHT).otherwise(
-        F.coalesce(F.try_element_at(table, unit), F.lit(0)))
+        F.coalesce(F.try_element_at(table, unit), slots))
+
+
+def any_sentence() -> str:
+    """A pattern of all known sentences from the start of a line to the end of one, longer ones first."""
+    plain = [*SENTENCES.values(), *["spdx license identifier " + spoken(name) for name in SPDX]]
+    fixed = [text.replace(".", r"\.") for text in sorted(plain, key=lambda t: -len(t))]
+    open_ones = [pattern + (r"(?! or\b)" if n in ONLY else "") for pattern, n in sorted(SLOTS, key=lambda x: -len(x[0]))]
+    every = "|".join([*open_ones, *fixed]).replace(" ", f"[ {JOINT}]")
+    return rf"(?:^|{JOINT})((?:{every}|copyright[ {JOINT}](?:c[ {JOINT}])?(?:19|20)\d\d[^{JOINT}]*+)(?={JOINT}|$))"
 
 
 def spoken(name: str) -> str:
@@ -134,34 +219,31 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-JOINT = "\x01"  # stands for a line end inside a sentence
-MOST_LINES = 100  # no known sentence has so many words
-
-
 def sentences_of(text: Column) -> Column:
     """Sentences across line ends; comment marks at the start of lines are no part of them."""
     joined = F.regexp_replace(text, r"\n[ \t]*(?:[/*#;%]+[ \t]*)?", JOINT)
-    return F.split(joined, rf"(?<=[.;:!?])[ \t{JOINT}]+", -1)
+    gap = rf"[ \t\r{JOINT}]++"
+    end = rf"(?<=[.;:!?]){gap}"
+    # A full stop may belong to a name in a slot: "the name of Example Inc. nor ...".
+    open_slot = (rf"(?!(?i:(?:(?!neither\b|the{gap}names?{gap}of\b)[^;:!?]){{0,150}}?"
+                 rf"\b(?:nor{gap}the{gap}names?\b|may{gap}not{gap}be{gap}used{gap}to{gap}endorse)))")
+    return F.when(joined.rlike("(?i)endorse"), F.split(joined, end + open_slot, -1)).otherwise(F.split(joined, end, -1))
 
 
-def unit_number(unit: Column) -> Column:
-    """The identifier of a unit, or of what is left of it from one of its lines on.
+def known_units(units: Column, lines: bool = False) -> Column:
+    """array<struct<at, id>> of the licence sentences in the units, in order.
 
-    A line without an end mark, such as code above a licence, would otherwise hide the sentence that follows it.
+    They may stand above or below lines without an end mark, such as code. A line by itself does not show
+    whether "or later" follows in the next; the sentences do.
     """
-    lines = F.least(F.size(F.split(unit, JOINT, -1)), F.lit(MOST_LINES))
-    found = F.transform(F.sequence(F.lit(1), lines), lambda m: sentence_number(
-        normalised(F.call_function("substring_index", unit, F.lit(JOINT), -m))))
-    return F.coalesce(F.try_element_at(F.filter(found, lambda n: n > 0), F.lit(-1)), F.lit(0))  # the longest
-
-
-def known_units(units: Column) -> Column:
-    """array<struct<at, id>> of the units that are licence sentences."""
     long_enough = F.filter(F.transform(units, lambda u, i: F.struct(i.alias("at"), u.alias("unit"))),
                            lambda x: (F.char_length(x["unit"]) >= 10)
                            & x["unit"].rlike(r"(?i)licen[sc]e|copyright|permi|distribut|software|rights|work|obtain|warrant|law|\bcc"))
-    numbered = F.transform(long_enough, lambda x: F.struct(x["at"].alias("at"), unit_number(x["unit"]).alias("id")))
-    return F.filter(numbered, lambda x: x["id"] > 0)
+    numbered = F.flatten(F.transform(long_enough, lambda x: F.transform(
+        F.regexp_extract_all(normalised(x["unit"]), F.lit(any_sentence()), 1), lambda found: F.struct(
+            x["at"].alias("at"), sentence_number(F.translate(found, JOINT, " ")).alias("id")))))
+    unsure = sorted(ONLY - set(SENTENCES)) if lines else []
+    return F.filter(numbered, lambda x: (x["id"] > 0) & ~x["id"].isin(unsure) if unsure else x["id"] > 0)
 
 
 def sequence_text(known: Column, max_gap: int = MAX_GAP) -> Column:
@@ -209,7 +291,7 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", max_gap: int = MAX
     table = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(k).alias("kind"), F.lit(len(ids)).alias("length"))
                       for n, k, ids in RULES])
     scanned = (
-        kept.withColumn("line_ids", known_units(lines_of(text)))
+        kept.withColumn("line_ids", known_units(lines_of(text), lines=True))
         .withColumn("sentence_ids", known_units(sentences_of(text)))
         .withColumn("_lines", sequence_text(F.col("line_ids"), max_gap))
         .withColumn("_sentences", sequence_text(F.col("sentence_ids"), max_gap))
@@ -218,7 +300,7 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", max_gap: int = MAX
         .drop("_lines", "_sentences")
         .withColumn("licenses", F.array_sort(F.array_distinct(F.transform("rules", lambda r: r["license"]))))
     )
-    for part, whole in PART_OF.items():
+    for part, whole in PART_OF:
         scanned = scanned.withColumn("licenses", F.when(
             F.array_contains("licenses", whole), F.array_remove("licenses", part)).otherwise(F.col("licenses")))
     return scanned

@@ -390,6 +390,55 @@ def test_licenses(spark, docs, table):
     assert licenses.scan_licenses(docs).count() == len(table) and licenses.scan_licenses(empty(spark)).count() == 0
 
 
+BSD = """Copyright (c) 2011 Example.
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are
+met:
+
+  {}Redistributions of source code must retain the above copyright
+notice, this list of conditions and the following disclaimer.
+  {}Redistributions in binary form must reproduce the above
+copyright notice, this list of conditions and the following disclaimer
+in the documentation and/or other materials provided with the
+distribution.
+"""
+NEITHER = """  {}Neither the name of {} nor the names of its
+contributors may be used to endorse or promote products derived from
+this software without specific prior written permission.
+"""
+GNU = """ * This {0} is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU {1}General Public
+ * License as published by the Free Software Foundation; {2}
+"""
+
+
+def test_licenses_with_names_and_list_marks(spark):
+    later = "either\n * version {} of the License, or (at your option) any later version."
+    linux = ("// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General"
+             " Public License version 2 as\n// published by the Free Software Foundation.\n")
+    cases = {
+        1: (BSD.format("* ", "* ") + NEITHER.format("* ", "Google Inc."), ["BSD-3-Clause"]),
+        2: (BSD.format("(1) ", "(2) ") + NEITHER.format("(3) ", "the Example Foundation, Ltd."), ["BSD-3-Clause"]),
+        3: (BSD.format("a) ", "b) ") + NEITHER.format("c) ", "the University"), ["BSD-3-Clause"]),
+        4: (BSD.format("1. ", "2. "), ["BSD-2-Clause"]),
+        5: (BSD.format("1. ", "2. ") + "3. All advertising materials mentioning features or use of this software must display the"
+            " following acknowledgement:\nThis product has parts of X.\n" + NEITHER.format("4. ", "J. Doe"), ["BSD-4-Clause"]),
+        6: (BSD.format("1. ", "2. ") + "3. The name of the author may not be used to endorse or promote products\nderived from"
+            " this software without specific prior written permission.", ["BSD-3-Clause"]),
+        7: ("This file is licensed\n\nReleased under\nthe MIT License\n\nimport os\nx = 1", ["MIT"]),
+        8: (GNU.format("library", "Lesser ", later.format("2.1")), ["LGPL-2.1-or-later"]),
+        9: (GNU.format("program", "Affero ", later.format("3")), ["AGPL-3.0-or-later"]),
+        10: (GNU.format("program", "", "version 2 of the License."), ["GPL-2.0-only"]), 11: (linux, ["GPL-2.0-only"]),
+        12: ("Licensed under the GNU Lesser General Public License version 3\nor any later version.", ["LGPL-3.0-or-later"]),
+        13: (GNU.format("program", "", later.format("2")), ["GPL-2.0-or-later"]),
+        14: ("Neither the name of the firm nor the names of its staff matter. Linux is free software.", []),
+    }
+    df = spark.createDataFrame([(k, t) for k, (t, _) in cases.items()], "doc_id bigint, text string")
+    df = df.unionByName(df.selectExpr("doc_id + 100 AS doc_id", r"replace(text, '\n', '\r\n') AS text"))
+    got = {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()}
+    assert got == {k + more: w for k, (_, w) in cases.items() for more in (0, 100)}
+
+
 # Operator 7
 
 @pytest.mark.parametrize(("groups", "worse"), [(8, 1.2), (64, 1.03)])  # rounding costs less the more groups there are
