@@ -36,7 +36,8 @@ LONG_RUN = 2000
 
 
 class Tokens:
-    """Ids of a byte-level tokenizers file; strings of special tokens in a text are ordinary text.
+    """Ids of a byte-level tokenizers file. With ``added``, a string of an added token in a text is that token, as in
+    the library's default state, and such texts go to ``tokenizers``; without, it is ordinary text.
 
     The merges run in ``tiktoken``, with the vocabulary and the splitting pattern of the file, which gives the
     same ids several times faster; a text with an unusually long run without blanks goes to ``tokenizers``,
@@ -46,7 +47,7 @@ class Tokens:
     # Fixed value: how byte-level tokenizers cut a text.
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import re
 
         import tiktoken
@@ -55,17 +56,18 @@ class Tokens:
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.slow.encode_special_tokens = not added
         self.long_run = re.compile(rf"\S{{{LONG_RUN}}}|\s{{{LONG_RUN}}}")
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain}
         byte_of |= {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in plain)}
         special = {t["content"] for t in told["added_tokens"]}
+        self.added = sorted(special) if added else []
         ranks = {bytes(byte_of[c] for c in word): n for word, n in told["model"]["vocab"].items() if word not in special}
         self.fast = tiktoken.Encoding("file", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> list[int]:
-        if self.long_run.search(text):
+        if self.long_run.search(text) or any(token in text for token in self.added):
             return self.slow.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
@@ -81,7 +83,7 @@ def tokenised(docs: DataFrame, path: str, capacity: int = CAPACITY, id_column: s
     """(p, doc_id, piece, start, length, ids_crc32, nth): ``nth`` counts pieces of one length in partition ``p``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, seen, p = Tokens(path), Counter(), TaskContext.get().partitionId()
+        tokens, seen, p = Tokens(path, added=True), Counter(), TaskContext.get().partitionId()
         names = ["p", "doc_id", "piece", "start", "length", "ids_crc32", "nth"]
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:

@@ -509,6 +509,18 @@ def test_tokens_equal_the_library():
         assert fast.ids(text) == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_added_tokens_as_the_library_by_default(spark):
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(PATH)
+    rows = [(1, "<|endoftext|>"), (2, "before <|endoftext|> after, it's 12"), (3, "x<|endoftext|><|endoftext|>\n"), (4, "<|endoftext |>")]
+    want = {k: [*slow.encode(t, add_special_tokens=False).ids, 2] for k, t in rows}
+    assert len(want[1]) == 2
+    got = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), PATH, capacity=64).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == {
+        k: (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())) for k, ids in want.items()}
+
+
 # Operator 8
 
 def test_chat(spark):
