@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from termindex import rules as defaults
 from termindex.functions.text import escape_name
 from termindex.operators.slices import cut, ranked, running_sum, spread_copies
+from termindex.session import settled
 
 
 def chunk(tags: DataFrame, group: Sequence[str], size: int = defaults.CHUNK_SIZE) -> DataFrame:
@@ -99,15 +101,50 @@ def render(chunks: DataFrame, rules: DataFrame, separator: str = "|",
         F.md5(F.array_join("_names", "\n")).alias("fingerprint"))
 
 
-def group_fingerprint(tags: DataFrame, group: Sequence[str]) -> DataFrame:
-    """One digest per group of names, whatever the size or order of the group.
+def fingerprint_tree(tags: DataFrame, group: Sequence[str], size: int = defaults.CHUNK_SIZE) -> DataFrame:
+    """(group, level, node, n, digest): a hash tree over the sorted names of each group.
 
-    The md5 of ``count:high:low``, where high and low are the sums, over the
-    distinct names, of the first and the next 15 hexadecimal digits of a name's
-    md5. Sums are added up before the shuffle, so a large group needs no task of
-    its own.
+    The distinct names of a group, in byte order, are cut into chunks of ``size``. A node of level 0 is the md5 of
+    the newline-joined names of its chunk, a node above the md5 of the newline-joined digests of up to
+    ``size`` nodes below it; the last level of a group has one node. ``n`` counts the names below a node. No task
+    joins more than ``size`` strings, and a name that is replaced in its place changes the nodes of one path.
     """
-    half = lambda at: F.sum(F.conv(F.substring(F.md5("name"), at, 15), 16, 10).cast("decimal(19,0)")).cast("string")
-    return tags.select(*group, "name").distinct().groupBy(*group).agg(
-        F.count(F.lit(1)).alias("n"), half(1).alias("_high"), half(16).alias("_low")).select(
-        *group, "n", F.md5(F.concat_ws(":", F.col("n").cast("string"), "_high", "_low")).alias("fingerprint"))
+    named = chunk(tags.select(*group, "name").distinct(), group, size)
+    level = settled(
+        named.groupBy(*group, F.col("chunk").alias("node")).agg(
+            F.md5(F.array_join(F.array_sort(F.collect_list("name")), "\n")).alias("digest"),
+            F.count(F.lit(1)).alias("n")).withColumn("level", F.lit(0)), "leaves")
+    columns = [*group, "level", "node", "n", "digest"]
+    levels, depth = [level.select(*columns)], 0
+    while level.agg(F.max("node")).first()[0]:
+        depth += 1
+        # Only groups of more than one node go on.
+        wide = level.filter("node > 0").select(*[F.col(c).alias(f"_{c}_") for c in group]).distinct()
+        same = F.lit(True)
+        for c in group:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+        below = F.array_sort(F.collect_list(F.struct("node", "digest")))
+        level = settled(
+            level.join(wide, same, "left_semi")
+            .groupBy(*group, F.expr(f"node div {size}").alias("node")).agg(
+                F.md5(F.array_join(F.transform(below, lambda x: x["digest"]), "\n")).alias("digest"),
+                F.sum("n").alias("n")).withColumn("level", F.lit(depth)), "level")
+        levels.append(level.select(*columns))
+    return reduce(DataFrame.unionByName, levels)
+
+
+def group_fingerprint(tags: DataFrame, group: Sequence[str], size: int = defaults.CHUNK_SIZE) -> DataFrame:
+    """One digest per group of names, whatever the size or order of the group (A6): the root of its hash tree.
+
+    A group of at most ``size`` names has the md5 of its sorted, newline-joined names.
+    """
+    tree = fingerprint_tree(tags, group, size)
+    return tree.groupBy(*group).agg(F.max_by(F.struct("n", "digest"), "level").alias("root")).select(
+        *group, F.col("root.n").alias("n"), F.col("root.digest").alias("fingerprint"))
+
+
+def changed_nodes(before: DataFrame, after: DataFrame, group: Sequence[str]) -> DataFrame:
+    """(group, level, node) of two hash trees whose digests differ or that only one of them has."""
+    keys = [*group, "level", "node"]
+    told = [t.select(*keys, F.col("digest")) for t in (before, after)]
+    return told[0].exceptAll(told[1]).unionByName(told[1].exceptAll(told[0])).select(*keys).distinct()

@@ -48,21 +48,33 @@ def ranked(df: DataFrame, group: Sequence[str], order: Sequence[str],
     return running_sum(cut(df, group, order, slices), group, order, F.lit(1), name).drop(SLICE)
 
 
+def _with_earlier_slices(rows: DataFrame, group: list[str], end: Column, carried: Column) -> DataFrame:
+    """Add ``_before``: ``carried`` over the ``_end`` of the same group in all earlier slices, null if there is none.
+
+    Only the first group of a slice can have begun in an earlier one, so the carried values are at most one
+    row per slice, and the rows themselves stay where they are. A null group is a group.
+    """
+    before = (
+        rows.groupBy(*group, SLICE).agg(end.alias("_end"))
+        .withColumn("_before", carried.over(_earlier(group))).filter("_before IS NOT NULL")
+        .select(*[F.col(c).alias(f"_{c}_") for c in group], F.col(SLICE).alias("_later"), "_before")
+    )
+    same = F.col(SLICE) == F.col("_later")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+    return rows.join(F.broadcast(before), same, "left").drop("_later", *[f"_{c}_" for c in group])
+
+
 def running_sum(sliced: DataFrame, group: Sequence[str], order: Sequence[str],
                 value: Column, name: str) -> DataFrame:
     """Add the sum of ``value`` from the start of the group to the row itself."""
     group = list(group)
     inside = _inside(group, order).rowsBetween(Window.unboundedPreceding, 0)
-    before = (
-        sliced.groupBy(*group, SLICE).agg(F.sum(value).alias("_sum"))
-        .withColumn("_before", F.coalesce(F.sum("_sum").over(_earlier(group)), F.lit(0)))
-        .drop("_sum")
-    )
+    marked = sliced.withColumn("_value", value).withColumn("_local", F.sum("_value").over(inside))
     return (
-        sliced.withColumn("_local", F.sum(value).over(inside))
-        .join(before, [*group, SLICE])
-        .withColumn(name, F.col("_local") + F.col("_before"))
-        .drop("_local", "_before")
+        _with_earlier_slices(marked, group, F.sum("_value"), F.sum("_end"))
+        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0)))
+        .drop("_local", "_before", "_value")
     )
 
 
@@ -70,28 +82,29 @@ def running_last(sliced: DataFrame, group: Sequence[str], order: Sequence[str],
                  value: Column, name: str, with_current: bool) -> DataFrame:
     """Add the last non-null ``value`` up to the row (or before it)."""
     group = list(group)
-    upto = 0 if with_current else -1
-    inside = _inside(group, order).rowsBetween(Window.unboundedPreceding, upto)
-    marked = sliced.withColumn("_value", value)
-    position = F.struct(*[F.col(c) for c in order])
-    before = (
-        marked.filter("_value IS NOT NULL")
-        .groupBy(*group, SLICE).agg(F.max_by("_value", position).alias("_end"))
-    )
-    # A slice without any value still needs what came before it.
-    before = (
-        marked.select(*group, SLICE).distinct().join(before, [*group, SLICE], "left")
-        .withColumn("_before", F.last("_end", ignorenulls=True).over(_earlier(group)))
-        .drop("_end")
-    )
+    inside = _inside(group, order).rowsBetween(Window.unboundedPreceding, 0 if with_current else -1)
+    marked = sliced.withColumn("_value", value).withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
+    position = F.when(F.col("_value").isNotNull(), F.struct(*[F.col(c) for c in order]))
     return (
-        marked.withColumn("_local", F.last("_value", ignorenulls=True).over(inside))
-        .join(before, [*group, SLICE])
+        _with_earlier_slices(marked, group, F.max_by("_value", position), F.last("_end", ignorenulls=True))
         .withColumn(name, F.coalesce("_local", "_before"))
         .drop("_local", "_before", "_value")
     )
 
 
+def running_max(sliced: DataFrame, group: Sequence[str], order: Sequence[str],
+                value: Column, name: str) -> DataFrame:
+    """Add the largest non-null ``value`` from the start of the group to the row itself."""
+    group = list(group)
+    inside = _inside(group, order).rowsBetween(Window.unboundedPreceding, 0)
+    marked = sliced.withColumn("_value", value).withColumn("_local", F.max("_value").over(inside))
+    return (
+        _with_earlier_slices(marked, group, F.max("_value"), F.max("_end"))
+        .withColumn(name, F.greatest("_local", "_before"))
+        .drop("_local", "_before", "_value")
+    )
+
+
 def spread_copies(counted: DataFrame, count: str, size: int = 65536) -> DataFrame:
     """Turn (row, count) back into ``count`` equal rows, a bounded number per task step.
 

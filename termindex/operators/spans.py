@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from termindex import rules as defaults
 from termindex.functions import text as tx
+from termindex.operators.slices import cut, running_max
 
 # Regions of each family, in the order they are tried.
 REGIONS = {
@@ -30,8 +31,6 @@ OPENINGS = {
     "markup": [("Comment", "<!--", 2), ("String", '"', 2)],
 }
 
-BUCKET = 4096
-
 
 def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = False) -> DataFrame:
     """Every identifier with its offsets: (doc_id, name, start, end), end exclusive (K4).
@@ -40,7 +39,7 @@ def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = Fa
     text: ``gap_before``, ``word_before``, ``gap_after``, ``word_after``. They are
     the same arrays shifted, so neighbours meet inside the row.
     """
-    cut = tx.tiled(corpus.select("doc_id", *extra, "text"), "text", tx.TILE)
+    cells = tx.tiled(corpus.select("doc_id", *extra, "text"), "text", tx.TILE)
     piece, none = F.col("_piece"), F.lit(None).cast("string")
     columns = {"name": piece, "start": F.col("_start")}
     if context:
@@ -49,7 +48,7 @@ def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = Fa
         columns["gap_after"] = F.slice(piece, 2, F.size(piece))
         columns["word_after"] = F.slice(piece, 3, F.size(piece))
     return (
-        cut.select("doc_id", *extra, F.inline(F.arrays_zip(*columns.values())).alias(*columns))
+        cells.select("doc_id", *extra, F.inline(F.arrays_zip(*columns.values())).alias(*columns))
         .filter(tx.starts_word("name"))
         .withColumn("end", F.col("start") + F.length("name"))
     )
@@ -60,8 +59,8 @@ def region_spans(corpus: DataFrame, family: str) -> DataFrame:
     starts = REGION_STARTS[family]
     choices = [pattern for _, pattern in REGIONS[family]]
     tile = "|".join([*choices, f"{tx.latin_except(starts)}++", r"[\s\S]"])
-    cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
-    pieces = cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("piece", "start"))
+    cells = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
+    pieces = cells.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("piece", "start"))
     region = F.lit(None).cast("string")
     for name, opening, least in reversed(OPENINGS[family]):
         opened = F.startswith("piece", F.lit(opening)) & (F.length("piece") >= least)
@@ -78,24 +77,29 @@ def region_excluded(region: Column | str, notin: Iterable[str]) -> Column:
 
 
 def mask_regions(occurrences: DataFrame, spans: DataFrame,
-                 notin: Iterable[str] | None = None, bucket: int = BUCKET) -> DataFrame:
+                 notin: Iterable[str] | None = None, slices: int | None = None) -> DataFrame:
     """Drop occurrences that lie inside an excluded region.
 
-    An interval anti-join as an equi-join: both sides carry (document, offset
-    block), a region once per block it covers, so a long document is divided
-    over many tasks and each pair meets once. Regions grow with the corpus, so
-    they are never broadcast on an estimate of their size.
+    A sweep over each document: regions and occurrences in order of their starts, a region before an occurrence
+    at the same place. An occurrence lies inside some region exactly if the largest end of all regions that began
+    up to it is not before its own end, so one running maximum answers it, however many regions overlap or nest.
+    The order is cut into even slices, so a long document is divided over many tasks. Regions with the same
+    start are one before the shuffle. Occurrences without a document or a place stay.
     """
     notin = defaults.GLOBAL_NOTIN if notin is None else list(notin)
-    covered = (
-        spans.filter(region_excluded("region", notin))
-        .select("doc_id", F.col("start").alias("_from"), F.col("end").alias("_to"), F.explode(
-            F.expr(f"sequence(start div {bucket}, greatest(start, end - 1) div {bucket})")).alias("_block"))
+    reach = (
+        spans.filter(region_excluded("region", notin) & F.col("doc_id").isNotNull())
+        .groupBy("doc_id", F.col("start").alias("_at")).agg(F.max("end").alias("_reach"))
+        .withColumn("_is_place", F.lit(0))
     )
-    placed = occurrences.withColumn("_block", F.expr(f"start div {bucket}"))
-    condition = ((placed["doc_id"] == covered["doc_id"]) & (placed["_block"] == covered["_block"])
-                 & (covered["_from"] <= placed["start"]) & (placed["end"] <= covered["_to"]))
-    return placed.join(covered.hint("merge"), condition, "left_anti").drop("_block")
+    columns = occurrences.columns
+    placed = occurrences.withColumns({"_at": F.col("start"), "_is_place": F.lit(1)})
+    order = ["_at", "_is_place"]
+    swept = running_max(
+        cut(placed.unionByName(reach, allowMissingColumns=True), ["doc_id"], order, slices),
+        ["doc_id"], order, F.col("_reach"), "_furthest")
+    inside = F.coalesce(F.col("_furthest") >= F.col("end"), F.lit(False))
+    return swept.filter((F.col("_is_place") == 1) & ~inside).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def occurrences_outside(corpus: DataFrame, family: str,
@@ -113,9 +117,9 @@ def occurrences_outside(corpus: DataFrame, family: str,
         return mask_regions(occurrences(corpus), region_spans(corpus, family), notin)
     regions = [pattern for _, pattern in REGIONS[family]]
     tile = "|".join([*regions, tx.IDENT, f"{tx.latin_except(tx.LETTERS + REGION_STARTS[family])}++", r"[\s\S]"])
-    cut = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
+    cells = tx.tiled(corpus.select("doc_id", "text"), "text", tile)
     return (
-        cut.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("name", "start"))
+        cells.select("doc_id", F.inline(F.arrays_zip("_piece", "_start")).alias("name", "start"))
         .filter(tx.starts_word("name"))
         .withColumn("end", F.col("start") + F.length("name"))
     )

@@ -320,13 +320,22 @@ def chunked(source: str, by: str) -> str:
             f"FROM {source}")
 
 
-def fingerprints() -> str:
-    half = lambda at: f"sum(CAST('0x' || substr(md5(name), {at}, 15) AS HUGEINT))"
-    return sql("best", "SELECT filetype, kind, count(*) AS n, "
-               f"md5(count(*) || ':' || {half(1)} || ':' || {half(16)}) AS fingerprint "
-               "FROM (SELECT DISTINCT filetype, kind, name FROM best) GROUP BY ALL")
-
-
+def fingerprints(levels: int = 8) -> tuple[str, str]:
+    """The hash tree of each group and its roots: plain ordered aggregates, level by level."""
+    parts = [f"""t0 AS (SELECT filetype, kind, node, count(*) AS n, md5(string_agg(name, chr(10) ORDER BY name)) AS digest
+      FROM (SELECT *, (row_number() OVER (PARTITION BY filetype, kind ORDER BY name) - 1) // {b.CHUNK} AS node
+        FROM (SELECT DISTINCT filetype, kind, name FROM best)) GROUP BY ALL)"""]
+    for k in range(1, levels):
+        parts.append(f"""t{k} AS (SELECT filetype, kind, node // {b.CHUNK} AS node, sum(n)::BIGINT AS n,
+        md5(string_agg(digest, chr(10) ORDER BY node)) AS digest FROM t{k - 1}
+      WHERE (filetype, kind) IN (SELECT (filetype, kind) FROM t{k - 1} WHERE node > 0) GROUP BY ALL)""")
+    tree = "(" + " UNION ALL ".join(f"SELECT filetype, kind, {k} AS level, node::BIGINT AS node, n, digest FROM t{k}"
+                                    for k in range(levels)) + ")"
+    roots = f"SELECT filetype, kind, arg_max(n, level) AS n, arg_max(digest, level) AS fingerprint FROM {tree} GROUP BY ALL"
+    return sql("best", roots, *parts), sql("best", f"SELECT * FROM {tree}", *parts)
+
+
+GROUP_FINGERPRINT, FINGERPRINT_TREE = fingerprints()
 DEF_P, DEF_S = lit(r.DEFAULT_PREFIX), lit(r.DEFAULT_SUFFIX)
 
 
@@ -553,7 +562,8 @@ SQL: dict[str, str] = {
     "empty_groups": sql(
         "hits prios", "SELECT p.filetype, p.kind, p.prio, count(h.name) AS n FROM prios p LEFT JOIN hits h "
         "ON h.filetype = p.filetype AND h.kind = p.kind GROUP BY ALL"),
-    "group_fingerprint": fingerprints(),
+    "group_fingerprint": GROUP_FINGERPRINT,
+    "fingerprint_tree": FINGERPRINT_TREE,
     "priority_kind": sql("best", "SELECT filetype, kind, name, prio::INT AS prio FROM best"),
     "chunk_members": sql("best", f"SELECT filetype, kind, name, chunk FROM ({chunked('best', 'filetype, kind')})"),
     "sort_tags_by_name": sql("cat", "SELECT name, kind, file, row_number() OVER (ORDER BY name, kind, file) AS rank FROM cat"),

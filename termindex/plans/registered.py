@@ -459,7 +459,12 @@ def empty_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def group_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return render.group_fingerprint(_best(spark, sf), ["filetype", "kind"])
+    return render.group_fingerprint(_best(spark, sf), ["filetype", "kind"], b.CHUNK)
+
+
+@query
+def fingerprint_tree(spark: SparkSession, sf: str) -> DataFrame:
+    return render.fingerprint_tree(_best(spark, sf), ["filetype", "kind"], b.CHUNK)
 
 
 # --- ranks and chunks --------------------------------------------------------

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termindex.session import settled
+from termindex.sources.manifest import CODECS, read_manifest
 
+__all__ = ["CODECS", "read_manifest", "read_tag_manifest", "read_tags", "read_tags_xz", "tag_lines", "write_tags"]
 LINES_PER_BATCH = 20_000
 BYTES_PER_STEP = 1 << 20
 
@@ -103,44 +105,9 @@ def read_tags_xz(spark: SparkSession, paths: str | Sequence[str], partitions: in
     return lines.repartition(partitions) if partitions else lines
 
 
-def _existing(spark: SparkSession, paths: list[str]) -> list[str]:
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    kept = []
-    for path in paths:
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        if target.getFileSystem(conf).exists(target):
-            kept.append(path)
-    return kept
-
-
-CODECS = ("none", "gzip", "lzma")
-
-
 def read_tag_manifest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """Lines of all files of a manifest ``(path, codec)``.
-
-    A file that does not exist and a codec that is not known are skipped, the
-    latter with a warning. The manifest is a list of file names, as a scan
-    needs it on the driver; the lines stay distributed. A file is decoded as its
-    codec says: the text scan takes plain and gzip files whose suffix agrees, all
-    others are read whole and unpacked in bounded batches.
-    """
-    listed = [(row["path"], row["codec"]) for row in manifest.toLocalIterator()]
-    for codec in sorted({str(c) for _, c in listed if c not in CODECS}):
-        print(f"tag manifest: skipping files with unknown codec {codec!r}")
-    agrees = {"none": lambda p: not p.endswith((".gz", ".xz", ".bz2", ".deflate", ".lz4", ".snappy", ".zst")),
-              "gzip": lambda p: p.endswith(".gz"), "lzma": lambda p: False}
-    known = [(p, c) for p, c in listed if c in CODECS]
-    text = _existing(spark, [p for p, c in known if agrees[c](p)])
-    packed = _existing(spark, [p for p, c in known if not agrees[c](p)])
-    parts = []
-    if text:
-        parts.append(read_tags(spark, text))
-    if packed:
-        parts.append(read_tags_xz(spark, packed))
-    if not parts:
-        return spark.createDataFrame([], "value string")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    """Lines of all files of a manifest ``(path, codec)`` (S4); see ``manifest.read_manifest``."""
+    return read_manifest(spark, manifest)
 
 
 def tag_lines(tags: DataFrame) -> DataFrame:

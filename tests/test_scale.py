@@ -100,20 +100,44 @@ def test_present_tags_beyond_the_broadcast_bound(spark, rows, monkeypatch):
     assert rows(present_tags(tokens, tags)) == small
 
 
-def test_fingerprint_has_one_definition(spark):
-    groups = {"f": [f"n{i:04d}" for i in range(3000)], "v": ["x", "w"], "one": ["a"]}
+def _root(names, size):
+    """Root of the hash tree over sorted names, and all its nodes."""
+    names, nodes, level, strings = sorted(set(names)), {}, 0, None
+    strings = names
+    while True:
+        parts = [strings[i:i + size] for i in range(0, len(strings), size)]
+        strings = [hashlib.md5("\n".join(p).encode()).hexdigest() for p in parts]
+        nodes |= {(level, k): d for k, d in enumerate(strings)}
+        if len(strings) == 1:
+            return strings[0], nodes
+        level += 1
+
+
+@pytest.mark.parametrize("size", [3, 10, 2048])
+def test_fingerprint_is_the_root_over_sorted_names(spark, size):
+    groups = {"f": [f"n{i:04d}" for i in range(300)], "v": ["x", "w"], "one": ["a"], None: ["é", "b", "Z"], "full": list("abcdefghi")}
     df = spark.createDataFrame([("c", k, n) for k, names in groups.items() for n in [*names, names[0]]],
                                "filetype string, kind string, name string")
+    tree = render.fingerprint_tree(df.repartition(5), ["filetype", "kind"], size).collect()
+    assert {(r["kind"], r["level"], r["node"]): r["digest"] for r in tree} == {
+        (k, *at): d for k, names in groups.items() for at, d in _root(names, size)[1].items()}
+    got = {r["kind"]: (r["n"], r["fingerprint"]) for r in render.group_fingerprint(df, ["filetype", "kind"], size).collect()}
+    assert got == {k: (len(names), _root(names, size)[0]) for k, names in groups.items()}
 
-    def told(names):
-        digests = [hashlib.md5(n.encode()).hexdigest() for n in names]
-        high, low = (sum(int(d[at:at + 15], 16) for d in digests) for at in (0, 15))
-        return hashlib.md5(f"{len(names)}:{high}:{low}".encode()).hexdigest()
 
-    got = {r["kind"]: (r["n"], r["fingerprint"]) for r in render.group_fingerprint(df, ["filetype", "kind"]).collect()}
-    assert got == {k: (len(names), told(names)) for k, names in groups.items()}
-    again = render.group_fingerprint(df.repartition(5).orderBy(F.rand(3)), ["filetype", "kind"])
-    assert {r["kind"]: (r["n"], r["fingerprint"]) for r in again.collect()} == got
+def test_replaced_name_changes_one_path(spark):
+    def tree(names):
+        df = spark.createDataFrame([("g", n) for n in names], "kind string, name string")
+        return render.fingerprint_tree(df, ["kind"], 10)
+
+    names = [f"n{i:04d}" for i in range(1000)]
+    moved = render.changed_nodes(tree(names), tree([*names[:555], "n0555x", *names[556:]]), ["kind"])
+    assert sorted((r["level"], r["node"]) for r in moved.collect()) == [(0, 55), (1, 5), (2, 0)]
+
+
+def test_fingerprint_of_no_names(spark):
+    none = spark.createDataFrame([], "kind string, name string")
+    assert render.group_fingerprint(none, ["kind"]).collect() == []
 
 
 def test_chunks_partition_a_group(spark, hot):

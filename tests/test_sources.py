@@ -117,3 +117,54 @@ def test_corpus_paths_are_decoded(spark, tmp_path):
 def test_round_trip_keeps_empty_fields(spark):
     df = spark.createDataFrame([("n", "f.c", None, "f", "C")], "name string, file string, pattern string, kind string, lang string")
     assert tagfiles.tag_lines(df).first()["value"] == "n\tf.c\t\tf\tlanguage:C"
+
+
+def test_manifest_of_many_files(spark, tmp_path):
+    """10,000 listed files, a third of which exist; the driver sees no row of the list."""
+    listed = []
+    for k in range(10_000):
+        path = tmp_path / f"d{k % 50}" / f"f{k}.tags"
+        if k % 3 == 0:
+            path.parent.mkdir(exist_ok=True)
+            data = f"n{k}\tf\tp\n".encode()
+            path.write_bytes(gzip.compress(data) if k % 2 else data)
+        listed.append((f"file:{path}" if k % 5 else str(path), "gzip" if k % 2 else "none"))
+    manifest = spark.createDataFrame(listed, "path string, codec string").repartition(8)
+    got = tagfiles.read_tag_manifest(spark, manifest)
+    assert sorted(values(got)) == sorted(f"n{k}\tf\tp" for k in range(0, 10_000, 3))
+
+
+@pytest.mark.parametrize("part_bytes", [200, 5000])
+def test_plain_files_are_read_in_ranges(spark, tmp_path, part_bytes):
+    """Every line once, wherever the ranges end; empty lines, a long line, no newline at the end, an empty file."""
+    lines = [f"line {k} " + "é" * (k % 11) for k in range(40)] + ["", "x" * 300, "\r", "last"]
+    (tmp_path / "a").write_text("\n".join(lines), newline="")
+    (tmp_path / "b").write_text("\n".join(lines) + "\n\n", newline="")
+    (tmp_path / "empty").write_text("")
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "folder" / "c").write_text("below\n")
+    (tmp_path / "folder" / "_hidden").write_text("hidden\n")
+    manifest = spark.createDataFrame([(str(tmp_path / n), "none") for n in ("a", "b", "empty", "folder", "a")] + [(None, "none")],
+                                     "path string, codec string")
+    from termindex.sources.manifest import read_manifest
+    assert values(read_manifest(spark, manifest, part_bytes)) == sorted([x for x in lines if x] * 3 + ["below"])
+
+
+def test_manifest_with_a_cut_off_file_is_an_error(spark, tmp_path):
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b"some lines\n" * 1000)[:-20])
+    manifest = spark.createDataFrame([(str(tmp_path / "cut.gz"), "gzip")], "path string, codec string")
+    with pytest.raises(Exception, match="end-of-stream"):
+        tagfiles.read_tag_manifest(spark, manifest).count()
+
+
+def test_ranges_of_any_size_give_each_line_once(tmp_path, monkeypatch):
+    from termindex.sources import manifest
+
+    for number, data in enumerate((b"a\nbb\n\nccc", b"\n\n", b"one line", b"one line\n", b"x" * 50 + b"\ny\n" * 20)):
+        (tmp_path / f"f{number}").write_bytes(data)
+        for step in range(1, len(data) + 2):
+            for block in (1, 3, 1 << 20):
+                monkeypatch.setattr(manifest, "STEP_BYTES", block)
+                got = [v for begin in range(0, len(data), step) for batch in manifest._lines(
+                    manifest._range(f"{tmp_path}/f{number}", begin, min(len(data), begin + step))) for v in batch.column(0).to_pylist()]
+                assert got == [line for line in data.decode().split("\n") if line]

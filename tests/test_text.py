@@ -1,5 +1,6 @@
 """Literal cases of cleaning, tokenising and positions."""
 
+import random
 import re
 
 import pytest
@@ -145,7 +146,7 @@ def test_masking_equals_brute_force(spark):
         for m in re.finditer(tx.IDENT, t):
             if not any(a <= m.start() and m.end() <= b for a, b in spans_):
                 expected.add((doc, m.group(), m.start(), m.end()))
-    joined = spans.mask_regions(spans.occurrences(df), spans.region_spans(df, "markup"), bucket=64)
+    joined = spans.mask_regions(spans.occurrences(df), spans.region_spans(df, "markup"), slices=5)
     inline = spans.occurrences_outside(df, "markup")
     partly = spans.occurrences_outside(df, "markup", [".*Comment.*"])
     columns = ["doc_id", "name", "start", "end"]
@@ -162,3 +163,36 @@ def test_cleaning_by_language(spark, rows):
     off = docs.clean_corpus(df, cfg.languages(spark), cfg.comment_families(spark), enabled=False).select("doc_id", "text")
     assert rows(on) == [(1, "a c"), (2, "a "), (3, "a /* b */ ?"), (4, "x")]
     assert rows(off) == [(1, "a /* b */ c"), (2, "a # b"), (3, "a /* b */ ?"), (4, "x//y")]
+
+
+def _outside(occurrences, regions):
+    return sorted((d, n, s, e) for d, n, s, e in occurrences if not any(d == r and a <= s and e <= b for r, a, b in regions))
+
+
+def test_masking_by_overlapping_and_nested_spans(spark):
+    """Inside one region, not inside the union of two; ties, empty spans, other documents and nulls."""
+    rng = random.Random(4)
+    regions, places = [], []
+    for doc in range(6):
+        for _ in range(60):
+            start = rng.randrange(300)
+            regions.append((doc, start, start + rng.randrange(40)))
+        places += [(doc, f"n{i}", s, s + rng.randrange(8)) for i, s in enumerate(rng.randrange(340) for _ in range(80))]
+    places += places[:5] + [(7, "far", 0, 3)]
+    occ = spark.createDataFrame(places + [(None, "no document", 1, 2)], "doc_id long, name string, start long, `end` long")
+    reg = spark.createDataFrame([(d, "Comment", a, b) for d, a, b in regions] + [(None, "Comment", 0, 9), (7, "Code", 0, 9)],
+                                "doc_id long, region string, start long, `end` long")
+    for slices in (1, 7, 40):
+        got = spans.mask_regions(occ, reg, ["Comment"], slices=slices).select("doc_id", "name", "start", "end").collect()
+        assert sorted(tuple(r) for r in got if r[0] is not None) == _outside(places, regions)
+        assert [r["name"] for r in got if r[0] is None] == ["no document"]
+
+
+def test_masking_many_nested_spans_in_one_place(spark):
+    """100,000 spans around one another and as many places: no pair is ever tested."""
+    n = 100_000
+    reg = spark.range(n).selectExpr("1L AS doc_id", "'Comment' AS region", "id AS start", f"{4 * n}L - id AS end")
+    occ = spark.range(2 * n).selectExpr("1L AS doc_id", "CAST(id AS string) AS name", "id * 2 + 1 AS start", "id * 2 + 3 AS end")
+    left = spans.mask_regions(occ, reg, ["Comment"])
+    # The outermost span ends at 4 n; only the last place reaches beyond it.
+    assert [tuple(r) for r in left.select("start", "end").collect()] == [(4 * n - 1, 4 * n + 1)]
