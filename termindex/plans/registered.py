@@ -654,7 +654,7 @@ def incremental_index(spark: SparkSession, sf: str) -> DataFrame:
 
     out = new_folder(spark, "index")
     st.run_steps(touched, st.reindex_per_batch(units, extract_units, out), "index")
-    return spark.read.parquet(out).select("root_key", "name", "file", "kind", "lang", "line_no")
+    return st.read_index(spark, out).select("root_key", "name", "file", "kind", "lang", "line_no")
 
 
 # --- extension by data -------------------------------------------------------

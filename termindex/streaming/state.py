@@ -11,13 +11,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from termindex.operators.joins import lookup
 from termindex.session import new_folder, settled
-from termindex.streaming.events import emit_on_change, enabled_gate, last_prints, latest_wins
+from termindex.streaming.events import ORDER, emit_on_change, enabled_gate, last_prints, latest_wins
+from termindex.streaming.ordered import RUN_ROWS, Runs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 PRUNED_KEYS = 1000
+SHARDS = 16
+MOST_BATCHES = 32
 
 
 def keep_state_on_disk(spark: SparkSession) -> None:
@@ -25,50 +28,110 @@ def keep_state_on_disk(spark: SparkSession) -> None:
     spark.conf.set(PROVIDER, ROCKSDB)
 
 
+class _Idle:
+    """Forget a key's prints when nothing has come for a while of event time; never, without a time."""
+
+    def __init__(self, handle: StatefulProcessorHandle, idle_ms: int | None):
+        self._handle, self._idle_ms = handle, idle_ms
+        self._due = handle.getValueState("due", "due bigint") if idle_ms else None
+
+    def seen(self, last: pd.Timestamp) -> None:
+        """Move the key's timer to its last event."""
+        if self._idle_ms:
+            due = int(last.value // 1_000_000) + self._idle_ms
+            if self._due.exists():
+                before = self._due.get()[0]
+                if before >= due:
+                    return
+                self._handle.deleteTimer(before)
+            self._due.update((due,))
+            self._handle.registerTimer(due)
+
+    def over(self) -> None:
+        self._due.clear()
+
+
 class _ChangedBuffer(StatefulProcessor):
-    """State of a buffer: its last fingerprint."""
+    """State of a buffer: its last fingerprint, until it has been idle for long enough."""
+
+    def __init__(self, idle_ms: int | None, run_rows: int):
+        self._idle_ms, self._run_rows = idle_ms, run_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._last = handle.getValueState("last", "fp bigint")
+        self._runs = Runs(handle, ORDER, self._run_rows)
+        self._idle = _Idle(handle, self._idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        before = new["fp"].shift()
-        if self._last.exists():
-            before.iloc[0] = self._last.get()[0]
-        self._last.update((int(new["fp"].iloc[-1]),))
-        yield new[before.isna() | (before != new["fp"]) | new["forced"]]
+        last = self._last.get()[0] if self._last.exists() else None
+        at = None
+        for block in self._runs.ordered(rows):
+            before = block["fp"].ffill().shift()
+            if last is not None:
+                before.iloc[0] = last
+                before = before.ffill()
+            known = block["fp"].dropna()
+            last = int(known.iloc[-1]) if len(known) else last
+            at = block["ts"].iloc[-1]
+            yield block[before.isna() | (block["fp"].notna() & (before != block["fp"])) | block["forced"]]
+        if last is not None:
+            self._last.update((last,))
+        if at is not None:
+            self._idle.seen(at)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._last.clear()
+        self._idle.over()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
 
 
-class _GatedInstance(StatefulProcessor):
-    """State of an instance: its toggles so far and the last fingerprint of each buffer."""
+class _GatedShard(StatefulProcessor):
+    """State of a shard of an instance: its toggles so far and the last fingerprint of each of its buffers."""
+
+    def __init__(self, idle_ms: int | None, run_rows: int):
+        self._idle_ms, self._run_rows = idle_ms, run_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._epoch = handle.getValueState("epoch", "epoch bigint")
         self._last = handle.getMapState("last", "buffer_id int", "fp bigint")
+        self._runs = Runs(handle, ORDER, self._run_rows)
+        self._idle = _Idle(handle, self._idle_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+        at = None
+        for block in self._runs.ordered(rows):
+            at = block["ts"].iloc[-1]
+            yield self._emitted(block.drop(columns="_shard", errors="ignore"))
+        if at is not None:
+            self._idle.seen(at)
+
+    def _emitted(self, block: pd.DataFrame) -> pd.DataFrame:
         start = self._epoch.get()[0] if self._epoch.exists() else 0
-        toggles = new["action"] == "toggle"
-        new = new.assign(epoch=start + toggles.cumsum())
-        end = int(new["epoch"].iloc[-1])
-        enabled = new[~toggles & (new["epoch"] % 2 == 0)]
-        before = enabled.groupby(["buffer_id", "epoch"])["fp"].shift()
-        first = before.isna() & (enabled["epoch"] == start)
-        for index, buffer in enabled.loc[first, "buffer_id"].items():
+        toggles = block["action"] == "toggle"
+        block = block.assign(epoch=start + toggles.cumsum())
+        end = int(block["epoch"].iloc[-1])
+        enabled = block[~toggles & (block["epoch"] % 2 == 0)]
+        before = enabled.groupby(["buffer_id", "epoch"])["fp"].transform(lambda fp: fp.ffill().shift())
+        for buffer, of in enabled[enabled["epoch"] == start].groupby("buffer_id"):
             if self._last.containsKey((int(buffer),)):
-                before.loc[index] = self._last.getValue((int(buffer),))[0]
+                remembered = before.loc[of.index]
+                remembered.iloc[0] = self._last.getValue((int(buffer),))[0]
+                before.loc[of.index] = remembered.ffill()
         if end != start:
             self._last.clear()
             self._epoch.update((end,))
-        ends = enabled[enabled["epoch"] == end].groupby("buffer_id")["fp"].last()
+        ends = enabled[(enabled["epoch"] == end) & enabled["fp"].notna()].groupby("buffer_id")["fp"].last()
         for buffer, fp in ends.items():
             self._last.updateValue((int(buffer),), (int(fp),))
-        yield enabled[before.isna() | (before != enabled["fp"]) | enabled["forced"]]
+        return enabled[before.isna() | (enabled["fp"].notna() & (before != enabled["fp"])) | enabled["forced"]]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._last.clear()  # whether the instance is switched on stays known
+        self._idle.over()
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass
@@ -78,24 +141,47 @@ def _schema(df: DataFrame, extra: str = "") -> str:
     return ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + extra
 
 
-def emit_on_change_stream(events: DataFrame) -> DataFrame:
+def _timed(events: DataFrame, idle: str | None, late: str) -> tuple[DataFrame, int | None, str]:
+    """(events, idle time in milliseconds, time mode)."""
+    if idle is None:
+        return events, None, "None"
+    return events.withWatermark("ts", late), int(pd.Timedelta(idle).total_seconds() * 1000), "EventTime"
+
+
+def emit_on_change_stream(events: DataFrame, idle: str | None = None, late: str = "1 day",
+                          run_rows: int = RUN_ROWS) -> DataFrame:
     """T3 on a stream ``(event_id, ts, instance_id, buffer_id, action, forced, fp)``.
 
-    State is keyed by buffer; the rows of one key in one micro-batch are ordered
-    in its task, so bound the micro-batch at the source.
+    State is keyed by buffer. The rows of one buffer in one micro-batch are ordered in its task within a fixed
+    memory: beyond ``run_rows`` in sorted runs that wait in the state store. With ``idle`` (such as ``"30 days"``) a
+    buffer leaves the state that long after its last event, once the watermark (``late`` behind the
+    newest event) has passed, and its next event emits; events later than that are dropped. Without it
+    every buffer is remembered. An event without a fingerprint emits if it is forced or the buffer's first.
     """
     keep_state_on_disk(events.sparkSession)
-    return events.groupBy("instance_id", "buffer_id").transformWithStateInPandas(
-        statefulProcessor=_ChangedBuffer(), outputStructType=_schema(events),
-        outputMode="Append", timeMode="None")
+    timed, idle_ms, mode = _timed(events, idle, late)
+    return timed.groupBy("instance_id", "buffer_id").transformWithStateInPandas(
+        statefulProcessor=_ChangedBuffer(idle_ms, run_rows), outputStructType=_schema(events),
+        outputMode="Append", timeMode=mode)
+
 
+def enabled_gate_stream(events: DataFrame, idle: str | None = None, late: str = "1 day", shards: int = SHARDS,
+                        run_rows: int = RUN_ROWS) -> DataFrame:
+    """T4 on a stream: what an instance emits while it is switched on.
 
-def enabled_gate_stream(events: DataFrame) -> DataFrame:
-    """T4 on a stream: one processor per instance, its memory cleared at a toggle."""
+    The buffers of an instance are dealt over ``shards`` keys, and each of them gets the toggles of the instance,
+    so an instance with a large part of all events is spread over as many tasks, and each shard knows the
+    epoch by itself. A toggle clears what a shard remembers. Memory and ``idle`` as in ``emit_on_change_stream``;
+    whether an instance is switched on is never forgotten.
+    """
     keep_state_on_disk(events.sparkSession)
-    return events.groupBy("instance_id").transformWithStateInPandas(
-        statefulProcessor=_GatedInstance(), outputStructType=_schema(events, ", epoch bigint"),
-        outputMode="Append", timeMode="None")
+    timed, idle_ms, mode = _timed(events, idle, late)
+    own = F.array(F.pmod(F.hash("buffer_id"), F.lit(shards)))
+    everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
+    dealt = timed.withColumn("_shard", F.explode(F.when(F.col("action") == "toggle", everywhere).otherwise(own)))
+    return dealt.groupBy("instance_id", "_shard").transformWithStateInPandas(
+        statefulProcessor=_GatedShard(idle_ms, run_rows), outputStructType=_schema(events, ", epoch bigint"),
+        outputMode="Append", timeMode=mode)
 
 
 def _state_before(spark: SparkSession, state: str, batch_id: int, schema: str) -> DataFrame:
@@ -166,37 +252,97 @@ def latest_per_batch(target: str, by: list[str]) -> Callable[[DataFrame, int], N
     return step
 
 
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def index_version(spark: SparkSession, target: str) -> int | None:
+    """The newest finished version of an index; None before the first."""
+    folder, fs = _path(spark, f"{target}/versions")
+    return max((int(f.getPath().getName()) for f in fs.listStatus(folder)), default=None) if fs.exists(folder) else None
+
+
+def read_index(spark: SparkSession, target: str, version: int | None = None) -> DataFrame | None:
+    """The catalogue as one version has it: of each unit what the batch that indexed it last has written.
+
+    A reader keeps its version whatever is written meanwhile; its files stay until two newer versions are finished.
+    """
+    version = index_version(spark, target) if version is None else version
+    if version is None:
+        return None
+    units = spark.read.parquet(f"{target}/units/version={version}")
+    batches = [row[0] for row in units.select("batch").distinct().collect()]  # at most MOST_BATCHES + 1
+    if not batches:  # no unit has symbols
+        return spark.read.parquet(f"{target}/data/batch={version}").filter(F.lit(False))
+    rows = spark.read.option("basePath", f"{target}/data").parquet(*[f"{target}/data/batch={k}" for k in batches])
+    live = units.withColumn("batch", F.col("batch").cast(rows.schema["batch"].dataType))
+    return lookup(rows, live, ["root_key", "batch"], "left_semi", salt_by=F.xxhash64(*rows.columns)).drop("batch")
+
+
 def reindex_per_batch(units: DataFrame, extract: Callable[[DataFrame], DataFrame],
-                      target: str) -> Callable[[DataFrame, int], None]:
+                      target: str, most_batches: int = MOST_BATCHES, first: int = 0) -> Callable[[DataFrame, int], None]:
     """T6 as a ``foreachBatch`` step: re-extract the touched units and replace their part.
 
-    ``units`` is the corpus with a ``root_key``; the events of a batch carry
-    ``root_key`` and ``forced``. Only partitions of touched units are rewritten,
-    so a repeated batch ends in the same catalogue; the partition of a touched
-    unit that has no symbols any more goes. With ``units`` stored by ``root_key``
-    only the touched partitions are read: their keys come to the driver if there
-    are at most ``PRUNED_KEYS`` and become a filter of the scan. A unit with a
-    large part of all symbols is divided over several files.
+    ``units`` is the corpus with a ``root_key``; the events of a batch carry ``root_key`` and ``forced``. A batch
+    writes the symbols of its units beside all others, then the list of all units with the batch that holds each, and
+    at last an empty file named by its number: that one creation is the switch, and readers (``read_index``) see all
+    of a batch or nothing. A unit without symbols leaves the list. A batch that was finished before does nothing; one
+    that was not writes its folders anew. Versions are numbered like batches, from ``first`` on: a new stream, which counts
+    its batches from 0 again, is given ``index_version() + 1`` for an index that is there. After the switch, folders go that neither this version nor the
+    one before it needs. If more than ``most_batches`` hold something, the symbols of the oldest half are
+    written together with those of this batch, so folders and their list stay bounded. With ``units`` stored
+    by ``root_key`` only the touched partitions are read: their keys come to the driver if there are at most ``PRUNED_KEYS``
+    and become a filter of the scan. A unit with a large part of all symbols is divided over several files.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        touched = settled(batch.filter("forced").select("root_key").distinct())
+        spark, batch_id = batch.sparkSession, first + batch_id
+        current = index_version(spark, target)
+        if current is not None and current >= batch_id:
+            return
+        touched = settled(batch.filter("forced AND root_key IS NOT NULL").select("root_key").distinct())
         keys = [row[0] for row in touched.limit(PRUNED_KEYS + 1).collect()]
         asked = units.filter(F.col("root_key").isin(keys)) if len(keys) <= PRUNED_KEYS else units
         symbols = settled(extract(lookup(asked, touched, ["root_key"], "left_semi", salt_by=F.col("path"))))
-        (symbols.hint("rebalance", "root_key").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("root_key").parquet(target))
-        emptied = touched.join(symbols.select("root_key").distinct(), "root_key", "left_anti")
-        spark = batch.sparkSession
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        escaped = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        for row in emptied.toLocalIterator():
-            path = jvm.org.apache.hadoop.fs.Path(target, f"root_key={escaped.escapePathName(row[0])}")
-            path.getFileSystem(conf).delete(path, True)
+        found = symbols.select("root_key").distinct().withColumn("batch", F.lit(batch_id))
+        if current is None:
+            listed, written = found, symbols
+        else:
+            kept = settled(spark.read.parquet(f"{target}/units/version={current}").join(touched, "root_key", "left_anti"))
+            holding = sorted(row[0] for row in kept.select("batch").distinct().collect())  # at most most_batches + 1
+            merged = holding[:len(holding) // 2] if len(holding) > most_batches else []
+            written = symbols
+            if merged:
+                rows = spark.read.option("basePath", f"{target}/data").parquet(*[f"{target}/data/batch={k}" for k in merged])
+                live = kept.filter(F.col("batch").isin(merged)).withColumn("batch", F.col("batch").cast(rows.schema["batch"].dataType))
+                moved = lookup(rows, live, ["root_key", "batch"], "left_semi", salt_by=F.xxhash64(*rows.columns))
+                written = symbols.unionByName(moved.select(*symbols.columns))
+            listed = kept.withColumn("batch", F.when(F.col("batch").isin(merged), batch_id).otherwise(F.col("batch"))).unionByName(found)
+        (written.hint("rebalance", "root_key").sortWithinPartitions("root_key")
+         .write.mode("overwrite").parquet(f"{target}/data/batch={batch_id}"))
+        listed.select("root_key", F.col("batch").cast("bigint").alias("batch")).write.mode("overwrite").parquet(
+            f"{target}/units/version={batch_id}")
+        marker, fs = _path(spark, f"{target}/versions/{batch_id}")
+        fs.create(marker, False).close()
+        _forget(spark, target, batch_id, current)
 
     return step
 
 
+def _forget(spark: SparkSession, target: str, version: int, before: int | None) -> None:
+    """Delete the folders that neither of the two newest versions needs."""
+    kept = [v for v in (version, before) if v is not None]
+    needed = {f"batch={row[0]}" for v in kept
+              for row in spark.read.parquet(f"{target}/units/version={v}").select("batch").distinct().collect()}
+    for folder, names in (("versions", {str(v) for v in kept}), ("units", {f"version={v}" for v in kept}),
+                          ("data", needed | {f"batch={version}"})):
+        path, fs = _path(spark, f"{target}/{folder}")
+        for below in fs.listStatus(path):
+            if below.getPath().getName() not in names:
+                fs.delete(below.getPath(), True)
+
+
 def run_to_table(stream: DataFrame, label: str, checkpoint: str | None = None,
                  target: str | None = None) -> str:
     """Process what is there into a Parquet folder and stop; returns the folder."""

@@ -1,5 +1,11 @@
 """Streams over several micro-batches, with a restart, equal their batch forms."""
 
+import random
+import tracemalloc
+from types import SimpleNamespace
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +13,7 @@ from termindex.plans import bindings as b
 from termindex.plans import registered
 from termindex.session import new_folder
 from termindex.streaming import events as ev
+from termindex.streaming import ordered
 from termindex.streaming import state as st
 
 SF = "/root/testdata/sf0.001"
@@ -109,7 +116,7 @@ def test_reindex_replaces_only_touched_units(spark, rows):
     index(0, "old", target)
     index(1, "new", target)
     index(1, "new", target)
-    assert rows(spark.read.parquet(target).select("root_key", "path")) == [("a", "new"), ("b", "old")]
+    assert rows(st.read_index(spark, target).select("root_key", "path")) == [("a", "new"), ("b", "old")]
 
 
 def test_hot_instance_in_batch_form(spark, rows, raw):
@@ -122,6 +129,110 @@ def test_hot_instance_in_batch_form(spark, rows, raw):
     same(rows, ev.emit_on_change(hot), expected)
 
 
+def made(spark, rows):
+    """Events (event_id, seconds, instance, buffer, action, forced, fp)."""
+    schema = "event_id long, s long, instance_id long, buffer_id int, action string, forced boolean, fp long"
+    return spark.createDataFrame(rows, schema).select(
+        "event_id", F.timestamp_seconds("s").alias("ts"), "instance_id", "buffer_id", "action", "forced", "fp")
+
+
+def streamed(spark, batches, run):
+    """Run a stream over the batches, one at a time; returns (output folder, checkpoint)."""
+    folder, out, progress = new_folder(spark, "in"), new_folder(spark, "out"), new_folder(spark, "progress")
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(folder)
+        schema = ", ".join(f"{n} {t}" for n, t in batch.dtypes)
+        st.run_to_table(run(ev.read_events(spark, folder, schema, max_files=1)), "r", progress, out)
+    return out, progress
+
+
+def some_events(n, seed, buffers=5, toggle=0.0, hot=0.5):
+    """Half of all events in one instance; equal times, missing fingerprints."""
+    rng = random.Random(seed)
+    return [(k, rng.randrange(n // 3 + 1), 1 if rng.random() < hot else rng.randrange(2, 6), rng.randrange(buffers),
+             "toggle" if rng.random() < toggle else "update", rng.random() < 0.05,
+             None if rng.random() < 0.1 else rng.randrange(3)) for k in range(n)]
+
+
+def test_hot_buffer_is_ordered_in_runs(spark, rows):
+    """Runs of 100 rows: pages, merges of merges, and the same rows as the batch form."""
+    events = made(spark, some_events(12_000, 1, buffers=1, hot=0.8))
+    out, _ = streamed(spark, [events], lambda s: st.emit_on_change_stream(s, run_rows=100))
+    same(rows, spark.read.parquet(out), ev.emit_on_change(events))
+
+
+def test_gate_spreads_a_hot_instance_with_a_toggle_in_each_batch(spark, rows):
+    pieces, events = [], some_events(4000, 2, buffers=40, toggle=0.01)
+    events.sort(key=lambda e: (e[1], e[0]))
+    for k in range(4):  # a day apart
+        of = [(e, s + 86400 * k, *rest) for e, s, *rest in events[1000 * k:1000 * (k + 1)]]
+        pieces.append([(-1, of[0][1], 1, 0, "toggle", False, 0), *of])
+    out, progress = streamed(spark, [made(spark, p) for p in pieces], lambda s: st.enabled_gate_stream(s, run_rows=300))
+    expected = ev.enabled_gate(made(spark, [e for p in pieces for e in p]))
+    same(rows, spark.read.parquet(out), expected)
+    keys = spark.read.format("statestore").option("stateVarName", "epoch").load(progress).select("key.*").collect()
+    assert len([k for k in keys if k["instance_id"] == 1]) == st.SHARDS
+
+
+def test_idle_buffer_leaves_the_state(spark):
+    def at(*events):
+        return made(spark, [(e, 10**6 + s, 1, buffer, "update", False, fp) for e, s, buffer, fp in events])
+
+    def known(progress):
+        df = spark.read.format("statestore").option("stateVarName", "last").load(progress)
+        return sorted(r["buffer_id"] for r in df.select("key.buffer_id").collect())
+
+    first, hour = at((1, 0, 1, 7), (2, 10, 2, 7)), 3600
+    out, progress = streamed(spark, [first, at((3, 2 * hour, 2, 7))], lambda s: st.emit_on_change_stream(s, "1 hour", "1 second"))
+    assert known(progress) == [2]
+    out, progress = streamed(spark, [first, at((3, 2 * hour, 2, 7)), at((4, 2 * hour + 5, 1, 7), (5, 2 * hour + 6, 2, 7))],
+                             lambda s: st.emit_on_change_stream(s, "1 hour", "1 second"))
+    # Both had been idle for an hour when event 3 moved the watermark; event 3 itself met the old state.
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2, 4]
+    out, progress = streamed(spark, [first, at((3, 2 * hour, 2, 7)), at((4, 2 * hour + 5, 1, 7))], st.emit_on_change_stream)
+    assert sorted(r["event_id"] for r in spark.read.parquet(out).collect()) == [1, 2] and known(progress) == [1, 2]
+
+
+class _Files:
+    """A map state whose values lie on disk."""
+
+    def __init__(self, folder):
+        self.folder, self.held = folder, 0
+
+    def updateValue(self, key, value):  # noqa: N802
+        (self.folder / "-".join(map(str, key))).write_bytes(value[0])
+        self.held += 1
+
+    def getValue(self, key):  # noqa: N802
+        return ((self.folder / "-".join(map(str, key))).read_bytes(),)
+
+    def removeKey(self, key):  # noqa: N802
+        (self.folder / "-".join(map(str, key))).unlink()
+        self.held -= 1
+
+
+def test_a_million_rows_of_one_key_in_a_fixed_memory(tmp_path):
+    state = _Files(tmp_path)
+    runs = ordered.Runs(SimpleNamespace(getMapState=lambda *a: state), ["ts", "event_id"])
+
+    def pieces():
+        draw = np.random.default_rng(1)
+        for k in range(100):
+            yield pd.DataFrame({"ts": pd.to_datetime(draw.integers(0, 10**9, 10_000), unit="s"),
+                                "event_id": np.arange(10_000) + 10_000 * k, "fp": draw.integers(0, 9, 10_000)})
+
+    tracemalloc.start()
+    last, seen = None, 0
+    for block in runs.ordered(pieces()):
+        keys = block["ts"].to_numpy().astype("datetime64[s]").astype(np.int64) * 10**6 + block["event_id"].to_numpy()
+        assert (np.diff(keys) > 0).all() and (last is None or last < keys[0])
+        last, seen = keys[-1], seen + len(keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 1_000_000 and state.held == 0
+    assert peak < 24 << 20, peak  # all rows take 24 MB as numbers alone, and several times that as one sorted frame
+
+
 def test_registered_streams_name_their_batch_twin():
     for name in ("route_events", "first_seen", "emit_on_change", "enabled_gate", "latest_wins"):
         assert f"{name}_stream" in registered.QUERIES
