@@ -44,7 +44,9 @@ from termindex.session import settled
 WORDS = 5
 SAMPLE_TEXTS = 4000
 FREQUENT, MAX_FREQUENT = 3, 100_000  # occurrences in the sample that make a shingle frequent; how many are kept
-FLUSH = 1_000_000  # signatures held in a task
+FLUSH = 500_000  # signatures held in a task
+MEET = 250_000  # signatures sorted at once where they meet
+KNOWN = 1 << 20
 ROWS = 256  # texts shingled at once
 BLOCK = 2048  # members of a group compared with as many others at once
 SPARE = 1.25  # parts per needed part
@@ -298,26 +300,25 @@ def star_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keys = np.array(even_keys(spark, parts), dtype=np.int64)
+    keys, meet = np.array(even_keys(spark, parts), dtype=np.int64), MEET
 
     def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, sigs, classes, known, size, turn = Bands(), [], [], set(), 0, 0
+        held, sigs, classes, size, turn = Bands(), [], [], 0, 0
+        known = np.zeros(KNOWN, dtype=np.int64)  # classes met before; a place keeps the last one
         for batch in batches:
             for shingles in _columns(batch)[1]:
                 if len(shingles) < 3:
                     continue  # only an equal set could be similar
                 c = class_of(shingles)
-                if c in known:
+                if known[c % KNOWN] == c:
                     continue
-                known.add(c)
+                known[c % KNOWN] = c
                 sigs.append(signatures(shingles, frequent, held))
                 classes.append(np.full(len(sigs[-1]), c, dtype=np.int64))
                 size += len(sigs[-1])
                 if size >= FLUSH:
                     yield packed(sigs, classes, turn)
                     sigs, classes, size, turn = [], [], 0, turn + 1
-            if len(known) > 1_000_000:
-                known.clear()
         if size:
             yield packed(sigs, classes, turn)
 
@@ -350,25 +351,28 @@ def star_links(docs: DataFrame, frequent: np.ndarray) -> DataFrame:
             zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["key", "bucket", "blob"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sigs, classes = [], []
+        parts, total = [], 0  # packed as they came
         for batch in batches:
             for bucket, blob in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
                 data = blob.as_py()
                 if bucket < 0:
                     yield told(*np.frombuffer(zlib.decompress(data), dtype=np.int64).reshape(3, -1))
-                    continue
+                else:
+                    parts.append((bucket, data))
+                    total += int(np.frombuffer(data, np.int64, 1)[0])
+        turns = -(-total // meet)
+        for turn in range(turns):  # the signatures of one remainder at a time
+            sigs, classes = [], []
+            for bucket, data in parts:
                 n, t, width = np.frombuffer(data, np.int64, 3)
-                at = 24
-                table = np.frombuffer(data, np.int64, t, at)
-                at += 8 * t
-                low = np.frombuffer(data, np.uint32, n, at).astype(np.uint64)
-                at += 4 * n
-                low |= np.frombuffer(data, np.uint16, n, at).astype(np.uint64) << np.uint64(32)
-                at += 2 * n
-                number = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, n, at)
-                sigs.append(_group(low, np.full(n, bucket, np.int64)))
-                classes.append(table[number])
-        if sigs:
+                table = np.frombuffer(data, np.int64, t, 24)
+                at = 24 + 8 * t
+                low, high = np.frombuffer(data, np.uint32, n, at), np.frombuffer(data, np.uint16, n, at + 4 * n)
+                number = np.frombuffer(data, np.uint16 if width == 2 else np.uint32, n, at + 6 * n)
+                now = np.flatnonzero(low % np.uint32(turns) == turn)
+                sig = low[now].astype(np.uint64) | high[now].astype(np.uint64) << np.uint64(32)
+                sigs.append(_group(sig, np.full(len(now), bucket, np.int64)))
+                classes.append(table[number[now]])
             sig, cls = np.concatenate(sigs), np.concatenate(classes)
             order, first = _stars(sig, cls)
             rest = np.flatnonzero(first != np.arange(len(first)))
@@ -550,9 +554,10 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     least = ranked.groupBy("group").agg(F.min("at").alias("least"))
     gone = settled(ranked.join(least, "group").filter(F.col("at") != F.col("least")).select("at.*").distinct(), "gone")
     gone = broadcast_if_small(gone.select(F.col("id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")), row_bytes=32)
-    key = F.coalesce(F.col(f"`{id_column}`").cast("bigint"), F.lit(LAST_ID))
-    text_hash = F.xxhash64(F.coalesce(F.col(f"`{text_column}`"), F.lit("")))
-    return docs.join(gone, (key == F.col("_gone_id")) & (text_hash == F.col("_gone_hash")), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    key = F.coalesce(F.col(f"row.`{id_column}`").cast("bigint"), F.lit(LAST_ID))
+    text_hash = F.xxhash64(F.coalesce(F.col(f"row.`{text_column}`"), F.lit("")))
+    return rows.join(gone, (key == F.col("_gone_id")) & (text_hash == F.col("_gone_hash")), "left_anti").select("row.*")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf: str) -> DataFrame:
