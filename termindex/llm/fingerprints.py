@@ -26,7 +26,6 @@ from termindex.llm.common import order_id, read, texts
 PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 WINDOW = 8
-SHORT, SHORT_WINDOW = 32, 2  # texts of fewer code points have smaller windows
 SKETCH = 64
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,22 +69,24 @@ class PrefixHashes:
             out = (out << np.uint64(31)) | part
         return out
 
-    @property
-    def width(self) -> int:
-        return WINDOW if self.n >= SHORT else SHORT_WINDOW
-
     def windows(self, begin: int = 0) -> np.ndarray:
-        """Hashes of all windows from ``begin`` on; a text shorter than a window is one window."""
-        width = self.width
-        if self.n < width:
-            return self.span(np.array([0]), np.array([self.n])) if self.n else np.zeros(0, np.uint64)
-        out = np.zeros(self.n - width + 1 - begin, np.uint64)
+        """Hashes of the spans that end behind each code point from ``begin`` on.
+
+        A span has ``WINDOW`` code points, fewer only where the text begins, so texts of all lengths have as
+        many as code points and are compared by one measure.
+        """
+        ends = np.arange(begin + 1, min(self.n, WINDOW - 1) + 1)
+        first = self.span(np.zeros_like(ends), ends) if len(ends) else np.zeros(0, np.uint64)
+        begin = max(begin - WINDOW + 1, 0)
+        if self.n - WINDOW + 1 <= begin:
+            return first
+        out = np.zeros(self.n - WINDOW + 1 - begin, np.uint64)
         for k, p in enumerate(PRIMES):
             p = np.uint64(p)
             held = self.prefix[k][begin:]
-            part = (held[width:] + p - held[:-width]) % p * self.powers.down[k][begin:self.n - width + 1] % p
+            part = (held[WINDOW:] + p - held[:-WINDOW]) % p * self.powers.down[k][begin:self.n - WINDOW + 1] % p
             out = (out << np.uint64(31)) | part
-        return out
+        return np.concatenate([first, out])
 
 
 def spans_equal(a: PrefixHashes, i: int, b: PrefixHashes, j: int, length: int) -> bool:
@@ -185,10 +186,7 @@ def _compared(a: _Held, b: _Held, powers: Powers) -> tuple:
     keep = n - cut
     edited = a.text[:keep] + b.text[:cut]
     hashes = PrefixHashes(b.points[:cut], powers, a.hashes, keep)
-    same = 0
-    if hashes.n >= hashes.width == a.hashes.width:
-        same = max(0, keep - hashes.width + 1)  # windows inside the kept part
-    windows = np.concatenate([a.windows[:same], hashes.windows(same)])
+    windows = np.concatenate([a.windows[:keep], hashes.windows(keep)])  # those that end in the kept part are the same
     told = fingerprint_of(hashes, smallest(windows))
     return (a.doc_id, n, hashlib.sha256(edited.encode()).hexdigest(), a.print, told,
             likeness(a.print, told), likeness(a.print, b.print),
