@@ -21,6 +21,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ SAMPLE_TEXTS = 1500
 MIN_COSINE = 0.3
 MIN_MASS = 0.3  # of an item's weight, as far as a window can hold it
 MIN_WORDS = 5
+MIN_CHARS = 8
 COPY = 0.7
 PARAPHRASE, ANSWER = 0.5, 0.75
 SEED = 17
@@ -76,9 +78,12 @@ class Benchmark:
     basis: np.ndarray | None = None  # words x rank, weighted
     latent: np.ndarray | None = None  # items x rank, of length 1
 
+    def search(self) -> Search:
+        return Search(self)
+
     def numbers(self, text: str) -> np.ndarray:
-        get = self.number.get
-        return np.array([get(w, 0) for w in words_of(text)], dtype=np.int32)
+        words = words_of(text)
+        return np.fromiter(map(self.number.get, words, repeat(0)), dtype=np.int32, count=len(words))
 
 
 def _block_sums(numbers: np.ndarray, basis: np.ndarray, block: int) -> np.ndarray:
@@ -228,24 +233,79 @@ class Search:
         rank = bench.basis.shape[1]
         for first, sums in passages(numbers, self.both, block):
             vectors, mass = sums[:, :rank], sums[:, rank:]
-            length = np.linalg.norm(vectors, axis=1, keepdims=True)
-            cosines = (vectors / np.maximum(length, 1e-12)) @ bench.latent.T
-            for p, i in zip(*np.nonzero((cosines >= self.min_cosine) & (mass >= self.least)), strict=True):
+            length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
+            products = vectors @ bench.latent.T
+            for p, i in zip(*np.nonzero((products >= self.min_cosine * np.maximum(length, 1e-12)) & (mass >= self.least)), strict=True):
                 begin = (first + int(p)) * block
                 share, answered, at = check(bench.items[i], numbers, begin, begin + 2 * block, self.holds[i])
                 kind = "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and answered else None
                 if kind and (i not in best or share > best[i][1]):
-                    best[i] = (kind, share, float(cosines[p, i]), at)
+                    best[i] = (kind, share, float(products[p, i] / length[p, 0]), at)
         return best
 
 
-def find_items(docs: DataFrame, bench: Benchmark) -> DataFrame:
+def plain_words(text: str) -> str:
+    """The words of a text with one blank between them."""
+    return " ".join(words_of(text))
+
+
+class Verbatim:
+    """Looks for items too short for a subsequence: their words as they are, one after the other.
+
+    An item in a script that is written with blanks has to begin and end where words do. Exact, at all places,
+    with one automaton for all items of a block.
+    """
+
+    UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
+    def __init__(self, block: list[tuple[int, str]]):
+        import ahocorasick
+
+        self.held = [item for _, item in block]
+        self.automaton = ahocorasick.Automaton()
+        for i, (_, item) in enumerate(block):
+            self.automaton.add_word(item, (*self.automaton.get(item, ()), i))
+        self.automaton.make_automaton()
+
+    def found(self, text: str) -> dict[int, tuple]:
+        """(kind, share, cosine, first word) by item number: the first place of each item found."""
+        plain, best = plain_words(text), {}
+        for end, numbers in self.automaton.iter(plain):
+            item = None
+            for i in numbers:
+                if i in best:
+                    continue
+                if item is None:
+                    item = self.held[i]
+                    begin = end + 1 - len(item)
+                    whole = (begin == 0 or plain[begin - 1] == " ") and (end + 1 == len(plain) or plain[end + 1] == " ")
+                    if not whole and not self.UNSPACED.search(item):
+                        break
+                best[i] = ("copy", 1.0, 1.0, plain.count(" ", 0, begin))
+        return best
+
+
+@dataclass
+class ShortItems:
+    """A block of (item id, its words)."""
+
+    block: list[tuple[int, str]]
+
+    @property
+    def ids(self) -> list[int]:
+        return [key for key, _ in self.block]
+
+    def search(self) -> Verbatim:
+        return Verbatim(self.block)
+
+
+def find_items(docs: DataFrame, bench: Benchmark | ShortItems) -> DataFrame:
     """(doc_id, item_id, kind, share, cosine, first_word): the best passage of each document and item found."""
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        search = Search(bench)
+        search, ids = bench.search(), bench.ids
         for batch in batches:
-            rows = [(key, bench.ids[i], *best)
+            rows = [(key, ids[i], *best)
                     for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
                     for i, best in search.found(text).items()]
             if rows:
@@ -257,18 +317,24 @@ def find_items(docs: DataFrame, bench: Benchmark) -> DataFrame:
         searched, "doc_id bigint, item_id bigint, kind string, share double, cosine double, first_word bigint")
 
 
-def benchmark_blocks(plain: DataFrame, benchmark: DataFrame, sample_texts: int, items_at_once: int) -> Iterator[Benchmark]:
-    """The query set, fitted a block of items at a time."""
+def benchmark_blocks(plain: DataFrame, benchmark: DataFrame, sample_texts: int,
+                     items_at_once: int) -> Iterator[Benchmark | ShortItems]:
+    """The query set, a block of items at a time: long ones fitted, short ones as they are."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
         "item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
     chosen = plain.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
-    sample, block = None, []
+    sample, block, short = None, [], []
     given = items.toLocalIterator()
     while True:
         item = next(given, None)
         words = words_of(item["text"]) if item is not None else []
         if len(words) >= MIN_WORDS:
             block.append((item["item_id"], words))
+        elif sum(map(len, words)) >= MIN_CHARS:
+            short.append((item["item_id"], " ".join(words)))
+        if short and (item is None or len(short) == items_at_once):
+            yield ShortItems(short)
+            short = []
         if block and (item is None or len(block) == items_at_once):
             if sample is None:
                 sample = settled(plain.join(F.broadcast(chosen), "doc_id").select("text").repartition(8), "passages")
@@ -285,8 +351,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     ``kind`` is ``copy`` or ``paraphrase``; ``share`` is the part of the item's
     words in the longest common subsequence; ``first_word`` the word number.
 
-    A null or empty text holds nothing. Items without an id or of fewer than
-    five words are too short to prove anything and are passed over; an item that
+    A null or empty text holds nothing. Items of fewer than five words, as whole sentences in scripts
+    without blanks are, are found where all their words stand as they are, and are copies. Items without
+    an id or of fewer than ``MIN_CHARS`` letters and digits in all say nothing and are passed over; an item that
     is given twice with different texts is searched under its id for both. Rows
     that repeat an id are searched each for itself; the best find of an id
     counts. An empty table on either side gives none.
@@ -303,12 +370,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
           sample_texts: int = SAMPLE_TEXTS, items_at_once: int = ITEMS) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark item; they pass through one filter per block."""
+    """The rows of ``docs``, all columns, whose text holds no benchmark item; they pass through one filter per block.
+
+    Items are those of ``contamination``. Rows with a null or empty text stay, rows that repeat an id are judged each by
+    its own text, and other columns may have any names. An empty benchmark leaves all rows, an empty table none.
+    """
     at, out = docs.columns.index(text_column), docs
     for bench in benchmark_blocks(texts(docs, id_column, text_column), benchmark, sample_texts, items_at_once):
 
-        def kept(batches: Iterator[pa.RecordBatch], bench: Benchmark = bench) -> Iterator[pa.RecordBatch]:
-            search = Search(bench)
+        def kept(batches: Iterator[pa.RecordBatch], bench: Benchmark | ShortItems = bench) -> Iterator[pa.RecordBatch]:
+            search = bench.search()
             for batch in batches:
                 keep = [not search.found(t or "") for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(keep, pa.bool_()))
