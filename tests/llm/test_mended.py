@@ -1,10 +1,12 @@
 """Likeness at all lengths, short benchmark items, clashing columns, signatures met in several turns."""
 
 import random
+import re
+import time
 
 import pytest
 
-from termindex.llm import decontamination, fingerprints, jaccard
+from termindex.llm import decontamination, fingerprints, jaccard, secrets, toxicity
 
 
 def windows(text, width=fingerprints.WINDOW):
@@ -78,3 +80,71 @@ def test_signatures_met_in_turns(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "MEET", 7)
     assert sorted(map(tuple, jaccard.near_duplicates(docs).select("doc_id", "component_id").collect())) == expected
     assert len({c for _, c in expected}) == 9
+
+
+ADDED = {
+    "github": (r"gh[pousr]_[A-Za-z0-9]+", 40), "slack": (r"xox[abprs]-[A-Za-z0-9-]+", 15), "google": (r"AIza[A-Za-z0-9_-]+", 39),
+    "stripe": (r"(?:sk|rk)_live_[A-Za-z0-9]+", 24),
+    "jwt": (r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 30),
+    "bearer": (r"[Bb][Ee][Aa][Rr][Ee][Rr] [A-Za-z0-9+/_.=-]+", 27),
+}
+
+
+def test_added_rules_are_leftmost_and_longest():
+    """The second automaton gives what a regular expression gives, on texts made of pieces of the rules."""
+    rng = random.Random(8)
+    bits = ["ghp_", "gho_", "xoxb-", "AIza", "sk_live_", "rk_live_", "eyJ", ".", ".eyJ", "bearer ", "BEARER ", "abc", "A1" * 9,
+            "x" * 21, "-", "_", " ", "\n", "é", "=", "deadbeefdeadbeef", "token=", "AKIA"]
+    held = ["".join(rng.choice(bits) for _ in range(rng.randrange(50))) for _ in range(1500)]
+    scanner = secrets.compiled(tuple(secrets.RULES))
+    for text, found in zip(held, scanner.spans([t.encode() for t in held]), strict=True):
+        raw = text.encode()
+        got = {(scanner.rules[r].kind, b, e) for b, r, e in found}
+        assert {x for x in got if x[0] in ADDED} == {
+            (kind, m.start(), m.end()) for kind, (pattern, least) in ADDED.items()
+            for m in re.finditer(pattern.encode(), raw) if len(m[0]) >= least}
+        base = {(k, len(text[:b].encode()), len(text[:e].encode())) for k, b, e in secrets.plain_spans(text)}
+        assert {x for x in got if x[0] in secrets.BASE} == base
+
+
+def test_private_keys_to_their_end():
+    key = "-----BEGIN {0}PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\n\nMIIEpAIB+/=\nAAA\n-----END {1}PRIVATE KEY-----"
+    whole, other = key.format("RSA ", "RSA "), key.format("RSA ", "EC ")
+    begin = "-----BEGIN PRIVATE KEY-----"
+    scanner = secrets.compiled(tuple(secrets.RULES))
+    texts = [f"a\n{whole}\nb", f"{other} {whole}", f"{begin}\nMII{{}}\n-----END PRIVATE KEY-----", begin + whole, "-----END PRIVATE KEY-----"]
+    got = [[t[b:e] for b, r, e in found if scanner.rules[r].kind.startswith("key")]
+           for t, found in zip(texts, scanner.spans([t.encode() for t in texts]), strict=True)]
+    assert got == [[whole], ["-----BEGIN RSA PRIVATE KEY-----", whole], [begin], [begin, whole], []]
+
+
+def test_long_runs_of_heads_take_time_in_proportion():
+    scanner = secrets.compiled(tuple(secrets.RULES))
+
+    def took(n, bit):
+        begin = time.perf_counter()
+        (found,) = scanner.spans([(bit * (n // len(bit))).encode()])
+        return time.perf_counter() - begin, len(found)
+
+    for bit in ("eyJ", "eyJa.", "ghp_", "-----BEGIN "):
+        took(10_000, bit)
+        (short, _), (long, _) = took(20_000, bit), took(200_000, bit)
+        assert long <= 20 * short + 1, (bit, short, long)
+
+
+def test_exceptions_are_merged():
+    """As one by one; and a text that repeats an exception phrase takes time in proportion."""
+    lexicon = toxicity.Lexicon({" idiot ": (30, 0), " idio": (30, 0), " scum ": (30, 0), " not ": (30, 0)}, 60, 600, 10, (-1.0, 1.0),
+                               ("not an idiot", "idiot scum", "not an"))
+    matcher = toxicity.Matcher(lexicon)
+    rng = random.Random(5)
+    for _ in range(300):
+        text = " ".join(rng.choice(["not", "an", "idiot", "scum", "tea"]) for _ in range(rng.randrange(30)))
+        folded = toxicity.fold(text)
+        exempt = [m for p in lexicon.exceptions for m in re.finditer(f"(?={toxicity.fold(p)})", folded)
+                  for m in [range(m.start(), m.start() + len(toxicity.fold(p)) - 1)]]
+        hits = {m.start() for term in lexicon.weights() for m in re.finditer(f"(?={term})", folded)}
+        assert matcher.density(text)[1] == len([h for h in hits if not any(h in e for e in exempt)]), text
+    begin = time.perf_counter()
+    assert matcher.density("not an idiot idiot " * 60_000)[1] == 60_000
+    assert time.perf_counter() - begin < 10
