@@ -124,9 +124,16 @@ class Matcher:
                 exempt.append((begin, end))
             elif weights[which] > hits.get(begin, 0.0):
                 hits[begin] = weights[which]
-        for begin, end in exempt:
-            for at in [at for at in hits if begin <= at < end]:
-                del hits[at]
+        if exempt and hits:
+            # One merge of two sorted lists: a hit goes if an exception that began up to it has not yet ended.
+            exempt.sort()
+            k, covered = 0, 0
+            for at in sorted(hits):
+                while k < len(exempt) and exempt[k][0] <= at:
+                    covered = max(covered, exempt[k][1])
+                    k += 1
+                if at < covered:
+                    del hits[at]
         words = folded.count(" ") - 1 if folded.strip() else 0
         return sum(hits.values()) / (words + SMOOTHING), len(hits), words
 
