@@ -71,7 +71,7 @@ SENTENCES = {
     50: "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby"
         " granted provided that the above copyright notice and this permission notice appear in all copies",
     51: "licensed under the isc license",
-    60: "this source code form is subject to the terms of the mozilla public license v. 2.0",
+    60: "this source code form is subject to the terms of the mozilla public license v 2.0",
     61: "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla.org mpl 2.0",
     62: "you can obtain one at http mozilla.org mpl 2.0",
     70: "licensed under cc by nc 4.0",
@@ -80,11 +80,32 @@ SENTENCES = {
     73: "this work is licensed under a creative commons attribution 4.0 international license",
     74: "this work is licensed under a creative commons attribution sharealike 4.0 international license",
     75: "this work is licensed under a creative commons attribution noncommercial 4.0 international license",
+    63: "mozilla public license version 2.0",
+    64: "mozilla public license version 1.1",
+    65: "the contents of this file are subject to the mozilla public license version 1.1 the license",
+    77: "cc0 1.0 universal",
+    78: "for these and or other purposes and motivations and without any expectation of additional consideration or"
+        " compensation the person associating cc0 with a work the affirmer to the extent that he or she is an owner of"
+        " copyright and related rights in the work voluntarily elects to apply cc0 to the work and publicly distribute the"
+        " work under its terms with knowledge of his or her copyright and related rights in the work and the meaning and"
+        " intended legal effect of cc0 on those rights",
     76: "to the extent possible under law the author s have dedicated all copyright and related and neighboring"
         " rights to this software to the public domain worldwide",
     80: "this is free and unencumbered software released into the public domain",
     90: "all rights reserved",
+    # Titles of whole licence texts.
+    180: "apache license version 2.0 january 2004",
+    181: "gnu general public license version 2 june 1991",
+    182: "gnu general public license version 3 29 june 2007",
+    183: "gnu library general public license version 2 june 1991",
+    184: "gnu lesser general public license version 2.1 february 1999",
+    185: "gnu lesser general public license version 3 29 june 2007",
+    186: "gnu affero general public license version 3 19 november 2007",
+    190: "how to apply these terms to your new programs",
+    191: "how to apply these terms to your new libraries",
 }
+APPENDIX = (190, 191)  # below them stands a notice as an example
+APPENDIX_UNITS = 60  # lines, and more than enough for sentences
 # Sentences with open slots as anchored patterns, (pattern, sentence identifier).
 SLOT = r"(?:[a-z0-9.]++ ){1,20}?"  # a name
 ENDORSE = r"be used to endorse or promote products derived from this software without (?:specific )?(?:prior )?(?:written )?permission"
@@ -92,6 +113,9 @@ SLOTS = [
     (rf"{SLOT}licenses this file to you under the apache license version 2.0 the license", 11),
     (rf"in no event shall {SLOT}be liable for any claim damages or other liability whether in an action of contract tort or"
      r" otherwise arising from out of or in connection with the software or the use or other dealings in the software", 25),
+    (r"you may obtain a copy of the license at https www.apache.org licenses license 2.0", 14),
+    (r"if a copy of the mpl was not distributed with this file you can obtain one at https mozilla.org mpl 2.0", 61),
+    (r"you can obtain one at https mozilla.org mpl 2.0", 62),
     (rf"{SLOT}is free software", 32),
     (r"(?:this|the) (?:program|library|software|file) is distributed in the hope that it will be useful but without any warranty", 34),
     (r"see the gnu (?:lesser |library |affero )?general public license for more details", 36),
@@ -163,7 +187,10 @@ RULES = [
     ("MPL-2.0", "header", [60, 61]), ("MPL-2.0", "header", [60, 62]), ("MPL-2.0", "notice", [60]),
     ("CC-BY-NC-4.0", "notice", [70]), ("CC-BY-NC-4.0", "notice", [75]), ("CC-BY-4.0", "notice", [71]),
     ("CC-BY-4.0", "notice", [73]), ("CC-BY-SA-4.0", "notice", [72]), ("CC-BY-SA-4.0", "notice", [74]),
-    ("CC0-1.0", "notice", [76]), ("Unlicense", "text", [80]),
+    ("CC0-1.0", "notice", [76]), ("CC0-1.0", "text", [78]), ("CC0-1.0", "title", [77]),
+    ("MPL-2.0", "title", [63]), ("MPL-1.1", "header", [65, 12]), ("MPL-1.1", "notice", [65]), ("MPL-1.1", "title", [64]),
+    ("Apache-2.0", "title", [180]), ("GPL-2.0", "title", [181]), ("GPL-3.0", "title", [182]), ("LGPL-2.0", "title", [183]),
+    ("LGPL-2.1", "title", [184]), ("LGPL-3.0", "title", [185]), ("AGPL-3.0", "title", [186]), ("Unlicense", "text", [80]),
     ("Proprietary", "notice", [1, 90]), ("Proprietary", "notice", [90]),
     *[(name, "tag", [100 + i]) for i, name in enumerate(SPDX)],
     ("BSD-3-Clause", "text", [40, 41, 42, 46]),
@@ -172,6 +199,11 @@ RULES = [
 RULES += [rule for rule in gnu_rules() if rule not in RULES and (rule[0], "notice", rule[2]) not in RULES]
 # A licence whose rule is part of another licence's rule goes if the other is found.
 PART_OF = [("BSD-2-Clause", "BSD-3-Clause"), ("BSD-2-Clause", "BSD-4-Clause"), ("BSD-3-Clause", "BSD-4-Clause")]
+# The text of a GNU licence by itself does not say whether later versions may be chosen; a notice beside it does.
+PART_OF += [(f"{family}-{v}", f"{family}-{v}-{end}") for family, (_, versions) in FAMILIES.items()
+            for v in versions for end in ("only", "or-later")]
+# Each known sentence has one of these words.
+TELLING = r"(?i)licen[sc]e|copyright|permission|redistribut|software|warrant|reserved|mozilla|endorse|how to apply|\bcc0?\b"
 
 
 JOINT = "\x01"  # stands for a line end inside a sentence
@@ -223,7 +255,7 @@ def sentences_of(text: Column) -> Column:
     """Sentences across line ends; comment marks at the start of lines are no part of them."""
     joined = F.regexp_replace(text, r"\n[ \t]*(?:[/*#;%]+[ \t]*)?", JOINT)
     gap = rf"[ \t\r{JOINT}]++"
-    end = rf"(?<=[.;:!?]){gap}"
+    end = rf"(?<=[.;:!?])(?<!\bv\.){gap}"
     # A full stop may belong to a name in a slot: "the name of Example Inc. nor ...".
     open_slot = (rf"(?!(?i:(?:(?!neither\b|the{gap}names?{gap}of\b)[^;:!?]){{0,150}}?"
                  rf"\b(?:nor{gap}the{gap}names?\b|may{gap}not{gap}be{gap}used{gap}to{gap}endorse)))")
@@ -237,13 +269,21 @@ def known_units(units: Column, lines: bool = False) -> Column:
     whether "or later" follows in the next; the sentences do.
     """
     long_enough = F.filter(F.transform(units, lambda u, i: F.struct(i.alias("at"), u.alias("unit"))),
-                           lambda x: (F.char_length(x["unit"]) >= 10)
-                           & x["unit"].rlike(r"(?i)licen[sc]e|copyright|permi|distribut|software|rights|work|obtain|warrant|law|\bcc"))
+                           lambda x: (F.char_length(x["unit"]) >= 10) & x["unit"].rlike(TELLING))
     numbered = F.flatten(F.transform(long_enough, lambda x: F.transform(
         F.regexp_extract_all(normalised(x["unit"]), F.lit(any_sentence()), 1), lambda found: F.struct(
             x["at"].alias("at"), sentence_number(F.translate(found, JOINT, " ")).alias("id")))))
     unsure = sorted(ONLY - set(SENTENCES)) if lines else []
-    return F.filter(numbered, lambda x: (x["id"] > 0) & ~x["id"].isin(unsure) if unsure else x["id"] > 0)
+    known = F.filter(numbered, lambda x: (x["id"] > 0) & ~x["id"].isin(unsure) if unsure else x["id"] > 0)
+    return F.when(F.exists(known, lambda x: x["id"].isin(*APPENDIX)), without_examples(known)).otherwise(known)
+
+
+def without_examples(known: Column) -> Column:
+    """Without the notices of the GNU licences that the appendix of such a licence shows as an example."""
+    shown = F.transform(F.filter(known, lambda x: x["id"].isin(*APPENDIX)), lambda x: x["at"])
+    return F.filter(known, lambda x: ~(
+        (x["id"].between(30, 39) | (x["id"] >= 200))
+        & F.exists(shown, lambda at: (x["at"] >= at) & (x["at"] - at <= APPENDIX_UNITS))))
 
 
 def sequence_text(known: Column, max_gap: int = MAX_GAP) -> Column:
@@ -258,6 +298,15 @@ def rule_pattern(ids: list[int]) -> str:
     return "[;,]" + r"(?:,\d+)*?,".join(map(str, ids)) + r"(?!\d)"
 
 
+def reserved_alone(sequence: Column) -> Column:
+    """Does "all rights reserved" stand in a run of sentences without a licence?"""
+    reserved = rule_pattern([90])
+    other = "|".join(rule_pattern(ids) for name, _, ids in RULES if name != "Proprietary")
+    return F.when(sequence.rlike(reserved), F.exists(
+        F.transform(F.split(sequence, ";"), lambda run: F.concat(F.lit(";"), run)),
+        lambda run: run.rlike(reserved) & ~run.rlike(other))).otherwise(F.lit(False))
+
+
 def matched_rules(lines: Column, sentences: Column) -> Column:
     """Numbers of the rules that match one of the sequences, the most specific of each licence only."""
     by_licence: dict[str, list[int]] = {}
@@ -270,6 +319,10 @@ def matched_rules(lines: Column, sentences: Column) -> Column:
         for i in reversed(rules):
             pattern = rule_pattern(RULES[i][2])
             pick = F.when(lines.rlike(pattern) | sentences.rlike(pattern), i).otherwise(pick)
+        if RULES[rules[0]][0] == "Proprietary":
+            # Sentences reach across lines and see a licence that lines do not, so theirs is the say where they have it.
+            alone = F.when(sentences.rlike(rule_pattern([90])), reserved_alone(sentences)).otherwise(reserved_alone(lines))
+            pick = F.when(alone, pick)
         found.append(pick)
     return F.when((lines == "") & (sentences == ""), F.array().cast("array<int>")).otherwise(F.array_compact(F.array(*found)))
 

@@ -1,12 +1,13 @@
 """Likeness at all lengths, short benchmark items, clashing columns, signatures met in several turns."""
 
+import pathlib
 import random
 import re
 import time
 
 import pytest
 
-from termindex.llm import decontamination, fingerprints, jaccard, secrets, toxicity
+from termindex.llm import decontamination, fingerprints, jaccard, licenses, secrets, toxicity
 
 
 def windows(text, width=fingerprints.WINDOW):
@@ -148,3 +149,40 @@ def test_exceptions_are_merged():
     begin = time.perf_counter()
     assert matcher.density("not an idiot idiot " * 60_000)[1] == 60_000
     assert time.perf_counter() - begin < 10
+
+
+FULL = {"Apache-2.0": ["Apache-2.0"], "BSD": ["BSD-3-Clause"], "CC0-1.0": ["CC0-1.0"], "GPL-2": ["GPL-2.0"], "GPL-3": ["GPL-3.0"],
+        "LGPL-2": ["LGPL-2.0"], "LGPL-2.1": ["LGPL-2.1"], "LGPL-3": ["LGPL-3.0"], "MPL-1.1": ["MPL-1.1"], "MPL-2.0": ["MPL-2.0"],
+        "Artistic": []}
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+GPL_NOTICE = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+"""
+
+
+def test_whole_licence_texts(spark):
+    """The texts that a Debian system carries, each by itself, after a notice, and behind "all rights reserved"."""
+    folder = pathlib.Path("/usr/share/common-licenses")
+    have = [n for n in FULL if (folder / n).is_file()]
+    full = {n: (folder / n).read_text(errors="replace") for n in have}
+    cases = {n: (full[n], FULL[n]) for n in have}
+    cases["header"] = MPL_HEADER, ["MPL-2.0"]
+    cases["reserved"] = "Copyright 2020 X Ltd.\nAll rights reserved.\n", ["Proprietary"]
+    cases["reserved far above"] = "All rights reserved.\n" + "One more line of text.\n" * 30 + MPL_HEADER, ["MPL-2.0", "Proprietary"]
+    cases["reserved beside"] = "Copyright 2020 X Ltd. All rights reserved.\n" + MPL_HEADER, ["MPL-2.0"]
+    if "GPL-3" in full:
+        cases["notice and text"] = GPL_NOTICE + "\n" + full["GPL-3"], ["GPL-3.0-or-later"]
+        cases["notice behind the text"] = full["GPL-3"] + "Line.\n" * 80 + GPL_NOTICE, ["GPL-3.0-or-later"]
+    df = spark.createDataFrame([(n, t) for n, (t, _) in cases.items()], "doc_id string, text string")
+    assert {r.doc_id: r.licenses for r in licenses.scan_licenses(df).collect()} == {n: want for n, (_, want) in cases.items()}
+
+
+def test_each_known_sentence_has_a_telling_word():
+    spdx = ["spdx license identifier " + licenses.spoken(n) for n in licenses.SPDX]
+    for sentence in [*licenses.SENTENCES.values(), *spdx, *[p for p, _ in licenses.SLOTS]]:
+        assert re.search(licenses.TELLING, sentence.replace("acknowledge?ment", "")), sentence
