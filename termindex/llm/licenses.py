@@ -275,7 +275,9 @@ def known_units(units: Column, lines: bool = False) -> Column:
             x["at"].alias("at"), sentence_number(F.translate(found, JOINT, " ")).alias("id")))))
     unsure = sorted(ONLY - set(SENTENCES)) if lines else []
     known = F.filter(numbered, lambda x: (x["id"] > 0) & ~x["id"].isin(unsure) if unsure else x["id"] > 0)
-    return F.when(F.exists(known, lambda x: x["id"].isin(*APPENDIX)), without_examples(known)).otherwise(known)
+    # Held in an array of one, so that the sentences are found once although three expressions read them.
+    return F.get(F.transform(F.array(known), lambda found: F.when(
+        F.exists(found, lambda x: x["id"].isin(*APPENDIX)), without_examples(found)).otherwise(found)), 0)
 
 
 def without_examples(known: Column) -> Column:
