@@ -261,7 +261,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text
 
 
 def accepted(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text is not predicted to be toxic; they pass through one filter."""
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic; they pass through one filter.
+
+    A null text counts as an empty one. Rows that repeat an id, or have none, are judged each by its own text. Other columns
+    may have any names. Without labels all rows stay; an empty table gives none.
+    """
     lexicon = fit(texts(docs, id_column, text_column), labels, **options)
     at = docs.columns.index(text_column)
 
