@@ -11,6 +11,7 @@ Only the number of rows of each partition reaches the driver.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from termindex.session import settled
 
 SHARDS = 8
 BLOCK_ROWS = 1 << 20
-MATRIX_SIDE = 8192  # most rows and columns of the matrix; beyond, partitions and blocks get larger
+MATRIX_SIDE = 4096  # most rows and columns of the matrix (128 MB); beyond, partitions and blocks get larger
 SEED = 42
 
 
@@ -51,21 +52,41 @@ def hypergeometric(draw: np.random.Generator, good: int, bad: int, n: int) -> in
     return int(max(0, n - bad, mode - width) + np.searchsorted(weight, draw.random() * weight[-1], side="right"))
 
 
+def dealt(draw: np.random.Generator, rooms: np.ndarray, n: int) -> np.ndarray:
+    """How many of ``n`` rows fall into each room: halves of the rooms against each other until numpy's sampler takes them."""
+    total = int(rooms.sum())
+    if total < 10**9:
+        return draw.multivariate_hypergeometric(rooms, n, method="marginals")
+    if len(rooms) == 1:
+        return np.array([n], dtype=np.int64)
+    half = len(rooms) // 2
+    good = int(rooms[:half].sum())
+    first = hypergeometric(draw, good, total - good, n)
+    return np.concatenate([dealt(draw, rooms[:half], first), dealt(draw, rooms[half:], n - first)])
+
+
 def communication_matrix(counts: list[int], sizes: list[int], seed: int) -> np.ndarray:
-    """Rows sent from each partition (down) to each block (across): one marginal draw after the other."""
+    """Rows sent from each partition (down) to each block (across): one partition after the other."""
     draw = np.random.Generator(np.random.PCG64(seed))
-    left = list(sizes)
+    left = np.array(sizes, dtype=np.int64)
     out = np.zeros((len(counts), len(sizes)), dtype=np.int64)
     for p, need in enumerate(counts):
-        rest = sum(left)
-        for b, room in enumerate(left):
-            rest -= room
-            out[p, b] = hypergeometric(draw, room, rest, need)
-            need -= int(out[p, b])
-            left[b] -= int(out[p, b])
+        out[p] = dealt(draw, left, need)
+        left -= out[p]
     return out
 
 
+def matrix_table(spark: SparkSession, parts: list[int], matrix: np.ndarray, starts: np.ndarray) -> DataFrame:
+    """(p, ends): where each block ends among the ranks of a partition, a list for each shard. Its numbers stay in arrays."""
+    np.cumsum(matrix, axis=1, out=matrix)
+    shards, blocks = len(starts) - 1, matrix.shape[1]
+    borders = (np.arange(len(parts))[:, None] * blocks + starts[:-1]).ravel()
+    of_shards = pa.ListArray.from_arrays(np.append(borders, matrix.size).astype(np.int32), matrix.ravel())
+    ends = pa.ListArray.from_arrays(np.arange(len(parts) + 1, dtype=np.int32) * shards, of_shards)
+    table = pa.table({"p": pa.array(parts, pa.int32()), "ends": ends})
+    return spark.createDataFrame(table, "p int, ends array<array<bigint>>")
+
+
 def shard_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
                block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Add ``shard`` and ``slot`` to each row: a uniform random placement.
@@ -90,10 +111,7 @@ def shard_rows(rows: DataFrame, shards: int = SHARDS, seed: int = SEED,
     matrix = communication_matrix([n for _, n in counted], [n for _, _, n in flat], seed)
     first = [len(of) for of in sizes]
     starts = np.concatenate([[0], np.cumsum(first)])
-    table = spark.createDataFrame(
-        [(p, [[int(x) for x in ends[starts[s]:starts[s + 1]]] for s in range(shards)])
-         for (p, _), ends in zip(counted, np.cumsum(matrix, axis=1), strict=True)],
-        "p int, ends array<array<bigint>>")
+    table = matrix_table(spark, [p for p, _ in counted], matrix, starts)
     begins = F.array(*[F.array(*[F.lit(int(x)) for x in np.concatenate([[0], np.cumsum(of)[:-1]])]) for of in sizes])
     local = Window.partitionBy("p").orderBy(F.xxhash64(F.lit(seed), "u"), "u")
     again = Window.partitionBy("shard", "block").orderBy(F.xxhash64(F.lit(seed + 1), "u"), "u")
