@@ -208,13 +208,17 @@ def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[f
     return value, pattern
 
 
-def generate(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE) -> list[tuple[float, np.ndarray]]:
-    """(times, pattern) that cover ``demand`` with, up to ``tolerance``, the least number of sequences."""
+def generate(sizes: np.ndarray, demand: np.ndarray, capacity: int, tolerance: float = TOLERANCE,
+             start: np.ndarray | None = None, turns: int | None = None) -> list[tuple[float, np.ndarray]]:
+    """(times, pattern) that cover ``demand`` with, up to ``tolerance``, the least number of sequences.
+
+    ``start`` is a basis whose patterns can cover the demand, ``turns`` the most patterns that may enter.
+    """
     m = len(sizes)
-    basis = np.diag((capacity // sizes).astype(float))
-    inverse = np.diag(1.0 / np.diag(basis))
-    times = inverse @ demand
-    for turn in range(50 * m):
+    basis = np.diag((capacity // sizes).astype(float)) if start is None else start.copy()
+    inverse = np.linalg.inv(basis)
+    times = np.maximum(inverse @ demand, 0)
+    for turn in range(50 * m if turns is None else turns):
         duals = inverse.sum(axis=0)
         value, pattern = best_pattern(sizes, duals, capacity)
         # total / value is a lower bound of the optimum, and whole numbers of sequences are wanted.

@@ -3,9 +3,12 @@
 A plan depends on lengths only, and there are at most ``capacity`` of them. So
 the documents are tokenised and cut once, their lengths counted, and the plan is
 made from the counts: large lengths are sorted and rounded up to the largest of
-their group, in groups of about equal cardinality; full configurations of these
-few sizes are chosen, the fullest first; actual lengths take the places of the
-rounded ones; and small lengths go where they fit best. A plan is a list of
+their group, in groups of about equal cardinality. Configurations of these few
+sizes are chosen, the fullest first, which is a basis of the linear program that
+says how often each configuration is used; column generation improves it, at most
+once for each size. Whole parts of its solution are taken, and the pieces left by
+rounding down take the fullest configurations again. Actual lengths take the places
+of the rounded ones, and small lengths go where they fit best. A plan is a list of
 runs, (length, first rank, count, first sequence, offset). A piece finds its
 place by its rank among the pieces of its length: the pieces of its length in
 earlier partitions plus those before it in its own. No row leaves its place for
@@ -26,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from termindex.llm.common import broadcast_if_small, read, texts
+from termindex.llm.cutting_stock import generate
 from termindex.session import settled
 
 CAPACITY = 1024
@@ -152,6 +156,41 @@ def best_rest(room: int, sizes: np.ndarray, have: np.ndarray) -> list[int]:
     return pick
 
 
+def fullest(sizes: np.ndarray, have: np.ndarray, capacity: int, whole: bool = True) -> Iterator[tuple[float, np.ndarray]]:
+    """(times, configuration) that use all of ``have``: around the largest size left, each as often as it can be.
+
+    Unless ``whole``, a configuration is used a fractional number of times, so each one uses up a size.
+    """
+    have = have.copy() if whole else have.astype(float)
+    for k in range(len(sizes)):
+        while have[k] > 0:
+            others = have.copy() if whole else np.where(have > 0, capacity, 0)
+            others[k] -= whole
+            configuration = np.bincount([k, *best_rest(capacity - int(sizes[k]), sizes, others)], minlength=len(sizes))
+            used = np.flatnonzero(configuration)
+            often = have[used] // configuration[used] if whole else have[used] / configuration[used]
+            times = often.min()
+            have -= times * configuration
+            have[used[often == times]] *= whole  # exactly used up, whatever the rounding errors
+            yield times, configuration
+
+
+def first_basis(sizes: np.ndarray, have: np.ndarray, capacity: int) -> np.ndarray:
+    """The fullest configurations as a basis: each uses a size up that no later one has, so none depends on the others.
+
+    A size that ends together with another has a configuration of itself alone.
+    """
+    left, columns, ended = have.astype(float), [], np.zeros(len(sizes), dtype=bool)
+    for times, configuration in fullest(sizes, have, capacity, whole=False):
+        used = np.flatnonzero((configuration > 0) & ~ended)
+        over = used[left[used] / configuration[used] <= times]
+        left -= times * configuration
+        left[over], ended[over] = 0, True
+        columns += [configuration] * bool(len(over)) + [*np.eye(len(sizes), dtype=int)[over[1:]]]
+    columns += [*np.eye(len(sizes), dtype=int)[~ended]]  # only where rounding errors have used a size up
+    return np.array(columns, dtype=float).T
+
+
 class Plan:
     """Runs of equal sequences; all counts, no rows."""
 
@@ -167,18 +206,21 @@ class Plan:
 
     def configure(self, sizes: list[tuple[int, list[list[int]]]]) -> None:
         """Fill configurations of the rounded sizes and substitute the actual lengths."""
+        if not sizes:
+            return
         size = np.array([s for s, _ in sizes], dtype=np.int64)
         have = np.array([sum(n for _, n in runs) for _, runs in sizes], dtype=np.int64)
         runs = [[list(r) for r in of] for _, of in sizes]
-        for k in range(len(size)):
-            while have[k] > 0:
-                have[k] -= 1
-                chosen = Counter([k, *best_rest(self.capacity - int(size[k]), size, have)])
-                have[k] += 1
-                times = int(min(have[i] // n for i, n in chosen.items()))
-                for i, n in chosen.items():
-                    have[i] -= n * times
-                self._substitute(list(chosen.elements()), runs, times)
+        for often, configuration in generate(size, have.astype(float), self.capacity,
+                                             start=first_basis(size, have, self.capacity), turns=len(size)):
+            times = int(often + 1e-6)
+            for k in np.flatnonzero(configuration):  # rounding errors of the program never take more than there is
+                times = min(times, int(have[k]) // int(configuration[k]))
+            if times:
+                have -= times * configuration
+                self._substitute(np.repeat(np.arange(len(size)), configuration).tolist(), runs, times)
+        for times, configuration in fullest(size, have, self.capacity):
+            self._substitute(np.repeat(np.arange(len(size)), configuration).tolist(), runs, int(times))
 
     def _substitute(self, slots: list[int], runs: list[list[list[int]]], times: int) -> None:
         # Take each slot's pieces first: slots of one group follow each other in its list.

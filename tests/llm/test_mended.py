@@ -1,13 +1,15 @@
 """Likeness at all lengths, short benchmark items, clashing columns, signatures met in several turns."""
 
+import collections
 import pathlib
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 
-from termindex.llm import decontamination, fingerprints, jaccard, licenses, secrets, toxicity
+from termindex.llm import cutting_stock, decontamination, fingerprints, jaccard, licenses, packing, secrets, sharding, toxicity
 
 
 def windows(text, width=fingerprints.WINDOW):
@@ -186,3 +188,37 @@ def test_each_known_sentence_has_a_telling_word():
     spdx = ["spdx license identifier " + licenses.spoken(n) for n in licenses.SPDX]
     for sentence in [*licenses.SENTENCES.values(), *spdx, *[p for p, _ in licenses.SLOTS]]:
         assert re.search(licenses.TELLING, sentence.replace("acknowledge?ment", "")), sentence
+
+
+# Operators 7 and 10
+
+def test_configurations_are_optimised():
+    """Where the fullest configurations first are not the best: the plan is within 1 % of the linear program's bound."""
+    rng = np.random.default_rng(5)
+    counts = collections.Counter((2 * rng.integers(65, 150, 20000)).tolist())
+    sizes = np.array(sorted(counts, reverse=True))
+    have = np.array([counts[x] for x in sizes.tolist()])
+    bound = sum(x for x, _ in cutting_stock.generate(sizes, have.astype(float), 512))
+    greedy = sum(times for times, _ in packing.fullest(sizes, have, 512))
+    placed = packing.plan(counts, 512, small=100)
+    used = max(first + n for _, _, n, first, _ in placed)
+    assert sum(n for _, _, n, _, _ in placed) == 20000
+    assert used <= 1.01 * bound and used < greedy
+
+
+def test_first_basis_covers_all_pieces():
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        sizes = np.sort(rng.choice(np.arange(26, 101), 30, replace=False))[::-1]
+        have = rng.integers(1, 50, 30)
+        basis = packing.first_basis(sizes, have, 100)
+        assert (sizes @ basis <= 100).all()
+        times = np.linalg.solve(basis, have)
+        assert (times > -1e-9).all() and times.sum() <= 1.05 * sum(t for t, _ in packing.fullest(sizes, have, 100))
+
+
+def test_rooms_beyond_the_sampler():
+    """Totals over 10**9 are halved first: margins are exact and means right."""
+    matrix = sharding.communication_matrix([4 * 10**9, 10**9, 0], [10**9] * 5, 3)
+    assert matrix.sum(axis=1).tolist() == [4 * 10**9, 10**9, 0] and matrix.sum(axis=0).tolist() == [10**9] * 5
+    assert abs(matrix[1] - 2 * 10**8).max() < 10**6
