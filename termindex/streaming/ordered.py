@@ -78,7 +78,10 @@ class Runs:
         held, count, runs = [], 0, {}
 
         def block() -> pd.DataFrame:
-            return pd.concat(held, ignore_index=True).sort_values(self.order, ignore_index=True)
+            rows = held[0] if len(held) == 1 else pd.concat(held, ignore_index=True)
+            if len(rows) == 1:
+                return rows
+            return rows.take(np.lexsort([rows[c].to_numpy() for c in reversed(self.order)])).reset_index(drop=True)
 
         for piece in pieces:
             held.append(piece)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 PRUNED_KEYS = 1000
 SHARDS = 16
+BUFFER_SHARDS = 256
 MOST_BATCHES = 32
 
 
@@ -88,8 +90,60 @@ class _ChangedBuffer(StatefulProcessor):
         pass
 
 
+class _ChangedBuffers(StatefulProcessor):
+    """State of a buffer number in a shard of the instances: the last fingerprint by instance, for good."""
+
+    def __init__(self, run_rows: int):
+        self._run_rows = run_rows
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._last = handle.getMapState("last", "instance_id bigint", "fp bigint")
+        self._runs = Runs(handle, ["instance_id", *ORDER], self._run_rows)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        named = key[1] >= 0
+        self._runs.order = ["instance_id", *ORDER] if named else ORDER
+        known = self._last.exists()
+        open_, stored, last = None, None, None  # the instance whose rows may go on in the next block
+        for block in self._runs.ordered(rows):
+            ids = block["instance_id"].to_numpy() if named else np.zeros(len(block), dtype=np.int64)
+            fp, has = block["fp"].to_numpy(), block["fp"].notna().to_numpy()
+            first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
+            begins = np.repeat(first, np.diff(first, append=len(ids)))
+            filled = np.maximum.accumulate(np.where(has, np.arange(len(ids)), -1))  # the last row with a fingerprint
+            before = np.concatenate([[-1], filled[:-1]])
+            unknown = before < begins  # nothing ahead of it in this block
+            emits = block["forced"].to_numpy(dtype=bool) | (~unknown & has & (fp != fp[before]))
+            ends = np.append(first[1:], len(ids))
+            for begin, end in zip(first.tolist(), ends.tolist(), strict=True):
+                instance = (int(ids[begin]) if named else None,)
+                if instance != open_:
+                    self._remember(open_, stored, last)
+                    found = self._last.getValue(instance) if known else None
+                    open_, stored, last = instance, found and found[0], found and found[0]
+                k = begin
+                while k < end and unknown[k]:
+                    emits[k] |= last is None or (has[k] and fp[k] != last)
+                    k += 1
+                if filled[end - 1] >= begin:
+                    last = int(fp[filled[end - 1]])
+            yield block[emits].drop(columns="_shard", errors="ignore")
+        self._remember(open_, stored, last)
+
+    def _remember(self, instance: tuple | None, stored: int | None, last: int | None) -> None:
+        if last != stored:
+            self._last.updateValue(instance, (last,))
+
+    def close(self) -> None:
+        pass
+
+
 class _GatedShard(StatefulProcessor):
-    """State of a shard of an instance: its toggles so far and the last fingerprint of each of its buffers."""
+    """State of a shard of an instance: its toggles so far and the last fingerprint of each of its buffers.
+
+    Most keys have few rows, many of them nothing but toggles, so a block is one plain loop that asks the state for
+    no more than it needs.
+    """
 
     def __init__(self, idle_ms: int | None, run_rows: int):
         self._idle_ms, self._run_rows = idle_ms, run_rows
@@ -104,29 +158,46 @@ class _GatedShard(StatefulProcessor):
         at = None
         for block in self._runs.ordered(rows):
             at = block["ts"].iloc[-1]
-            yield self._emitted(block.drop(columns="_shard", errors="ignore"))
+            places, epochs = self._emitted(*(block[c].tolist() for c in ("action", "buffer_id", "fp", "forced")))
+            if places:
+                yield block.take(places).drop(columns="_shard", errors="ignore").assign(epoch=epochs)
         if at is not None:
             self._idle.seen(at)
 
-    def _emitted(self, block: pd.DataFrame) -> pd.DataFrame:
-        start = self._epoch.get()[0] if self._epoch.exists() else 0
-        toggles = block["action"] == "toggle"
-        block = block.assign(epoch=start + toggles.cumsum())
-        end = int(block["epoch"].iloc[-1])
-        enabled = block[~toggles & (block["epoch"] % 2 == 0)]
-        before = enabled.groupby(["buffer_id", "epoch"])["fp"].transform(lambda fp: fp.ffill().shift())
-        for buffer, of in enabled[enabled["epoch"] == start].groupby("buffer_id"):
-            if self._last.containsKey((int(buffer),)):
-                remembered = before.loc[of.index]
-                remembered.iloc[0] = self._last.getValue((int(buffer),))[0]
-                before.loc[of.index] = remembered.ffill()
-        if end != start:
-            self._last.clear()
-            self._epoch.update((end,))
-        ends = enabled[(enabled["epoch"] == end) & enabled["fp"].notna()].groupby("buffer_id")["fp"].last()
-        for buffer, fp in ends.items():
-            self._last.updateValue((int(buffer),), (int(fp),))
-        return enabled[before.isna() | (enabled["fp"].notna() & (before != enabled["fp"])) | enabled["forced"]]
+    def _emitted(self, actions: list, buffers: list, prints: list, forced: list) -> tuple[list[int], list[int]]:
+        """The places of the rows that emit, and their epochs."""
+        state = self._epoch.get()
+        start = epoch = state[0] if state else 0
+        held = self._last.exists()
+        stored: dict[int, int | None] = {}
+        known: dict[int, int | None] = {}
+        places, epochs = [], []
+        for k, (action, buffer, fp) in enumerate(zip(actions, buffers, prints, strict=True)):
+            if action == "toggle":
+                epoch += 1
+                known = {}  # nothing is remembered across a toggle
+            elif epoch % 2 == 0:
+                has = not pd.isna(fp)
+                if pd.isna(buffer):
+                    before = None  # no buffer, so nothing is known of it
+                else:
+                    if buffer not in known:
+                        found = self._last.getValue((int(buffer),)) if held and epoch == start else None
+                        known[buffer] = stored[buffer] = found[0] if found else None
+                    before = known[buffer]
+                    if has:
+                        known[buffer] = fp
+                if before is None or forced[k] or (has and fp != before):
+                    places.append(k)
+                    epochs.append(epoch)
+        if epoch != start:
+            if held:
+                self._last.clear()
+            self._epoch.update((epoch,))
+        for buffer, fp in known.items():
+            if fp is not None and (epoch != start or fp != stored[buffer]):
+                self._last.updateValue((int(buffer),), (int(fp),))
+        return places, epochs
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self._last.clear()  # whether the instance is switched on stays known
@@ -152,17 +223,22 @@ def emit_on_change_stream(events: DataFrame, idle: str | None = None, late: str
                           run_rows: int = RUN_ROWS) -> DataFrame:
     """T3 on a stream ``(event_id, ts, instance_id, buffer_id, action, forced, fp)``.
 
-    State is keyed by buffer. The rows of one buffer in one micro-batch are ordered in its task within a fixed
-    memory: beyond ``run_rows`` in sorted runs that wait in the state store. With ``idle`` (such as ``"30 days"``) a
-    buffer leaves the state that long after its last event, once the watermark (``late`` behind the
-    newest event) has passed, and its next event emits; events later than that are dropped. Without it
-    every buffer is remembered. An event without a fingerprint emits if it is forced or the buffer's first.
+    The rows of one key in one micro-batch are ordered in its task within a fixed memory: beyond ``run_rows`` in sorted
+    runs that wait in the state store. State is keyed by buffer number and one of ``BUFFER_SHARDS`` shards of the
+    instances, with an entry for each instance, so the many small buffers of a batch are handled together. With
+    ``idle`` (such as ``"30 days"``) each buffer of each instance is a key with a timer: it leaves the state that long
+    after its last event, once the watermark (``late`` behind the newest event) has passed, and its next event emits;
+    events later than that are dropped. Without it every buffer is remembered. An event without a fingerprint emits if it is forced or the buffer's first.
     """
     keep_state_on_disk(events.sparkSession)
     timed, idle_ms, mode = _timed(events, idle, late)
-    return timed.groupBy("instance_id", "buffer_id").transformWithStateInPandas(
-        statefulProcessor=_ChangedBuffer(idle_ms, run_rows), outputStructType=_schema(events),
-        outputMode="Append", timeMode=mode)
+    if idle is None:
+        shard = F.when(F.col("instance_id").isNull(), -1).otherwise(F.pmod(F.hash("instance_id"), F.lit(BUFFER_SHARDS)))
+        grouped, processor = timed.withColumn("_shard", shard).groupBy("buffer_id", "_shard"), _ChangedBuffers(run_rows)
+    else:
+        grouped, processor = timed.groupBy("instance_id", "buffer_id"), _ChangedBuffer(idle_ms, run_rows)
+    return grouped.transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=_schema(events), outputMode="Append", timeMode=mode)
 
 
 def enabled_gate_stream(events: DataFrame, idle: str | None = None, late: str = "1 day", shards: int = SHARDS,

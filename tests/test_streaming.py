@@ -233,6 +233,47 @@ def test_a_million_rows_of_one_key_in_a_fixed_memory(tmp_path):
     assert peak < 24 << 20, peak  # all rows take 24 MB as numbers alone, and several times that as one sorted frame
 
 
+class _Counted:
+    """A value or map state in memory that counts what it is asked."""
+
+    def __init__(self):
+        self.held, self.calls = {}, 0
+
+    def __getattr__(self, name):
+        def call(key=None, value=None):
+            self.calls += 1
+            if name in ("update", "updateValue"):
+                self.held[key if value is not None else None] = value if value is not None else key
+            return {"get": self.held.get(None), "getValue": self.held.get(key), "exists": bool(self.held),
+                    "containsKey": key in self.held, "clear": self.held.clear() if name == "clear" else None}.get(name)
+        return call
+
+
+def test_a_key_with_toggles_only_is_cheap():
+    """Each toggle goes to all shards of its instance: most keys have nothing else."""
+    states = {}
+    handle = SimpleNamespace(getValueState=lambda name, *a: states.setdefault(name, _Counted()),
+                             getMapState=lambda name, *a: states.setdefault(name, _Counted()))
+    shard = st._GatedShard(None, 1000)
+    shard.init(handle)
+    rows = pd.DataFrame({"event_id": [2, 1, 3], "ts": pd.to_datetime([5, 4, 6], unit="s"), "instance_id": 1, "buffer_id": 7,
+                         "action": "toggle", "forced": False, "fp": 3})
+    assert list(shard.handleInputRows((1, 0), iter([rows]), None)) == []  # no batch goes back for a key that emits nothing
+    assert states["epoch"].held == {None: (3,)} and sum(s.calls for s in states.values()) <= 3
+
+
+def test_many_small_buffers_share_keys(spark, rows):
+    """Each buffer of each instance has its own memory, but is no key of its own; null instances are one instance."""
+    rng = random.Random(5)
+    events = [(k, k // 2, None if k % 50 == 0 else rng.randrange(2000), rng.randrange(2), "update", rng.random() < 0.05,
+               None if rng.random() < 0.2 else rng.randrange(3)) for k in range(12_000)]
+    pieces = [made(spark, events[:7000]), made(spark, events[7000:])]
+    out, progress = streamed(spark, pieces, lambda s: st.emit_on_change_stream(s, run_rows=20))
+    same(rows, spark.read.parquet(out), ev.emit_on_change(made(spark, events)))
+    state = spark.read.format("statestore").option("stateVarName", "last").load(progress)
+    assert state.count() > 3000 and state.select("key").distinct().count() <= 2 * (st.BUFFER_SHARDS + 1)
+
+
 def test_registered_streams_name_their_batch_twin():
     for name in ("route_events", "first_seen", "emit_on_change", "enabled_gate", "latest_wins"):
         assert f"{name}_stream" in registered.QUERIES
