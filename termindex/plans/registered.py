@@ -110,11 +110,10 @@ def scan_tags_manifest(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def scan_corpus(spark: SparkSession, sf: str) -> DataFrame:
     folder = new_folder(spark, "corpus")
-    (docs.spread(b.read(spark, sf, "documents").select("doc_id", F.col("text").alias("value")))
-     .write.partitionBy("doc_id").text(folder))
+    corpus_source.write_corpus(docs.spread(b.read(spark, sf, "documents").select("doc_id", "text")), folder, "doc_id", "text")
     found = corpus_source.read_corpus(spark, folder)
     return found.select(
-        F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint").alias("doc_id"), "ext", "text")
+        F.regexp_extract("path", r"doc_id=([0-9]+)\.", 1).cast("bigint").alias("doc_id"), "ext", "text")
 
 
 @query

@@ -2,11 +2,54 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termindex.sources.manifest import open_store
+
+FOLDER_FILES = 1000
+
+
+def write_corpus(docs: DataFrame, folder: str, name: str, text: str) -> None:
+    """One file ``<name>=<value>.txt`` for each value of the column, each of its texts with a line end behind it.
+
+    Tasks write their own files, ``FOLDER_FILES`` to a folder, and nothing is moved at the end: a table of many
+    documents costs the driver nothing and a store one file each. A value whose rows lie in several tasks has a file of
+    each. ``folder`` is opened with ``pyarrow.fs``; a task that is run again writes folders of other names, and those of
+    attempts that did not finish go.
+    """
+    path = docs.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(docs.sparkSession._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    root = files.makeQualified(path).toString()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, inner = open_store(root)
+        attempt, count, now, out = uuid.uuid4().hex, 0, None, None
+        for batch in batches:
+            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is None or key != now:
+                    if out is not None:
+                        out.close()
+                    below = f"{inner}/{attempt}-{count // FOLDER_FILES}"
+                    if count % FOLDER_FILES == 0:
+                        store.create_dir(below, recursive=True)
+                    now, out, count = key, store.open_output_stream(f"{below}/{name}={key}.txt"), count + 1
+                out.write(((value or "") + "\n").encode())
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([attempt]), pa.array([count], pa.int64())], names=["attempt", "files"])
+
+    named = docs.select(F.coalesce(F.col(name).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")).alias("key"), text)
+    done = {row["attempt"] for row in named.sortWithinPartitions("key").mapInArrow(write, "attempt string, files bigint").collect()}
+    for below in files.listStatus(path):
+        if below.getPath().getName().split("-")[0] not in done:
+            files.delete(below.getPath(), True)
+
 
 def read_corpus(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """(doc_id, path, ext, text): one row per file, found recursively.

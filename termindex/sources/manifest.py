@@ -31,7 +31,7 @@ STEP_BYTES = 1 << 20
 SHOWN_CODECS = 20
 
 
-def _open(path: str):
+def open_store(path: str):
     """(file system, path in it) of a path or URI, also of the short form ``file:/``."""
     import pyarrow.fs as pafs
 
@@ -44,7 +44,7 @@ def _files(path: str) -> Iterator[tuple[str, int]]:
     """The file, or the files below a folder that are not hidden, with their sizes; nothing if it does not exist."""
     import pyarrow.fs as pafs
 
-    store, inner = _open(path)
+    store, inner = open_store(path)
     info = store.get_file_info(inner)
     prefix = path[:len(path) - len(inner)] if path.endswith(inner) else ""
     if info.type == pafs.FileType.File:
@@ -86,7 +86,7 @@ def pieces(manifest: DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
 
 
 def _blocks(path: str, codec: str) -> Iterator[bytes]:
-    store, inner = _open(path)
+    store, inner = open_store(path)
     with store.open_input_stream(inner, compression=None) as raw:
         stream = gzip.GzipFile(fileobj=raw) if codec == "gzip" else lzma.LZMAFile(raw)
         while block := stream.read(STEP_BYTES):
@@ -95,7 +95,7 @@ def _blocks(path: str, codec: str) -> Iterator[bytes]:
 
 def _range(path: str, begin: int, end: int) -> Iterator[bytes]:
     """The lines that begin in a byte range of a plain file, whole, as blocks."""
-    store, inner = _open(path)
+    store, inner = open_store(path)
     with store.open_input_file(inner) as file:
         at = max(begin - 1, 0)
         file.seek(at)
@@ -159,7 +159,7 @@ class TagReader(DataSourceReader):
         import pyarrow.parquet as pq
 
         for file, _ in _files(f"{self.plan}/part={partition.value}"):
-            store, inner = _open(file)
+            store, inner = open_store(file)
             with store.open_input_file(inner) as stored:
                 for batch in pq.ParquetFile(stored).iter_batches(columns=["path", "codec", "begin", "end"]):
                     for path, codec, begin, end in zip(*[c.to_pylist() for c in batch.columns], strict=True):

@@ -7,7 +7,7 @@ import pytest
 
 from termindex import config as cfg
 from termindex.sources import tagfiles
-from termindex.sources.corpus import read_corpus
+from termindex.sources.corpus import read_corpus, write_corpus
 
 LINES = [f"name{i}\tfile{i % 3}\t/^x$/;\"\tf\tlanguage:C" for i in range(50_000)]
 
@@ -74,6 +74,20 @@ def test_documents(spark, tmp_path):
     assert got["b.py"]["text"] == "z" and len({r["doc_id"] for r in got.values()}) == 2
 
 
+def test_corpus_is_written_without_a_folder_for_each_document(spark, tmp_path):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(2500)] + [(7, "again"), (9001, None), (9002, ""), (None, "x")],
+                                 "doc_id bigint, text string").coalesce(1)
+    write_corpus(docs, str(tmp_path / "c"), "doc_id", "text")
+    got = {r["path"].rsplit("/", 1)[1]: r["text"] for r in read_corpus(spark, str(tmp_path / "c")).collect()}
+    expected = {f"doc_id={k}.txt": f"text {k}\n" for k in range(2500)}
+    expected |= {"doc_id=9001.txt": "\n", "doc_id=9002.txt": "\n", "doc_id=__HIVE_DEFAULT_PARTITION__.txt": "x\n"}
+    assert sorted(got.pop("doc_id=7.txt").split("\n")) == ["", "again", "text 7"]
+    assert got == {k: v for k, v in expected.items() if k != "doc_id=7.txt"}
+    assert len(list((tmp_path / "c").iterdir())) == 3
+    write_corpus(docs.limit(0), str(tmp_path / "none"), "doc_id", "text")
+    assert read_corpus(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_carriage_returns_stay(spark, tmp_path):
     lines = ["a\tf.c\t/^int a()\r$/;\"\tf", "b\tf.c\t/^b$/;\"\tv"]
     data = ("\n".join(lines) + "\n").encode()
