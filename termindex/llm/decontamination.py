@@ -2,13 +2,13 @@
 
 Passages are windows of two blocks of words, one block apart. Their features are
 the words of the benchmark, weighted by how few of all documents hold them. A
-randomised singular value decomposition of a bounded sample of passages and all
-benchmark items gives the latent space: each round multiplies the sample with a
-small matrix in the tasks and adds up the products. All passages of all texts
-are projected into it, and those with a cosine above a bound are candidates for
-an item. A candidate is checked at all places near it: the longest
-common subsequence decides about copies, and for paraphrases, which keep less,
-the item's answer, its last words, must be there as well.
+singular value decomposition of all items of a block gives the latent space: what
+a passage has outside the items' span says nothing about any of them, so no
+document is needed to fit it and none is sampled. All passages of all texts are
+projected into it, and those with a cosine above a bound are candidates for an
+item. A candidate is checked at all places near it: the longest common
+subsequence decides about copies, and for paraphrases, which keep less, the
+item's answer, its last words, must be there as well.
 
 The benchmark is the stated query set. It is taken in blocks of items, and each
 block is searched in all documents without a shuffle of texts.
@@ -29,22 +29,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termindex.llm.common import read, texts
-from termindex.session import settled
 
 ITEMS = 1024  # items searched at once
 BLOCK = 32  # words
 RANK = 192
-OVERSAMPLE = 16
-ROUNDS = 2
-ITEM_WEIGHT = 6  # of the items' rows in the decomposition, against one for a passage's: the space serves the items
-SAMPLE_TEXTS = 1500
 MIN_COSINE = 0.3
 MIN_MASS = 0.3  # of an item's weight, as far as a window can hold it
 MIN_WORDS = 5
 MIN_CHARS = 8
 COPY = 0.7
 PARAPHRASE, ANSWER = 0.5, 0.75
-SEED = 17
 
 WORD = re.compile(r"\w+")
 
@@ -125,45 +119,15 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> np.ndarray:
     return out
 
 
-def _product(sample: DataFrame, bench: Benchmark, right: np.ndarray, block: int) -> np.ndarray:
-    """A'A right, where the rows of A are the passages of the sample: partial sums in the tasks."""
-    weight, number = bench.weight, bench.number
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros_like(right)
-        held = Benchmark([], [], number, weight)
-        weighted = right * weight[:, None]
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                numbers = held.numbers(text)
-                sums = _block_sums(numbers, weighted, block)  # A right, by block
-                rows = np.concatenate([sums[:-1] + sums[1:], np.zeros((1, right.shape[1]), np.float32)]) if len(sums) > 1 else sums
-                both = rows + np.concatenate([np.zeros((1, right.shape[1]), np.float32), rows[:-1]])  # windows of a block
-                at = np.flatnonzero(numbers)
-                np.add.at(total, numbers[at], both[at // block] * weight[numbers[at], None])
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float32).tobytes()], pa.binary())], names=["sum"])
-
-    out = np.zeros_like(right)
-    for row in sample.mapInArrow(partial, "sum binary").toLocalIterator():  # one matrix of fixed size per task
-        out += np.frombuffer(row[0], dtype=np.float32).reshape(right.shape)
-    return out
-
-
-def latent_space(sample: DataFrame, bench: Benchmark, rank: int = RANK, rounds: int = ROUNDS, block: int = BLOCK,
-                 seed: int = SEED) -> None:
-    """Fit the space by a randomised decomposition; sets the basis and the latent items."""
+def latent_space(bench: Benchmark, rank: int = RANK) -> None:
+    """Fit the space by a decomposition of all items; sets the basis and the latent items."""
     size = len(bench.weight)
     matrix = np.zeros((len(bench.items), size), dtype=np.float32)
     for i, item in enumerate(bench.items):
         np.add.at(matrix[i], item, bench.weight[item])
-    wide = min(rank + OVERSAMPLE, size)
-    heavy = ITEM_WEIGHT * matrix
-    probe = np.random.default_rng(seed).standard_normal((size, wide)).astype(np.float32)
-    for _ in range(rounds):
-        probe, _ = np.linalg.qr(_product(sample, bench, probe, block) + heavy.T @ (heavy @ probe))
-    small = probe.T @ (_product(sample, bench, probe, block) + heavy.T @ (heavy @ probe))
-    _, vectors = np.linalg.eigh((small + small.T) / 2)
-    space = (probe @ vectors[:, ::-1][:, :rank]).astype(np.float32)
+    values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
+    kept = np.flatnonzero(values > 1e-6 * values[-1])[::-1][:rank]
+    space = (matrix.T @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
     bench.basis = space * bench.weight[:, None]
     latent = matrix @ space
     bench.latent = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-12)
@@ -317,13 +281,11 @@ def find_items(docs: DataFrame, bench: Benchmark | ShortItems) -> DataFrame:
         searched, "doc_id bigint, item_id bigint, kind string, share double, cosine double, first_word bigint")
 
 
-def benchmark_blocks(plain: DataFrame, benchmark: DataFrame, sample_texts: int,
-                     items_at_once: int) -> Iterator[Benchmark | ShortItems]:
+def benchmark_blocks(plain: DataFrame, benchmark: DataFrame, items_at_once: int) -> Iterator[Benchmark | ShortItems]:
     """The query set, a block of items at a time: long ones fitted, short ones as they are."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
         "item_id IS NOT NULL AND text IS NOT NULL").distinct().orderBy("item_id", "text")
-    chosen = plain.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_texts)
-    sample, block, short = None, [], []
+    block, short = [], []
     given = items.toLocalIterator()
     while True:
         item = next(given, None)
@@ -336,16 +298,14 @@ def benchmark_blocks(plain: DataFrame, benchmark: DataFrame, sample_texts: int,
             yield ShortItems(short)
             short = []
         if block and (item is None or len(block) == items_at_once):
-            if sample is None:
-                sample = settled(plain.join(F.broadcast(chosen), "doc_id").select("text").repartition(8), "passages")
-            yield fitted(plain, sample, block)
+            yield fitted(plain, block)
             block = []
         if item is None:
             return
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-                  sample_texts: int = SAMPLE_TEXTS, items_at_once: int = ITEMS) -> DataFrame:
+                  items_at_once: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, kind, share, cosine, first_word) of every benchmark item found in a document.
 
     ``kind`` is ``copy`` or ``paraphrase``; ``share`` is the part of the item's
@@ -361,7 +321,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
     plain = texts(docs, id_column, text_column)
     found = docs.sparkSession.createDataFrame(
         [], "doc_id bigint, item_id bigint, kind string, share double, cosine double, first_word bigint")
-    for bench in benchmark_blocks(plain, benchmark, sample_texts, items_at_once):
+    for bench in benchmark_blocks(plain, benchmark, items_at_once):
         found = found.unionByName(find_items(plain, bench))
     return found.groupBy("doc_id", "item_id").agg(
         F.max_by(F.struct("kind", "share", "cosine", "first_word"), F.struct("share", "first_word")).alias("m")).select(
@@ -369,14 +329,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_i
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text",
-          sample_texts: int = SAMPLE_TEXTS, items_at_once: int = ITEMS) -> DataFrame:
+          items_at_once: int = ITEMS) -> DataFrame:
     """The rows of ``docs``, all columns, whose text holds no benchmark item; they pass through one filter per block.
 
     Items are those of ``contamination``. Rows with a null or empty text stay, rows that repeat an id are judged each by
     its own text, and other columns may have any names. An empty benchmark leaves all rows, an empty table none.
     """
     at, out = docs.columns.index(text_column), docs
-    for bench in benchmark_blocks(texts(docs, id_column, text_column), benchmark, sample_texts, items_at_once):
+    for bench in benchmark_blocks(texts(docs, id_column, text_column), benchmark, items_at_once):
 
         def kept(batches: Iterator[pa.RecordBatch], bench: Benchmark | ShortItems = bench) -> Iterator[pa.RecordBatch]:
             search = bench.search()
@@ -388,13 +348,13 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text
     return out
 
 
-def fitted(plain: DataFrame, sample: DataFrame, block: list[tuple[int, list[str]]]) -> Benchmark:
+def fitted(plain: DataFrame, block: list[tuple[int, list[str]]]) -> Benchmark:
     number = {w: n for n, w in enumerate(sorted({w for _, words in block for w in words}), start=1)}
     counts = document_frequencies(plain, number)
     weight = np.log((counts[0] + 1) / (counts + 1)).astype(np.float32) + np.float32(0.05)
     weight[0] = 0
     bench = Benchmark([i for i, _ in block], [[number[w] for w in words] for _, words in block], number, weight)
-    latent_space(sample, bench)
+    latent_space(bench)
     return bench
 
 

@@ -222,3 +222,19 @@ def test_rooms_beyond_the_sampler():
     matrix = sharding.communication_matrix([4 * 10**9, 10**9, 0], [10**9] * 5, 3)
     assert matrix.sum(axis=1).tolist() == [4 * 10**9, 10**9, 0] and matrix.sum(axis=0).tolist() == [10**9] * 5
     assert abs(matrix[1] - 2 * 10**8).max() < 10**6
+
+
+def test_latent_space_is_fitted_on_all_items_and_no_sample():
+    """With no more items than dimensions, products with items are those of the weighted words, exactly."""
+    rng = np.random.default_rng(4)
+    items = [rng.integers(1, 80, size=12).tolist() for _ in range(30)]
+    weight = np.concatenate([[0], rng.random(80) + 0.1]).astype(np.float32)
+    bench = decontamination.Benchmark(list(range(30)), items, {}, weight)
+    decontamination.latent_space(bench)
+    words = np.zeros((30, 81))
+    for i, item in enumerate(items):
+        np.add.at(words[i], item, 1)
+    weighted = words * weight
+    exact = weighted @ weighted.T / np.linalg.norm(weighted, axis=1)
+    assert np.allclose(words @ bench.basis @ bench.latent.T, exact, rtol=1e-3, atol=1e-3)
+    assert not hasattr(decontamination, "SAMPLE_TEXTS")
