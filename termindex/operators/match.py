@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termindex.operators.catalogue import has_special
+from termindex.operators.corpus import by_key
 from termindex.operators.joins import BROADCAST_BYTES, lookup, measured_bytes
 from termindex.session import settled
 
@@ -44,14 +45,14 @@ def present_in_corpus(tokens: DataFrame, tags: DataFrame, filetype: str = "filet
 def present_or_same_file(tokens: DataFrame, corpus: DataFrame, tags: DataFrame) -> DataFrame:
     """As ``present_tags``, plus the symbols a document itself defines.
 
-    Two equi-joins and a distinct, instead of one join with an OR. A file that
+    Two equi-joins and a distinct over parts of bounded size, instead of one join with an OR. A file that
     defines a large part of all symbols is divided by symbol name.
     """
     by_name = present_tags(tokens, tags)
     places = settled(corpus.select("doc_id", "filetype", F.col("path").alias("file")))
     own = lookup(tags.select("filetype", "file", "kind", "name").distinct(), places,
                  ["filetype", "file"], salt_by=F.col("name"))
-    return by_name.unionByName(own.select(*DOC_HIT)).distinct()
+    return by_key(by_name.unionByName(own.select(*DOC_HIT)), DOC_HIT, corpus).distinct()
 
 
 def present_or_special(tokens: DataFrame, corpus: DataFrame, tags: DataFrame) -> DataFrame:

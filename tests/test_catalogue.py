@@ -65,6 +65,12 @@ def test_presence(spark, rows):
     assert ("m", "a.b") in rows(special.select("kind", "name"))
 
 
+def test_own_symbols_are_made_distinct_in_parts_of_bounded_size(spark):
+    same = match.present_or_same_file(tokens(spark, ["x"]), docs_of(spark), usable(spark))
+    above, below = same._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[:2]
+    assert "HashAggregate(keys=[doc_id" in above and "HashAggregate(keys=[doc_id" not in below
+
+
 def test_priority(spark, rows):
     best = assign.resolve_priority(usable(spark), cfg.kind_priority(cfg.orders(spark)))
     assert ("s", "Node") in rows(best.filter("filetype = 'c'").select("kind", "name"))
