@@ -287,24 +287,19 @@ def group_key(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- tokens ------------------------------------------------------------------
 
-def _counted_tokens(corpus: DataFrame, mode: str) -> DataFrame:
-    return docs.tokenize(corpus, mode, distinct=False).groupBy("doc_id", "name").agg(
-        F.count(F.lit(1)).alias("n"))
-
-
 @query
 def tokenize_ident(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(docs.spread(b.corpus(spark, sf)), "ident")
+    return docs.token_counts(docs.spread(b.corpus(spark, sf)), "ident")
 
 
 @query
 def tokenize_word(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(_pages(spark, sf).withColumn("text", tx.ascii_fold("text")), "word")
+    return docs.token_counts(_pages(spark, sf).withColumn("text", tx.ascii_fold("text")), "word")
 
 
 @query
 def tokenize_scoped(spark: SparkSession, sf: str) -> DataFrame:
-    return _counted_tokens(_pages(spark, sf), "scoped")
+    return docs.token_counts(_pages(spark, sf), "scoped")
 
 
 @query

@@ -196,3 +196,22 @@ def test_masking_many_nested_spans_in_one_place(spark):
     left = spans.mask_regions(occ, reg, ["Comment"])
     # The outermost span ends at 4 n; only the last place reaches beyond it.
     assert [tuple(r) for r in left.select("start", "end").collect()] == [(4 * n - 1, 4 * n + 1)]
+
+
+def test_token_counts(spark, rows):
+    """Counted in the row, dealt out before anything is aggregated; rows that repeat an id are one document."""
+    table = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (3, ""), (4, "..."), (None, "x x"), (None, "x"), (5, "é:: a:b a:b b")],
+                                  "doc_id bigint, text string").withColumn("filetype", F.lit("c"))
+    for mode in ("ident", "word", "scoped"):
+        folded = table.withColumn("text", tx.ascii_fold("text"))
+        plain = docs.tokenize(folded, mode, distinct=False).groupBy("doc_id", "name").agg(F.count(F.lit(1)).alias("n"))
+        counted = docs.token_counts(folded, mode)
+        assert "Aggregate" not in counted._jdf.queryExecution().executedPlan().toString().split("REPARTITION_BY_NUM")[1]
+        assert rows(counted) == rows(plain)
+
+
+def test_parts_grow_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(docs, "SPREAD_BYTES", 100)
+    for n in (100, 1000):  # of unknown size: 40 to 60 bytes a row
+        table = spark.createDataFrame([(k, "word") for k in range(n)], "doc_id bigint, text string")
+        assert 40 * n <= 100 * docs.by_key(table, ["doc_id"], table).rdd.getNumPartitions() <= 60 * n
