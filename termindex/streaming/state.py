@@ -22,6 +22,7 @@ PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 PRUNED_KEYS = 1000
 SHARDS = 16
 BUFFER_SHARDS = 256
+NO_BUFFER = BUFFER_SHARDS + 1
 MOST_BATCHES = 32
 
 
@@ -101,12 +102,12 @@ class _ChangedBuffers(StatefulProcessor):
         self._runs = Runs(handle, ["instance_id", *ORDER], self._run_rows)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        named = key[1] >= 0
-        self._runs.order = ["instance_id", *ORDER] if named else ORDER
+        missing = {c: None for c, is_null in (("instance_id", key[1] % NO_BUFFER == BUFFER_SHARDS),
+                                              ("buffer_id", key[1] >= NO_BUFFER)) if is_null}
         known = self._last.exists()
         open_, stored, last = None, None, None  # the instance whose rows may go on in the next block
         for block in self._runs.ordered(rows):
-            ids = block["instance_id"].to_numpy() if named else np.zeros(len(block), dtype=np.int64)
+            ids = block["instance_id"].to_numpy()
             fp, has = block["fp"].to_numpy(), block["fp"].notna().to_numpy()
             first = np.flatnonzero(np.diff(ids, prepend=ids[0] - 1))
             begins = np.repeat(first, np.diff(first, append=len(ids)))
@@ -116,7 +117,7 @@ class _ChangedBuffers(StatefulProcessor):
             emits = block["forced"].to_numpy(dtype=bool) | (~unknown & has & (fp != fp[before]))
             ends = np.append(first[1:], len(ids))
             for begin, end in zip(first.tolist(), ends.tolist(), strict=True):
-                instance = (int(ids[begin]) if named else None,)
+                instance = (int(ids[begin]),)
                 if instance != open_:
                     self._remember(open_, stored, last)
                     found = self._last.getValue(instance) if known else None
@@ -127,7 +128,7 @@ class _ChangedBuffers(StatefulProcessor):
                     k += 1
                 if filled[end - 1] >= begin:
                     last = int(fp[filled[end - 1]])
-            yield block[emits].drop(columns="_shard", errors="ignore")
+            yield block[emits].drop(columns="_shard", errors="ignore").assign(**missing)
         self._remember(open_, stored, last)
 
     def _remember(self, instance: tuple | None, stored: int | None, last: int | None) -> None:
@@ -233,8 +234,11 @@ def emit_on_change_stream(events: DataFrame, idle: str | None = None, late: str
     keep_state_on_disk(events.sparkSession)
     timed, idle_ms, mode = _timed(events, idle, late)
     if idle is None:
-        shard = F.when(F.col("instance_id").isNull(), -1).otherwise(F.pmod(F.hash("instance_id"), F.lit(BUFFER_SHARDS)))
-        grouped, processor = timed.withColumn("_shard", shard).groupBy("buffer_id", "_shard"), _ChangedBuffers(run_rows)
+        # A null in a key reaches Python as NaN, which equals nothing: shards of their own stand for it.
+        shard = (F.when(F.col("instance_id").isNull(), BUFFER_SHARDS).otherwise(F.pmod(F.hash("instance_id"), F.lit(BUFFER_SHARDS)))
+                 + F.when(F.col("buffer_id").isNull(), NO_BUFFER).otherwise(0))
+        dealt = timed.withColumn("_shard", shard).withColumns({c: F.coalesce(c, F.lit(0)) for c in ("instance_id", "buffer_id")})
+        grouped, processor = dealt.groupBy("buffer_id", "_shard"), _ChangedBuffers(run_rows)
     else:
         grouped, processor = timed.groupBy("instance_id", "buffer_id"), _ChangedBuffer(idle_ms, run_rows)
     return grouped.transformWithStateInPandas(
