@@ -32,7 +32,6 @@ from termindex.llm.common import read, texts
 
 ITEMS = 1024  # items searched at once
 BLOCK = 32  # words
-RANK = 192
 MIN_COSINE = 0.3
 MIN_MASS = 0.3  # of an item's weight, as far as a window can hold it
 MIN_WORDS = 5
@@ -119,14 +118,14 @@ def document_frequencies(docs: DataFrame, number: dict[str, int]) -> np.ndarray:
     return out
 
 
-def latent_space(bench: Benchmark, rank: int = RANK) -> None:
-    """Fit the space by a decomposition of all items; sets the basis and the latent items."""
+def latent_space(bench: Benchmark) -> None:
+    """Fit the space by a decomposition of all items, none of their span left out; sets the basis and the latent items."""
     size = len(bench.weight)
     matrix = np.zeros((len(bench.items), size), dtype=np.float32)
     for i, item in enumerate(bench.items):
         np.add.at(matrix[i], item, bench.weight[item])
     values, vectors = np.linalg.eigh((matrix @ matrix.T).astype(np.float64))
-    kept = np.flatnonzero(values > 1e-6 * values[-1])[::-1][:rank]
+    kept = np.flatnonzero(values > 1e-6 * values[-1])[::-1]
     space = (matrix.T @ (vectors[:, kept] / np.sqrt(values[kept]))).astype(np.float32)
     bench.basis = space * bench.weight[:, None]
     latent = matrix @ space

@@ -225,13 +225,13 @@ def test_rooms_beyond_the_sampler():
 
 
 def test_latent_space_is_fitted_on_all_items_and_no_sample():
-    """With no more items than dimensions, products with items are those of the weighted words, exactly."""
+    """Products with items are those of the weighted words, exactly, however many items there are."""
     rng = np.random.default_rng(4)
-    items = [rng.integers(1, 80, size=12).tolist() for _ in range(30)]
-    weight = np.concatenate([[0], rng.random(80) + 0.1]).astype(np.float32)
-    bench = decontamination.Benchmark(list(range(30)), items, {}, weight)
+    items = [rng.integers(1, 600, size=12).tolist() for _ in range(300)]
+    weight = np.concatenate([[0], rng.random(600) + 0.1]).astype(np.float32)
+    bench = decontamination.Benchmark(list(range(300)), items, {}, weight)
     decontamination.latent_space(bench)
-    words = np.zeros((30, 81))
+    words = np.zeros((300, 601))
     for i, item in enumerate(items):
         np.add.at(words[i], item, 1)
     weighted = words * weight
