@@ -23,18 +23,21 @@ groups, which are its family. Pairs of hub and member pass an exact filter first
 parity of the elements per place differ in no more places than the sets in
 elements), are then verified on the exact sets, and joined to components. Where
 a family still has several components, the filter runs over all pairs between
-them, in blocks of bounded size and without writing pairs out; what passes is
-verified too. So no link is lost, and pairs are written only if nearly similar.
+them, in blocks of bounded size, and tells the members that pass with another one.
+Their sets meet in blocks again and are verified there; only links that join two
+components are written. So no link between components is lost, and what is
+written grows with the members of a family, not with its pairs.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termindex.llm.common import LAST_ID, broadcast_if_small, order_id, read, texts
@@ -49,6 +52,8 @@ MEET = 250_000  # signatures sorted at once where they meet
 KNOWN = 1 << 20
 ROWS = 256  # texts shingled at once
 BLOCK = 2048  # members of a group compared with as many others at once
+SET_BYTES = 32 << 20  # of their sets, where these are compared
+TOGETHER = 64  # sets compared with one at once
 SPARE = 1.25  # parts per needed part
 _M1, _M2, _M3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD,
@@ -421,64 +426,137 @@ def filtered(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         run, "a bigint, b bigint")
 
 
-def across(groups: DataFrame) -> DataFrame:
-    """Of families (hub, node, comp, n, bitmap): the pairs between components that the filter does not exclude.
+def in_blocks(groups: DataFrame, blocks: Column) -> DataFrame:
+    """The members of families (hub, node, ...) dealt out to pairs of blocks (hub, i, j, ...), the rows of a pair together.
 
-    A family is dealt out to blocks of about ``BLOCK`` members, and each pair of
-    blocks is compared for itself.
+    ``blocks`` tells from the rows of a family into how many blocks it is cut. Each member meets each other in some pair.
     """
-    sizes = groups.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sizes = groups.groupBy("hub").agg(blocks.cast("int").alias("blocks"))
     own = F.pmod(F.hash("node"), F.col("blocks"))
     others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
-    dealt = (
-        groups.join(sizes, "hub").withColumn("at", F.explode(others))
-        .select("hub", "at.i", "at.j", "comp", "node", "n", "bitmap")
-        .repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    )
+    return groups.join(sizes, "hub").withColumn("at", F.explode(others)).select(
+        "hub", "at.i", "at.j", *[c for c in groups.columns if c != "hub"])
+
+
+def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[list]]]:
+    """(hub, its rows) of each pair of blocks."""
+    held, where = [], None
+    for batch in batches:
+        for hub, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (hub, i, j) != where:
+                if held:
+                    yield where[0], held
+                held, where = [], (hub, i, j)
+            held.append(row)
+    if held:
+        yield where[0], held
+
+
+def _told(found: list[tuple[int, int]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=names)
+
 
+def across(groups: DataFrame) -> DataFrame:
+    """Of families (hub, node, comp, n, bitmap): the members (hub, node) that the filter does not exclude from being
+    similar to one of another component.
+
+    A family is dealt out to blocks of about ``BLOCK`` members, and each pair of blocks is compared for itself.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, where, found = [], None, set()
-        for batch in batches:
-            for hub, i, j, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if (hub, i, j) != where:
-                    found.update(_pairs_across(held))
-                    held, where = [], (hub, i, j)
-                held.append(row)
+        found = []
+        for hub, members in _families(batches):
+            found += [(hub, node) for node in _met_across(members)]
             if len(found) > 100_000:
-                yield told(found)
-                found = set()
-        found.update(_pairs_across(held))
+                yield _told(found, ["hub", "node"])
+                found = []
         if found:
-            yield told(found)
+            yield _told(found, ["hub", "node"])
 
-    def told(found: set) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+    dealt = in_blocks(groups, F.ceil(F.count("*") / BLOCK)).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
+    return dealt.mapInArrow(run, "hub bigint, node bigint").distinct()
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
+def forest(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Of families (hub, node, comp, n, bitmap): similar pairs (a, b) that join all components that similar pairs join.
 
-def _pairs_across(members: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int]]:
-    """Pairs (smaller, larger class) of different components of (comp, class, size, bitmap)."""
-    if len({m[0] for m in members}) < 2:
-        return
-    comp, node, size = (np.array(x, dtype=np.int64) for x in list(zip(*members, strict=True))[:3])
-    maps = [np.frombuffer(m[3], np.uint64) for m in members]
+    The sets are compared where the blocks meet, so what is written for a pair of blocks is fewer rows than it has
+    components, however many pairs are similar. Blocks are bounded in members and in the bytes of their sets.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, members in _families(batches):
+            if found := list(_links_across(members)):
+                yield _told(found, ["a", "b"])
+
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum(8 * F.col("n")) / SET_BYTES))
+    dealt = in_blocks(groups, blocks).join(sets.select(F.col("class").alias("node"), "set"), "node").select(
+        "hub", "i", "j", "comp", "node", "n", "bitmap", "set")
+    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(
+        run, "a bigint, b bigint").distinct()
+
+
+def _near_across(comp: np.ndarray, size: np.ndarray, bitmaps: list[bytes]) -> Iterator[tuple[int, np.ndarray]]:
+    """(first member, which of it and the next ones go with which members): what the filter lets pass across components.
+
+    Each pair is met once. Members outside the largest component come first: every pair across components has one.
+    """
+    maps = [np.frombuffer(m, np.uint64) for m in bitmaps]
     words = min(map(len, maps))
     maps = np.stack([folded(m, words) for m in maps])
-    # Members outside the largest component first: every pair across components has one of them.
-    names, counts = np.unique(comp, return_counts=True)
-    order = np.argsort(comp == names[counts.argmax()], kind="stable")
-    comp, node, size, maps = comp[order], node[order], size[order], maps[order]
+    outside = len(comp) - int(np.unique(comp, return_counts=True)[1].max())
     step = max(1, (1 << 18) // maps.size)  # about 2 MB at once
-    for begin in range(0, len(node) - int(counts.max()), step):
-        i = slice(begin, min(begin + step, len(node) - int(counts.max())))
+    for begin in range(0, outside, step):
+        i = slice(begin, min(begin + step, outside))
         low, high = np.minimum(size[i, None], size), np.maximum(size[i, None], size)
-        fits = (comp[i, None] != comp) & (100 * low >= 75 * high) & (np.arange(len(node)) > np.arange(len(node))[i, None])
+        fits = (comp[i, None] != comp) & (100 * low >= 75 * high) & (np.arange(len(comp)) > np.arange(len(comp))[i, None])
         apart = np.bitwise_count(maps[i, None, :] ^ maps[None, :, :]).sum(axis=2, dtype=np.int64)
-        for x, y in zip(*np.nonzero(fits & (7 * apart <= low + high)), strict=True):
-            one, other = int(node[begin + x]), int(node[y])
-            yield (min(one, other), max(one, other))
+        yield begin, fits & (7 * apart <= low + high)
+
+
+def _largest_last(members: list[list]) -> list[list]:
+    """Members (comp, ...) with those of the largest component last."""
+    counts = Counter(m[0] for m in members)
+    largest = max(counts, key=counts.__getitem__)
+    return sorted(members, key=lambda m: m[0] == largest)
+
+
+def _met_across(members: list[list]) -> list[int]:
+    """The classes of (comp, class, size, bitmap) that the filter lets pass with one of another component."""
+    members = _largest_last(members)
+    comp, node, size = (np.array(x, dtype=np.int64) for x in list(zip(*members, strict=True))[:3])
+    met = np.zeros(len(node), dtype=bool)
+    for begin, near in _near_across(comp, size, [m[3] for m in members]):
+        met[begin:begin + len(near)] |= near.any(axis=1)
+        met |= near.any(axis=0)
+    return node[met].tolist()
+
+
+def _links_across(members: list[list]) -> Iterator[tuple[int, int]]:
+    """Similar pairs (smaller, larger class) of (comp, class, size, bitmap, set): a forest over the components."""
+    members = _largest_last(members)
+    comp, node, size = (np.array(x, dtype=np.int64) for x in list(zip(*members, strict=True))[:3])
+    sets = [np.frombuffer(m[4], np.uint64) for m in members]
+    root = np.unique(comp, return_inverse=True)[1]  # the component of each member, as joined so far
+    for begin, near in _near_across(comp, size, [m[3] for m in members]):
+        for x, row in enumerate(near, start=begin):
+            others = np.flatnonzero(row & (root != root[x]))
+            while len(others):
+                now, others = others[:TOGETHER], others[TOGETHER:]
+                for y in now[similar_to(sets[x], [sets[y] for y in now])].tolist():
+                    if root[y] != root[x]:
+                        root[root == root[y]] = root[x]
+                        one, other = int(node[x]), int(node[y])
+                        yield (min(one, other), max(one, other))
+                others = others[root[others] != root[x]]
+
+
+def similar_to(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Which of the other sets, none empty, are similar to the one."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    shared = np.add.reduceat(one[np.minimum(np.searchsorted(one, every), len(one) - 1)] == every,
+                             np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * shared >= 75 * (len(one) + sizes - shared)
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -491,7 +569,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     pairs = members.join(hubs, "sig").filter("node <> hub").select(
         F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     pairs = settled(filtered(pairs, classes), "pairs")
-    links = settled(verified(pairs, sets_of(docs, classes, pairs)), "links")
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+    links = settled(verified(pairs, sets_of(docs, classes, ends)), "links")
     comps = components(links)
 
     # All members that have met a hub are its family. In families that still have several components, pairs between
@@ -499,18 +578,18 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     known = members.join(hubs, "sig").select("hub", "node").distinct().join(
         broadcast_if_small(comps, row_bytes=32), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = known.groupBy("hub").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("hub")
-    groups = known.join(mixed, "hub", "left_semi").join(
-        classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("hub", "node", "comp", "n", "bitmap")
-    rest = settled(across(groups).join(pairs, ["a", "b"], "left_anti"), "rest")
+    groups = settled(known.join(mixed, "hub", "left_semi").join(
+        classes.select(F.col("class").alias("node"), "n", "bitmap"), "node").select("hub", "node", "comp", "n", "bitmap"), "groups")
+    rest = settled(across(groups), "rest")
     if rest.isEmpty():
         return comps
-    more = settled(verified(rest, sets_of(docs, classes, rest)), "more")
+    sets = sets_of(docs, classes, rest.select(F.col("node").alias("class")).distinct())
+    more = settled(forest(groups.join(rest, ["hub", "node"], "left_semi"), sets), "more")
     return comps if more.isEmpty() else components(links.union(more))
 
 
-def sets_of(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(class, set) of the classes in the pairs, each from one document."""
-    nodes = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
+def sets_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(class, set) of some classes, each from one document."""
     asked = settled(nodes.join(classes, "class").select(F.col("rep").alias("id")).distinct(), "asked")
     keyed = docs.withColumn("id", order_id()).join(broadcast_if_small(asked, row_bytes=16), "id", "left_semi")
     return settled(class_sets(keyed.select("doc_id", "text")).dropDuplicates(["class"]), "sets")

@@ -9,7 +9,7 @@ import time
 import numpy as np
 import pytest
 
-from termindex.llm import cutting_stock, decontamination, fingerprints, jaccard, licenses, packing, secrets, sharding, toxicity
+from termindex.llm import components, cutting_stock, decontamination, fingerprints, jaccard, licenses, packing, secrets, sharding, toxicity
 
 
 def windows(text, width=fingerprints.WINDOW):
@@ -238,3 +238,29 @@ def test_latent_space_is_fitted_on_all_items_and_no_sample():
     exact = weighted @ weighted.T / np.linalg.norm(weighted, axis=1)
     assert np.allclose(words @ bench.basis @ bench.latent.T, exact, rtol=1e-3, atol=1e-3)
     assert not hasattr(decontamination, "SAMPLE_TEXTS")
+
+
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 16])
+def test_family_writes_a_forest_not_its_pairs(spark, monkeypatch, block):
+    """Two kinds of similar sets in one family, no two of them in one component so far, and a set like none of them."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    kinds = [rng.integers(0, 1 << 62, 400).astype(np.uint64) for _ in range(2)]
+    sets = [np.unique(np.concatenate([kinds[i % 2], rng.integers(0, 1 << 62, 20).astype(np.uint64)])) for i in range(120)]
+    sets.append(np.unique(np.concatenate([kinds[0][:290], kinds[1][:130]])))
+    groups = spark.createDataFrame([(-1, i, i, len(s), jaccard.parities(s)) for i, s in enumerate(sets)],
+                                   "hub long, node long, comp long, n long, bitmap binary")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "class long, set binary")
+    met = jaccard.across(groups)
+    assert {r.node for r in met.collect()} >= set(range(120)) and met.count() <= len(sets)
+    links = jaccard.forest(groups.join(met, ["hub", "node"], "left_semi"), held)
+    assert links.count() <= (118 if block > len(sets) else 118 * 8)
+    assert {tuple(r) for r in components.components(links).collect()} == {(i, i % 2) for i in range(120)}
+
+
+def test_similar_to_is_the_exact_test():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, size + 9, size).astype(np.uint64)) for size in rng.integers(1, 40, 300)]
+    for one in sets[:60]:
+        assert jaccard.similar_to(one, sets).tolist() == [
+            jaccard.similar(len(np.intersect1d(one, s)), len(one), len(s)) for s in sets]
