@@ -40,10 +40,12 @@ COPY = 0.7
 PARAPHRASE, ANSWER = 0.5, 0.75
 
 WORD = re.compile(r"\w+")
+_ASCII = {c: chr(c).lower() if WORD.match(chr(c)) else " " for c in range(128)}
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    """The runs of word characters in lower case. In plain ASCII every other character is a blank to split at."""
+    return text.translate(_ASCII).split() if text.isascii() else WORD.findall(text.lower())
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -90,12 +92,17 @@ def _block_sums(numbers: np.ndarray, basis: np.ndarray, block: int) -> np.ndarra
     return out
 
 
-def passages(numbers: np.ndarray, basis: np.ndarray, block: int = BLOCK, at_once: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
-    """(first block, vectors) of all windows of two blocks; a text of one block is one window."""
+def passages(numbers: np.ndarray, block: int = BLOCK, at_once: int = 4096) -> Iterator[tuple[int, np.ndarray]]:
+    """(first block, words) of up to ``at_once`` windows of two blocks; a text of one block is one window."""
     blocks = -(-len(numbers) // block)
     for begin in range(0, max(1, blocks - 1), at_once):
-        sums = _block_sums(numbers[begin * block:(begin + at_once + 1) * block], basis, block)
-        yield begin, sums[:-1] + sums[1:] if len(sums) > 1 else sums
+        yield begin, numbers[begin * block:(begin + at_once + 1) * block]
+
+
+def window_sums(numbers: np.ndarray, basis: np.ndarray, block: int) -> np.ndarray:
+    """The sum of the basis rows of each window of two blocks."""
+    sums = _block_sums(numbers, basis, block)
+    return sums[:-1] + sums[1:] if len(sums) > 1 else sums
 
 
 def document_frequencies(docs: DataFrame, number: dict[str, int]) -> np.ndarray:
@@ -185,7 +192,7 @@ class Search:
         self.holds = np.zeros((len(bench.items), len(bench.weight)), dtype=np.float32)
         for i, item in enumerate(bench.items):
             self.holds[i, item] = bench.weight[item]
-        self.both = np.hstack([bench.basis, self.holds.T])  # summed up in one pass over the words
+        self.masses = np.ascontiguousarray(self.holds.T)
         lengths = np.array([len(item) for item in bench.items])
         self.least = MIN_MASS * self.holds.sum(axis=1) * np.minimum(1, 1.5 * block / lengths)
 
@@ -193,12 +200,14 @@ class Search:
         """(kind, share, cosine, first word) by item number: the best passage for each item found."""
         bench, block, best = self.bench, self.block, {}
         numbers = bench.numbers(text)
-        rank = bench.basis.shape[1]
-        for first, sums in passages(numbers, self.both, block):
-            vectors, mass = sums[:, :rank], sums[:, rank:]
+        for first, part in passages(numbers, block):
+            heavy = window_sums(part, self.masses, block) >= self.least
+            if not heavy.any():
+                continue  # no window has the mass of any item, so its place in the latent space decides nothing
+            vectors = window_sums(part, bench.basis, block)
             length = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))[:, None]
             products = vectors @ bench.latent.T
-            for p, i in zip(*np.nonzero((products >= self.min_cosine * np.maximum(length, 1e-12)) & (mass >= self.least)), strict=True):
+            for p, i in zip(*np.nonzero((products >= self.min_cosine * np.maximum(length, 1e-12)) & heavy), strict=True):
                 begin = (first + int(p)) * block
                 share, answered, at = check(bench.items[i], numbers, begin, begin + 2 * block, self.holds[i])
                 kind = "copy" if share >= COPY else "paraphrase" if share >= PARAPHRASE and answered else None

@@ -264,3 +264,23 @@ def test_similar_to_is_the_exact_test():
     for one in sets[:60]:
         assert jaccard.similar_to(one, sets).tolist() == [
             jaccard.similar(len(np.intersect1d(one, s)), len(one), len(s)) for s in sets]
+
+
+def test_words_are_runs_of_word_characters():
+    rng = random.Random(8)
+    for chars in ("".join(map(chr, range(128))), "".join(map(chr, range(256))) + "İẞ中́ "):
+        for _ in range(200):
+            text = "".join(rng.choice(chars) for _ in range(60))
+            assert decontamination.words_of(text) == re.findall(r"\w+", text.lower())
+
+
+def test_latent_space_only_where_an_item_has_mass():
+    words = [f"w{i}" for i in range(40)]
+    number = {w: i for i, w in enumerate(words, start=1)}
+    weight = np.append(np.float32(0), np.ones(40, np.float32))
+    bench = decontamination.Benchmark([7], [list(range(1, 41))], number, weight)
+    decontamination.latent_space(bench)
+    search = bench.search()
+    assert search.found("other words " + " ".join(words))[0][0] == "copy"
+    bench.latent = bench.basis = None
+    assert search.found("other words only, and w3 w5 once") == {}
