@@ -5,11 +5,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termindex import rules as defaults
 from termindex.functions import text as tx
+from termindex.functions.pieces import AROUND, occurrences_in
+from termindex.operators.joins import BROADCAST_BYTES, measured_bytes
 from termindex.operators.slices import cut, running_max
 
 # Regions of each family, in the order they are tried.
@@ -32,26 +36,32 @@ OPENINGS = {
 }
 
 
-def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = False) -> DataFrame:
+def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = False,
+                names: DataFrame | None = None) -> DataFrame:
     """Every identifier with its offsets: (doc_id, name, start, end), end exclusive (K4).
 
     With ``context`` also what stands around it, null at the borders of the
-    text: ``gap_before``, ``word_before``, ``gap_after``, ``word_after``. They are
-    the same arrays shifted, so neighbours meet inside the row.
+    text: ``gap_before``, ``word_before``, ``gap_after``, ``word_after``.
+
+    A settled table of ``names`` says that a join with them follows: while they
+    are few enough to broadcast, identifiers that are none of them are dropped
+    where they arise. Texts are cut where they lie, without a shuffle.
     """
-    cells = tx.tiled(corpus.select("doc_id", *extra, "text"), "text", tx.TILE)
-    piece, none = F.col("_piece"), F.lit(None).cast("string")
-    columns = {"name": piece, "start": F.col("_start")}
-    if context:
-        columns["gap_before"] = F.concat(F.array(none), piece)
-        columns["word_before"] = F.concat(F.array(none, none), piece)
-        columns["gap_after"] = F.slice(piece, 2, F.size(piece))
-        columns["word_after"] = F.slice(piece, 3, F.size(piece))
-    return (
-        cells.select("doc_id", *extra, F.inline(F.arrays_zip(*columns.values())).alias(*columns))
-        .filter(tx.starts_word("name"))
-        .withColumn("end", F.col("start") + F.length("name"))
-    )
+    wanted = None
+    if names is not None and measured_bytes(names.select("name")) <= BROADCAST_BYTES:
+        wanted = names.select("name").distinct().toArrow().column("name").combine_chunks().cast(pa.string())
+    rows = corpus.select("doc_id", *extra, "text")
+    # The cut reads UTF-8; what is none is decoded and folded here.
+    sound = rows.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(tx.ascii_fold("text")))
+    schema = StructType(rows.schema.fields[:-1]).add("name", "string").add("start", "long")
+    for column in AROUND if context else ():
+        schema = schema.add(column, "string")
+
+    def run(batches):
+        for batch in batches:
+            yield from occurrences_in(batch, context, wanted)
+
+    return sound.mapInArrow(run, schema.add("end", "long"))
 
 
 def region_spans(corpus: DataFrame, family: str) -> DataFrame:

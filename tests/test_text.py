@@ -3,10 +3,11 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from termindex.functions import keys
+from termindex.functions import keys, pieces
 from termindex.functions import text as tx
 from termindex.operators import corpus as docs
 from termindex.operators import spans
@@ -113,6 +114,60 @@ def test_occurrences_with_context(spark):
     assert found["struct"]["gap_before"] is None and found["C"]["gap_after"] is None
 
 
+def _plain_occurrences(texts):
+    """Identifiers with their neighbours, read off the folded text one by one."""
+    rows = []
+    for doc, text in texts:
+        cut = list(re.finditer(r"[A-Za-z_][A-Za-z0-9_]*|[^A-Za-z_]+", re.sub(tx.NON_ASCII, "?", text or "")))
+        for i, m in enumerate(cut):
+            if re.match("[A-Za-z_]", m.group()):
+                near = [cut[j].group() if 0 <= j < len(cut) else None for j in (i - 1, i - 2, i + 1, i + 2)]
+                rows.append((doc, m.group(), m.start(), m.end(), *near))
+    return sorted(rows, key=str)
+
+
+AROUND = ["doc_id", "name", "start", "end", "gap_before", "word_before", "gap_after", "word_after"]
+
+
+def test_occurrences_equal_a_plain_reading(spark, rows, monkeypatch):
+    """Borders, digits, folding, empty and null texts, null and repeated ids, in blocks of every size."""
+    rng = random.Random(9)
+    texts = [(i, "".join(rng.choice("ab_9 0.é😀\n") for _ in range(rng.randrange(40)))) for i in range(300)]
+    texts += [(None, "a1 1a"), (7, None), (7, ""), (7, "12"), (7, "x"), (8, "9z"), (8, "z9"), (8, "日本x😀"), (8, "y")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    expected = _plain_occurrences(texts)
+    assert rows(spans.occurrences(df, context=True).select(AROUND)) == expected
+    assert rows(spans.occurrences(df).select(AROUND[:4])) == sorted((r[:4] for r in expected), key=str)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [d for d, _ in texts], "text": [t for _, t in texts]})
+    for block, out in [(1, 1), (30, 2), (1000, 1 << 20)]:
+        monkeypatch.setattr(pieces, "BLOCK_BYTES", block)
+        monkeypatch.setattr(pieces, "OUT_ROWS", out)
+        found = [r for b in pieces.occurrences_in(batch.slice(3), True, None) for r in b.select(AROUND).to_pylist()]
+        assert sorted((tuple(r.values()) for r in found), key=str) == _plain_occurrences(texts[3:])
+
+
+def test_occurrences_of_wanted_names(spark, rows):
+    """Only wanted names leave the cut, a null name and a name that is a gap find nothing; neighbours stay."""
+    df = spark.createDataFrame([(1, "struct A; b -> A"), (2, "c")], "doc_id long, text string")
+    names = spark.createDataFrame([("A",), ("A",), (None,), ("; ",), ("none",)], "name string")
+    expected = [r for r in _plain_occurrences([(1, "struct A; b -> A"), (2, "c")]) if r[1] == "A"]
+    assert rows(spans.occurrences(df, context=True, names=names).select(AROUND)) == expected
+
+
+def test_occurrences_of_broken_utf8(spark):
+    df = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61ff62e28263') AS string) AS text")
+    cut = tx.tiled(df, "text", tx.TILE).first()
+    words = [(p, s) for p, s in zip(cut["_piece"], cut["_start"]) if p[0].isalpha()]
+    assert [(r["name"], r["start"]) for r in spans.occurrences(df).collect()] == words
+
+
+def test_context_match_cuts_without_a_pattern(spark):
+    """No text goes through the pattern for words and gaps, and few names are dropped before the join."""
+    from termindex.plans.registered import QUERIES
+    plan = QUERIES["context_match"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" in plan
+
+
 CONTEXT = [
     ("c", "s", "struct A", True), ("c", "s", "struct  A", False), ("c", "s", "A", False),
     ("c", "g", "enum\nA", True), ("c", "u", "union A", True), ("c", "u", "union\n\nA", False),
