@@ -8,6 +8,7 @@ are slices of that run, and strings are made of the wanted ones only.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,34 @@ CLASSES[[ord(c) for c in LETTERS]] = LETTER
 CLASSES[[ord(c) for c in "0123456789"]] = DIGIT
 
 
+class Wanted(NamedTuple):
+    """Which names are wanted in texts of which filetype: 0 not, 1 always, 2 and more after a word of ``words``."""
+
+    filetypes: pa.Array
+    names: pa.Array
+    words: pa.Array
+    codes: np.ndarray  # a row for each filetype and an empty one for all others
+
+    @staticmethod
+    def of(table: pa.Table) -> Wanted:
+        """From (filetype, name, after); a null ``after`` asks for nothing, a null key equals none."""
+        table = table.filter(pc.and_(table["filetype"].is_valid(), table["name"].is_valid()))
+        columns = [table[c].combine_chunks().cast(pa.string()) for c in ("filetype", "name", "after")]
+        filetypes, names, words = (pc.unique(c.drop_null()) for c in columns)
+        at = tuple(_places(c, v) for c, v in zip(columns[:2], (filetypes, names)))
+        code = _places(columns[2], words) + 2
+        codes = np.zeros((len(filetypes) + 1, len(names)), np.int32)
+        codes[at] = code
+        differs = codes[at] != code
+        codes[at[0][differs], at[1][differs]] = 1
+        return Wanted(filetypes, names, words, codes)
+
+
+def _places(values: pa.Array, known: pa.Array) -> np.ndarray:
+    """Where each value stands among the known ones, or -1."""
+    return pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+
+
 def blocks(bounds: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
     """Runs of texts of at most ``size`` bytes, or of one text."""
     first = 0
@@ -67,7 +96,7 @@ def words_and_gaps(chars: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, n
     return pieces, word[pieces]
 
 
-def occurrences_in(batch: pa.RecordBatch, context: bool, names: pa.Array | None) -> Iterator[pa.RecordBatch]:
+def occurrences_in(batch: pa.RecordBatch, context: bool, wanted: Wanted | None) -> Iterator[pa.RecordBatch]:
     """The identifiers of a batch whose last column is the text, with the other columns of its rows."""
     *kept, text = batch.columns
     if text.null_count:
@@ -76,6 +105,8 @@ def occurrences_in(batch: pa.RecordBatch, context: bool, names: pa.Array | None)
     _, offsets, data = text.buffers()
     if data is None:
         return
+    filetypes = None if wanted is None else _places(
+        batch.column(batch.schema.get_field_index("filetype")).cast(pa.string()), wanted.filetypes)
     bounds = np.frombuffer(offsets, np.int64, len(text) + 1, 8 * text.offset)
     for first, last in blocks(bounds, BLOCK_BYTES):
         low, high = int(bounds[first]), int(bounds[last])
@@ -86,8 +117,9 @@ def occurrences_in(batch: pa.RecordBatch, context: bool, names: pa.Array | None)
         ends = np.append(at[1:], len(chars))
         pieces = pa.StringArray.from_buffers(
             len(at), pa.py_buffer(np.append(at, len(chars)).astype(np.int32)), pa.py_buffer(chars))
-        if names is not None:
-            is_word &= pc.is_in(pieces, value_set=names).to_numpy(zero_copy_only=False)
+        if wanted is not None:
+            name = _places(pieces, wanted.names)
+            is_word &= name >= 0
         found = np.flatnonzero(is_word)
         # Which text each occurrence is of, and the pieces that text begins and ends with.
         per_text = np.diff(np.append(np.searchsorted(at[found], starts), found.size))
@@ -95,6 +127,15 @@ def occurrences_in(batch: pa.RecordBatch, context: bool, names: pa.Array | None)
         borders = np.append(np.searchsorted(at, starts), len(at))
         lowest, beyond = np.repeat(borders[:-1], per_text), np.repeat(borders[1:], per_text)
         shift = np.repeat(starts, per_text)
+        if wanted is not None:
+            code = wanted.codes[filetypes[rows], name[found]]
+            keep = code == 1
+            tied = np.flatnonzero(code > 1)
+            before = found[tied] - 2
+            word = pieces.take(pa.array(before, mask=before < lowest[tied]))
+            keep[tied] = pc.fill_null(pc.equal(word, wanted.words.take(pa.array(code[tied] - 2))), False).to_numpy(
+                zero_copy_only=False)
+            found, rows, lowest, beyond, shift = (a[keep] for a in (found, rows, lowest, beyond, shift))
         for cut in range(0, found.size, OUT_ROWS):
             part = slice(cut, cut + OUT_ROWS)
             here, row = found[part], pa.array(rows[part])

@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from termindex import rules as defaults
 from termindex.functions import text as tx
-from termindex.functions.pieces import AROUND, occurrences_in
+from termindex.functions.pieces import AROUND, Wanted, occurrences_in
 from termindex.operators.joins import BROADCAST_BYTES, measured_bytes
 from termindex.operators.slices import cut, running_max
 
@@ -34,6 +33,8 @@ OPENINGS = {
     "python": [("String", '"', 2), ("String", "'", 2), ("Comment", "#", 1)],
     "markup": [("Comment", "<!--", 2), ("String", '"', 2)],
 }
+# Rules that ask for a keyword before the name.
+KEYWORDS = {"after_enum": "enum", "after_struct": "struct", "after_union": "union"}
 
 
 def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = False,
@@ -43,13 +44,15 @@ def occurrences(corpus: DataFrame, extra: Sequence[str] = (), context: bool = Fa
     With ``context`` also what stands around it, null at the borders of the
     text: ``gap_before``, ``word_before``, ``gap_after``, ``word_after``.
 
-    A settled table of ``names`` says that a join with them follows: while they
-    are few enough to broadcast, identifiers that are none of them are dropped
-    where they arise. Texts are cut where they lie, without a shuffle.
+    A settled table of ``names(filetype, name, after)`` says that a join with
+    them and ``context_match`` follow: while they are few enough to broadcast,
+    identifiers that are none of them, or do not stand after the word they must
+    follow, are dropped where they arise. Texts are cut where they lie, without
+    a shuffle.
     """
     wanted = None
-    if names is not None and measured_bytes(names.select("name")) <= BROADCAST_BYTES:
-        wanted = names.select("name").distinct().toArrow().column("name").combine_chunks().cast(pa.string())
+    if names is not None and measured_bytes(names) <= BROADCAST_BYTES:
+        wanted = Wanted.of(names.toArrow())
     rows = corpus.select("doc_id", *extra, "text")
     # The cut reads UTF-8; what is none is decoded and folded here.
     sound = rows.withColumn("text", F.when(F.is_valid_utf8("text"), F.col("text")).otherwise(tx.ascii_fold("text")))
@@ -152,9 +155,7 @@ def _context(rule: str) -> Column:
     after_def = (F.col("word_before") == "def") & F.rlike(before, F.lit(r"^\s+\z"))
     call = F.rlike(after, F.lit(r"^\s*\("))
     tests = {
-        "after_enum": _after_keyword("enum"),
-        "after_struct": _after_keyword("struct"),
-        "after_union": _after_keyword("union"),
+        **{name: _after_keyword(keyword) for name, keyword in KEYWORDS.items()},
         "after_member_access": _member_before(r"\.|->"),
         "after_member_dot": _member_before(r"\."),
         "after_ampersand": F.rlike(before, F.lit(r"&\z")),
@@ -173,6 +174,15 @@ def _context(rule: str) -> Column:
     return tests[rule]
 
 
+def with_keywords(kinds: DataFrame, rules: Sequence[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(filetype, name, after): the keyword an occurrence must follow to fit the rule of its kind, else null."""
+    after = F.lit(None).cast("string")
+    for filetype, kind, rule in reversed(defaults.CONTEXT_RULES if rules is None else rules):
+        is_kind = (F.col("filetype") == filetype) & (F.col("kind") == kind)
+        after = F.when(is_kind, F.lit(KEYWORDS.get(rule)).cast("string")).otherwise(after)
+    return kinds.select("filetype", "name", after.alias("after"))
+
+
 def context_match(occurrences: DataFrame, rules: Sequence[tuple[str, str, str]] | None = None) -> DataFrame:
     """Keep occurrences whose surroundings fit the rule of their (filetype, kind).
 

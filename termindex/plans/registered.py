@@ -417,7 +417,7 @@ def context_match(spark: SparkSession, sf: str) -> DataFrame:
     corpus = b.code_corpus(spark, sf)
     best = assign.resolve_priority(_usable(spark, b.catalogue(spark, sf)), _priorities(spark))
     known = match.settled(best.select("filetype", "name", "kind"))
-    placed = spans.occurrences(corpus, ["filetype"], context=True, names=known)
+    placed = spans.occurrences(corpus, ["filetype"], context=True, names=spans.with_keywords(known))
     kinds = match.lookup(placed, known, ["filetype", "name"], salt_by=F.col("doc_id"))
     return spans.context_match(kinds).groupBy("doc_id", "filetype", "kind", "name").agg(
         F.count(F.lit(1)).alias("n"), F.min("start").alias("first_start"), F.sum("end").alias("sum_end"))

@@ -147,11 +147,17 @@ def test_occurrences_equal_a_plain_reading(spark, rows, monkeypatch):
 
 
 def test_occurrences_of_wanted_names(spark, rows):
-    """Only wanted names leave the cut, a null name and a name that is a gap find nothing; neighbours stay."""
-    df = spark.createDataFrame([(1, "struct A; b -> A"), (2, "c")], "doc_id long, text string")
-    names = spark.createDataFrame([("A",), ("A",), (None,), ("; ",), ("none",)], "name string")
-    expected = [r for r in _plain_occurrences([(1, "struct A; b -> A"), (2, "c")]) if r[1] == "A"]
-    assert rows(spans.occurrences(df, context=True, names=names).select(AROUND)) == expected
+    """Only wanted names leave the cut; null names and names that are gaps find nothing; neighbours stay."""
+    texts = [(1, "c", "struct A; b -> A"), (2, "c", "c"), (3, "go", "A b"), (4, None, "A"), (5, "c", "enum B C union B B enum")]
+    df = spark.createDataFrame(texts, "doc_id long, filetype string, text string")
+    names = spark.createDataFrame(
+        [("c", "A", None), ("c", "A", None), ("c", None, None), (None, "A", None), ("c", "; ", None), ("go", "none", None),
+         ("c", "B", "enum"), ("c", "C", "enum"), ("c", "C", "union"), ("c", "enum", "union")],
+        "filetype string, name string, after string")
+    expected = [r for r in _plain_occurrences([t[::2] for t in texts])
+                if (r[0], r[1]) in {(1, "A"), (5, "C")} or (r[0], r[1], r[5]) == (5, "B", "enum")]
+    assert len(expected) == 4
+    assert rows(spans.occurrences(df, ["filetype"], context=True, names=names).select(AROUND)) == expected
 
 
 def test_occurrences_of_broken_utf8(spark):
