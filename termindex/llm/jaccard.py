@@ -473,8 +473,9 @@ def across(groups: DataFrame) -> DataFrame:
         if found:
             yield _told(found, ["hub", "node"])
 
-    dealt = in_blocks(groups, F.ceil(F.count("*") / BLOCK)).repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j")
-    return dealt.mapInArrow(run, "hub bigint, node bigint").distinct()
+    dealt = in_blocks(groups, F.ceil(F.count("*") / BLOCK)).select("hub", "i", "j", "comp", "node", "n", "bitmap")
+    return dealt.repartition("hub", "i", "j").sortWithinPartitions("hub", "i", "j").mapInArrow(
+        run, "hub bigint, node bigint").distinct()
 
 
 def forest(groups: DataFrame, sets: DataFrame) -> DataFrame:

@@ -258,6 +258,28 @@ def test_family_writes_a_forest_not_its_pairs(spark, monkeypatch, block):
     assert {tuple(r) for r in components.components(links).collect()} == {(i, i % 2) for i in range(120)}
 
 
+@pytest.mark.parametrize("block", [jaccard.BLOCK, 16])
+def test_families_link_members_that_do_not_name_their_component(spark, monkeypatch, block):
+    """Forty sets of one component, numbered by the first, and two each of which is similar to the last of them only."""
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    base, own = (rng.integers(0, 1 << 62, n).astype(np.uint64) for n in (400, 200))
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 1 << 62, 20).astype(np.uint64)])) for _ in range(39)]
+    sets.append(np.unique(np.concatenate([base, own[:80]])))
+    sets += [np.unique(np.concatenate([base[:390], own, rng.integers(0, 1 << 62, k).astype(np.uint64)])) for k in (5, 9)]
+    comps = [0] * 40 + [40, 41]
+    near = [(i, j) for j in (40, 41) for i in range(j) if jaccard.similar(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))]
+    assert near == [(39, 40), (39, 41), (40, 41)]
+    groups = spark.createDataFrame([(-1, i, c, len(s), jaccard.parities(s)) for i, (c, s) in enumerate(zip(comps, sets, strict=True))],
+                                   "hub long, node long, comp long, n long, bitmap binary")
+    held = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "class long, set binary")
+    met = jaccard.across(groups)
+    assert {r.node for r in met.collect()} >= {39, 40, 41}
+    links = jaccard.forest(groups.join(met, ["hub", "node"], "left_semi"), held)
+    assert {(0, r.comp) for r in components.components(links).collect()} == {(0, 39)}
+    assert {r.node for r in components.components(links).collect()} == {39, 40, 41}
+
+
 def test_similar_to_is_the_exact_test():
     rng = np.random.default_rng(6)
     sets = [np.unique(rng.integers(0, size + 9, size).astype(np.uint64)) for size in rng.integers(1, 40, 300)]
