@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from termindex.operators.joins import lookup
 from termindex.session import new_folder, settled
 from termindex.streaming.events import ORDER, emit_on_change, enabled_gate, last_prints, latest_wins
+from termindex.streaming.gates import PACKED, GatedShards, packing
 from termindex.streaming.ordered import RUN_ROWS, Runs
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -23,6 +24,7 @@ PRUNED_KEYS = 1000
 SHARDS = 16
 BUFFER_SHARDS = 256
 NO_BUFFER = BUFFER_SHARDS + 1
+INSTANCE_KEYS = 251  # a prime: numbers of instances with a step between them leave no keys empty
 MOST_BATCHES = 32
 
 
@@ -252,11 +254,21 @@ def enabled_gate_stream(events: DataFrame, idle: str | None = None, late: str =
     The buffers of an instance are dealt over ``shards`` keys, and each of them gets the toggles of the instance,
     so an instance with a large part of all events is spread over as many tasks, and each shard knows the
     epoch by itself. A toggle clears what a shard remembers. Memory and ``idle`` as in ``emit_on_change_stream``;
-    whether an instance is switched on is never forgotten.
+    whether an instance is switched on is never forgotten. Without ``idle``, all instances whose numbers leave one
+    remainder by ``INSTANCE_KEYS`` are one key (its ``instance_id`` is the remainder, ``INSTANCE_KEYS`` for those without a
+    number), their events travel packed, and the key remembers them in pages.
     """
     keep_state_on_disk(events.sparkSession)
     timed, idle_ms, mode = _timed(events, idle, late)
-    own = F.array(F.pmod(F.hash("buffer_id"), F.lit(shards)))
+    own = F.pmod(F.hash("buffer_id"), F.lit(shards))
+    if idle is None:
+        remainder = F.coalesce(F.pmod(F.col("instance_id").cast("bigint"), F.lit(INSTANCE_KEYS)), F.lit(INSTANCE_KEYS))
+        keyed = timed.select("*", remainder.cast("bigint").alias("_key"), own.alias("_shard"),
+                             F.coalesce(F.col("action") == "toggle", F.lit(False)).alias("_toggle"))
+        return keyed.mapInArrow(packing(events.schema, shards), PACKED).groupBy("instance_id", "_shard").transformWithStateInPandas(
+            statefulProcessor=GatedShards(events.schema, run_rows), outputStructType=_schema(events, ", epoch bigint"),
+            outputMode="Append", timeMode=mode)
+    own = F.array(own)
     everywhere = F.sequence(F.lit(0), F.lit(shards - 1))
     dealt = timed.withColumn("_shard", F.explode(F.when(F.col("action") == "toggle", everywhere).otherwise(own)))
     return dealt.groupBy("instance_id", "_shard").transformWithStateInPandas(

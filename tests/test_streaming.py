@@ -13,7 +13,7 @@ from termindex.plans import bindings as b
 from termindex.plans import registered
 from termindex.session import new_folder
 from termindex.streaming import events as ev
-from termindex.streaming import ordered
+from termindex.streaming import gates, ordered
 from termindex.streaming import state as st
 
 SF = "/root/testdata/sf0.001"
@@ -274,6 +274,40 @@ def test_many_small_buffers_share_keys(spark, rows):
     assert state.count() > 3000 and state.select("key").distinct().count() <= 3 * (st.BUFFER_SHARDS + 1)
 
 
+def test_gate_of_many_instances_shares_keys(spark, rows):
+    """An instance is no key of its own, and null instances are one instance beside all others."""
+    rng = random.Random(6)
+    events = [(k, k // 2, None if k % 50 == 0 else rng.randrange(-300, 600), rng.randrange(4), "toggle" if rng.random() < 0.1 else "update",
+               rng.random() < 0.05, None if rng.random() < 0.2 else 2**62 + rng.randrange(3)) for k in range(12_000)]
+    pieces = [made(spark, events[:7000]), made(spark, events[7000:])]
+    out, progress = streamed(spark, pieces, lambda s: st.enabled_gate_stream(s, shards=2, run_rows=20))
+    same(rows, spark.read.parquet(out), ev.enabled_gate(made(spark, events)))
+    state = spark.read.format("statestore").option("stateVarName", "epoch").load(progress)
+    assert 400 < state.select("key").distinct().count() <= 2 * (st.INSTANCE_KEYS + 1)
+
+
+def test_pages_of_a_key_are_doubled(monkeypatch):
+    """Few or many instances in a page: the same rows, and pages of bounded size."""
+    held = []
+    for most in (8, 10**6):
+        monkeypatch.setattr(gates, "PAGE_INSTANCES", most)
+        draw, states, out = np.random.default_rng(9), {}, []
+        handle = SimpleNamespace(getValueState=lambda name, *a, of=states: of.setdefault(name, _Counted()),
+                                 getMapState=lambda name, *a, of=states: of.setdefault(name, _Counted()))
+        pages = gates._Pages(handle)
+        for k in range(6):
+            n = 400
+            ids = np.sort(draw.integers(0, 200 if k else 3, n))
+            no_print = draw.random(n) < 0.2
+            places, epochs = pages.pass_through(ids, draw.random(n) < 0.05, draw.integers(0, 3, n), np.zeros(n, bool),
+                                                np.where(no_print, 0, draw.integers(0, 3, n)), no_print, np.zeros(n, bool))
+            out.append((places.tolist(), epochs.tolist()))
+        held.append(out)
+        sizes = [len(epochs) // 16 for epochs, _ in states["epoch"].held.values()]
+        assert max(sizes) <= most and sum(sizes) == 200 and (len(sizes) > 16) == (most == 8)
+    assert held[0] == held[1]
+
+
 def test_registered_streams_name_their_batch_twin():
     for name in ("route_events", "first_seen", "emit_on_change", "enabled_gate", "latest_wins"):
         assert f"{name}_stream" in registered.QUERIES
