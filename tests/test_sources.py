@@ -128,6 +128,24 @@ def test_corpus_paths_are_decoded(spark, tmp_path):
     assert row["path"] == f"{tmp_path}/d e+f/a b%c.C" and row["ext"] == "c"
 
 
+def test_corpus_of_many_small_files_is_read_in_few_tasks(spark, tmp_path):
+    """Files in folders, in a flat one and in nested ones; hidden, empty and repeated ones as Spark's reader has them."""
+    want = {}
+    for k in range(600):
+        path = tmp_path / "c" / ("" if k < 100 else f"f{k % 5}" if k < 500 else f"n/k=1/m{k % 7}") / f"d{k}.{'TXT' if k % 2 else 'c'}"
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"" if k % 50 == 0 else f"text {k}\r\n\n".encode())
+        want |= {} if k % 50 == 0 else {str(path): (f"text {k}\r\n\n", "txt" if k % 2 else "c")}
+    for name in ("_SUCCESS", ".a.crc", "_h/x.txt", "b._COPYING_"):
+        (tmp_path / "c" / name).parent.mkdir(exist_ok=True)
+        (tmp_path / "c" / name).write_text("hidden")
+    for paths in (str(tmp_path / "c"), f"file:{tmp_path}/c", [str(tmp_path / "c"), str(tmp_path / "c" / "f1"), str(tmp_path / "c" / "d1.TXT")]):
+        found = read_corpus(spark, paths)
+        assert found.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        assert sorted((r["path"], r["text"], r["ext"]) for r in found.collect()) == sorted((p, *v) for p, v in want.items())
+        assert found.filter("doc_id <> xxhash64(path)").count() == 0
+
+
 def test_round_trip_keeps_empty_fields(spark):
     df = spark.createDataFrame([("n", "f.c", None, "f", "C")], "name string, file string, pattern string, kind string, lang string")
     assert tagfiles.tag_lines(df).first()["value"] == "n\tf.c\t\tf\tlanguage:C"
